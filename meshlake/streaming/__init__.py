@@ -1,0 +1 @@
+"""Streaming of the mesh analytics engine."""
