@@ -103,10 +103,39 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshlake.llm.spm import encode_decode
+
+    made = encode_decode(_table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshlake.llm.simhash import near_duplicates
+
+    found = near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshlake.llm.langid import fit, predict
+
+    docs = _table(spark, sf_dir, "documents")
+    return predict(docs, fit(docs)).select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op2_sentencepiece": op2_sentencepiece,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_mix_sources": op5_mix_sources,
     "op6_license_scan": op6_license_scan,
+    "op7_simhash": op7_simhash,
+    "op10_language_id": op10_language_id,
 }
 ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op4_exact_dedup": OP4_SQL}
