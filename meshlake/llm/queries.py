@@ -129,6 +129,27 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, fit(docs)).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshlake.llm.warc import archive_round_trip
+
+    return archive_round_trip(_table(spark, sf_dir, "pages"))
+
+
+OP9_SQL = """
+WITH digits AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+), digests AS (
+  SELECT page_id, payload_bytes, list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((CAST('0x' || substr(hex, CAST(i // 4 * 5 + 1 AS INT), 5) AS BIGINT) >> CAST((3 - i % 4) * 5 AS INT)) & 31 AS INT) + 1, 1)), 'string_agg', '') AS payload_digest
+  FROM digits
+), firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM digests)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM firsts
+"""
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_sentencepiece": op2_sentencepiece,
@@ -136,6 +157,7 @@ QUERIES = {
     "op5_mix_sources": op5_mix_sources,
     "op6_license_scan": op6_license_scan,
     "op7_simhash": op7_simhash,
+    "op9_warc": op9_warc,
     "op10_language_id": op10_language_id,
 }
-ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op4_exact_dedup": OP4_SQL}
+ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op9_warc": OP9_SQL}
