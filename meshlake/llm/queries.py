@@ -129,6 +129,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, fit(docs)).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshlake.llm.ann import search
+
+    return search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meshlake.llm.warc import archive_round_trip
 
@@ -157,6 +163,7 @@ QUERIES = {
     "op5_mix_sources": op5_mix_sources,
     "op6_license_scan": op6_license_scan,
     "op7_simhash": op7_simhash,
+    "op8_nearest": op8_nearest,
     "op9_warc": op9_warc,
     "op10_language_id": op10_language_id,
 }
