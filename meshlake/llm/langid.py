@@ -184,3 +184,20 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
+
+
+def keep_known(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs(text, ...)``, with all their columns, that :func:`predict` doesn't reject."""
+    import pyarrow as pa
+
+    spark = docs.sparkSession
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, _, rejected = shared.value.predict(batch.column(at).to_pylist())
+            yield batch.filter(pa.array(~rejected))
+
+    return docs.mapInArrow(run, docs.schema)

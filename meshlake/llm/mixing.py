@@ -90,16 +90,16 @@ def sainte_lague(rows: DataFrame, key: str, votes: str, seats: str, within: list
 
 def mix(
     docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS,
-    seed: int = 20_240_501, shard_words: int = SHARD_WORDS,
+    seed: int = 20_240_501, shard_words: int = SHARD_WORDS, carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per row of ``docs(doc_id, text, source, ...)``: ``doc_id, source, size, source_size, target, taken``.
+    """One row per row of ``docs(doc_id, text, source, ...)``: ``doc_id, source, size, source_size, target, taken``, and the columns in ``carry``.
 
     Null text has size 0, as has an empty one: nothing is taken of it. A null source
     is a source of its own. Rows that repeat a doc_id are documents of their own; a
     run again gives the same numbers. No document is taken more than ``repeats`` times
     its size. An empty table gives no rows. Other columns aren't read.
     """
-    sizes = cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count().alias("size")), "sizes")
+    sizes = cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count().alias("size"), *carry), "sizes")
     sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sources, weights, share, repeats)
     everything = Window.partitionBy()
@@ -138,4 +138,4 @@ def mix(
 
     start, stop = F.col("start"), F.col("start") + F.col("more")
     taken = F.col("rounds") * F.col("size") + within(start, F.least(stop, F.col("blocks"))) + within(F.lit(0), stop - F.col("blocks"))
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *carry)

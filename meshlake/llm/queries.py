@@ -55,6 +55,29 @@ FROM counted
 """
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshlake.llm.pii import KINDS, find_personal_data
+
+    found = find_personal_data(_table(spark, sf_dir, "documents"))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
+
+    def n(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    kinds = F.array(*map(F.lit, KINDS))
+    both = F.array_sort(
+        F.transform(
+            F.concat("base", "added"),
+            lambda s: F.struct(s["start"].alias("start"), F.array_position(kinds, s["kind"]).alias("at"), s["stop"].alias("stop"), s["kind"].alias("kind")),
+        )
+    )
+    return found.select(
+        "doc_id", *map(n, KINDS), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(both).alias("spans")
+    )
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meshlake.llm.exact import exact_dedup
 
@@ -159,6 +182,7 @@ FROM firsts
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_personal_data": op3_personal_data,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_mix_sources": op5_mix_sources,
     "op6_license_scan": op6_license_scan,

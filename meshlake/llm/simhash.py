@@ -14,6 +14,7 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meshlake.llm.common import cut, small_batches, text_of
 from meshlake.llm.components import connected_components
@@ -42,19 +43,20 @@ def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """``doc_id, fp`` (signed long with the fingerprint's bits) for each row; null text is empty."""
+def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, the columns in ``carry``, and ``fp`` (signed long with the fingerprint's bits) for each row; null text is empty."""
     import numpy as np
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, words, seed) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(t, words, seed) for t in batch.column(0).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fps.view(np.int64))], names=[*kept, "fp"])
 
     small_batches(docs.sparkSession)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, f"doc_id {kind}, fp bigint")
+    kept = ["doc_id", *carry]
+    rows = docs.select(text_of().alias("text"), *kept)
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[1:], T.StructField("fp", T.LongType())]))
 
 
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -70,19 +72,22 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """One row per row of ``docs(doc_id, text, ...)``: ``doc_id, fp, component_id``.
+def near_duplicates(
+    docs: DataFrame, radius: int = RADIUS, words: int = WORDS, seed: int = SEED, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """One row per row of ``docs(doc_id, text, ...)``: ``doc_id``, the columns in ``carry``, ``fp, root, component_id``.
 
+    ``root`` is the smallest fingerprint of the row's component, and tells components apart.
     component_id is the smallest doc_id that links of at most ``radius`` differing bits
     reach, the row's own included; null only if all of them are null. Texts without words
     have fingerprint 0 and are linked like any other. Equal fingerprints are handled once,
     however many documents share them. An empty table gives no rows; other columns aren't read.
     """
-    fps = cut(fingerprints(docs, words, seed), "fingerprints")
+    fps = cut(fingerprints(docs, words, seed, carry), "fingerprints")
     distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = connected_components(links(distinct, radius))
     placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     placed = cut(placed, "placed")
     first = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = cut(placed.join(first, "root").select("fp", "component_id"), "classes")
-    return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = cut(placed.join(first, "root").select("fp", "root", "component_id"), "classes")
+    return fps.join(classes, "fp").select("doc_id", *carry, "fp", "root", "component_id")
