@@ -23,12 +23,20 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
+#: Rows to a file of a table whose size is known.
+ROWS_PER_FILE = 100_000
+
+
+def cut(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     The lineage ends there: a lost executor costs a re-read, and values that
     depend on row placement (generated ids) can't change between two reads.
+    ``rows`` is a bound on the number of rows, if known and they are small: then there
+    are as few files as that takes, instead of one from each shuffle partition.
     """
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
     path = f"{shared_dir(df.sparkSession)}/meshlake/{uuid.uuid4().hex}/{label}"
     df.write.parquet(path)
     _tables.append(path)

@@ -84,10 +84,11 @@ def near_duplicates(
     however many documents share them. An empty table gives no rows; other columns aren't read.
     """
     fps = cut(fingerprints(docs, words, seed, carry), "fingerprints")
-    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = connected_components(links(distinct, radius))
+    n = fps.count()
+    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct", n)
+    roots = connected_components(links(distinct, radius), n)
     placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    placed = cut(placed, "placed")
+    placed = cut(placed, "placed", n)
     first = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = cut(placed.join(first, "root").select("fp", "root", "component_id"), "classes")
+    classes = cut(placed.join(first, "root").select("fp", "root", "component_id"), "classes", n)
     return fps.join(classes, "fp").select("doc_id", *carry, "fp", "root", "component_id")
