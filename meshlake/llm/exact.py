@@ -72,7 +72,7 @@ def document_names(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame
     level = cut(cells.select("uid", "n_blocks", "pos", "key").join(named, "key").drop("key"), "names")
     done = level.where("n_blocks = 1").select("uid", "name")
     level = level.where("n_blocks > 1").select("uid", "pos", "name")
-    width = cells.agg(F.max("n_blocks")).first()[0] or 1
+    width, n = cells.agg(F.coalesce(F.max("n_blocks"), F.lit(1)), F.count_if(F.col("n_blocks") > 1)).first()
     while width > 1:
         pairs = cut(
             level.groupBy("uid", F.expr("pos div 2").cast("int").alias("pos")).agg(
@@ -80,6 +80,7 @@ def document_names(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame
                 F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("right"),
             ),
             "pairs",
+            n,
         )
         named = _numbered(pairs.select("left", "right").distinct(), "left", "right")
         level = pairs.join(named, ["left", "right"]).select("uid", "pos", "name")
@@ -99,7 +100,8 @@ def exact_dedup(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """
     names = cut(document_names(docs, block_chars), "identities")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "uid")).alias("first")
-    groups = names.groupBy("n_blocks", "name").agg(first, F.count("*").alias("group_size"))
+    # A table of its own: the join then deals both sides anew, so that Spark can split a large group of copies.
+    groups = cut(names.groupBy("n_blocks", "name").agg(first, F.count("*").alias("group_size")), "groups")
     return names.join(groups, ["n_blocks", "name"]).select(
         "doc_id",
         F.col("first.doc_id").alias("keep_id"),
