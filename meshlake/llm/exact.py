@@ -48,8 +48,8 @@ def _numbered(distinct: DataFrame, *keys: str) -> DataFrame:
     return distinct.sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id())
 
 
-def document_names(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Rows ``uid, doc_id, sha, n_blocks, name``; ``(n_blocks, name)`` identifies the normalised text.
+def document_names(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> tuple[DataFrame, int]:
+    """Rows ``uid, doc_id, sha, n_blocks, name``, and a bound on their number; ``(n_blocks, name)`` identifies the normalised text.
 
     The texts are shuffled once, to compare distinct blocks. Names go back to
     documents by the blocks' SHA-256; that it is unique among the distinct
@@ -69,10 +69,11 @@ def document_names(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame
             F.raise_error(F.lit("two different blocks have the same SHA-256")).cast("long")
         ).alias("name"),
     )
-    level = cut(cells.select("uid", "n_blocks", "pos", "key").join(named, "key").drop("key"), "names")
+    size = cells.agg(F.count("*"), F.coalesce(F.max("n_blocks"), F.lit(1)), F.count_if(F.col("n_blocks") > 1)).first()
+    level = cut(cells.select("uid", "n_blocks", "pos", "key").join(named, "key").drop("key"), "names", size[0])
     done = level.where("n_blocks = 1").select("uid", "name")
     level = level.where("n_blocks > 1").select("uid", "pos", "name")
-    width, n = cells.agg(F.coalesce(F.max("n_blocks"), F.lit(1)), F.count_if(F.col("n_blocks") > 1)).first()
+    width = size[1]
     while width > 1:
         pairs = cut(
             level.groupBy("uid", F.expr("pos div 2").cast("int").alias("pos")).agg(
@@ -80,13 +81,13 @@ def document_names(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame
                 F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("right"),
             ),
             "pairs",
-            n,
+            size[2],
         )
         named = _numbered(pairs.select("left", "right").distinct(), "left", "right")
         level = pairs.join(named, ["left", "right"]).select("uid", "pos", "name")
         width = (width + 1) // 2
     names = done.unionByName(level.select("uid", "name"))
-    return cells.where("pos = 0").select("uid", "doc_id", "sha", "n_blocks").join(names, "uid")
+    return cells.where("pos = 0").select("uid", "doc_id", "sha", "n_blocks").join(names, "uid"), size[0]
 
 
 def exact_dedup(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -98,10 +99,11 @@ def exact_dedup(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     doc_id comes after all others; if a group has no other, keep_id is null.
     An empty table gives no rows. Other columns are neither read nor returned.
     """
-    names = cut(document_names(docs, block_chars), "identities")
+    names, n = document_names(docs, block_chars)
+    names = cut(names, "identities", n)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "uid")).alias("first")
     # A table of its own: the join then deals both sides anew, so that Spark can split a large group of copies.
-    groups = cut(names.groupBy("n_blocks", "name").agg(first, F.count("*").alias("group_size")), "groups")
+    groups = cut(names.groupBy("n_blocks", "name").agg(first, F.count("*").alias("group_size")), "groups", n)
     return names.join(groups, ["n_blocks", "name"]).select(
         "doc_id",
         F.col("first.doc_id").alias("keep_id"),
