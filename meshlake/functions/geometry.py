@@ -228,7 +228,11 @@ def pair_of_index(k: Column, n: Column) -> tuple[Column, Column]:
 
 
 def segment_hits(p: Vec, q: Vec, a: Vec, b: Vec, c: Vec, margin: float = 1e-3) -> Column:
-    """Whether the segment, less ``margin`` at both ends, crosses the triangle (Moeller-Trumbore)."""
+    """Whether the segment, less ``margin`` at both ends, crosses the triangle (Moeller-Trumbore).
+
+    Sides belong to the triangle, with some room for rounding: a segment through the side of
+    two triangles must not slip between them.
+    """
     along = q.minus(p)
     size = along.length()
     direction = along.over(size)
@@ -240,5 +244,6 @@ def segment_hits(p: Vec, q: Vec, a: Vec, b: Vec, c: Vec, margin: float = 1e-3) -
     k = s.cross(e)
     v = F.try_divide(direction.dot(k), det)
     t = F.try_divide(f.dot(k), det)
-    hit = (F.abs(det) > 1e-12) & (u >= 0) & (v >= 0) & (u + v <= 1) & (t > margin) & (t < size - margin)
+    eps = 1e-9
+    hit = (F.abs(det) > 1e-12) & (u >= -eps) & (v >= -eps) & (u + v <= 1 + eps) & (t > margin) & (t < size - margin)
     return F.coalesce(hit, F.lit(False))

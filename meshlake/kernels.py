@@ -773,15 +773,21 @@ def distance_grid(points: Array, faces: Array, band: float) -> tuple[Array, Arra
     low = np.floor(points.min(axis=0) - band - 2).astype(int)
     shape = np.ceil(points.max(axis=0) + band + 2).astype(int) - low + 1
     grid = np.full(shape, np.inf)
-    for f in faces:
-        t = points[f]
-        lo = np.floor(t.min(axis=0) - band).astype(int) - low
-        hi = np.ceil(t.max(axis=0) + band).astype(int) - low + 1
-        axes = [np.arange(a, b) for a, b in zip(lo, hi, strict=True)]
-        lattice = np.stack(np.meshgrid(*axes, indexing="ij"), axis=-1).astype(float) + low
-        d = to_triangles(lattice, *(np.broadcast_to(x, lattice.shape) for x in t))
-        box = grid[lo[0] : hi[0], lo[1] : hi[1], lo[2] : hi[2]]
-        np.minimum(box, np.where(d <= band, d, np.inf), out=box)
+    flat, corners = grid.reshape(-1), points[faces]
+    first = np.floor(corners.min(axis=1) - band).astype(np.int64)
+    size = np.ceil(corners.max(axis=1) + band).astype(np.int64) - first + 1
+    count = size.prod(axis=1)
+    ends, at = np.cumsum(count), 0
+    while at < len(faces):  # faces whose boxes have about 200,000 lattice points together
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] - count[at] + 200_000)))
+        face = np.repeat(np.arange(at, to), count[at:to])
+        local = np.arange(len(face)) - np.repeat(ends[at:to] - count[at:to] - (ends[at] - count[at]), count[at:to])
+        box = size[face]
+        place = np.stack([local // (box[:, 1] * box[:, 2]), local // box[:, 2] % box[:, 1], local % box[:, 2]], axis=1) + first[face]
+        d = to_triangles(place.astype(float), corners[face, 0], corners[face, 1], corners[face, 2])
+        near = d <= band
+        np.minimum.at(flat, np.ravel_multi_index(tuple((place[near] - low).T), grid.shape), d[near])
+        at = to
     return grid, low
 
 

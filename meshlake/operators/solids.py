@@ -25,14 +25,25 @@ def arrays(vertices: pd.DataFrame, triangles: pd.DataFrame) -> tuple[np.ndarray,
     return v[["x", "y", "z"]].to_numpy(float), t[["v0", "v1", "v2"]].to_numpy(np.int64)
 
 
+def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` dealt by mesh to as many tasks as there are shuffle partitions, or twice the cores if those are more.
+
+    The rows of a mesh are few bytes but much work: Spark must not join tasks by size.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def per_mesh(vertices: DataFrame, triangles: DataFrame, f: Callable[[tuple, np.ndarray, np.ndarray], pd.DataFrame], schema: str, keys: list[str] = PART) -> DataFrame:
     """Apply ``f(key values, points, faces)`` to each mesh. A mesh that lacks points or faces gets empty arrays."""
 
     def run(key: tuple, v: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         return f(key, *arrays(v, t))
 
-    v = vertices.select(*keys, "vertex_id", "x", "y", "z").groupBy(*keys)
-    return v.cogroup(triangles.select(*keys, "triangle_id", "v0", "v1", "v2").groupBy(*keys)).applyInPandas(run, schema)
+    v = dealt(vertices.select(*keys, "vertex_id", "x", "y", "z"), keys).groupBy(*keys)
+    t = dealt(triangles.select(*keys, "triangle_id", "v0", "v1", "v2"), keys).groupBy(*keys)
+    return v.cogroup(t).applyInPandas(run, schema)
 
 
 def packed(key: tuple, parts: list[k.Solid], concavity: float = 0.0) -> pd.DataFrame:
@@ -68,7 +79,7 @@ def convex_hulls(vertices: DataFrame, keys: list[str] = PART) -> DataFrame:
 
     kinds = dict(vertices.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in keys) + ", triangle_id int, v0 int, v1 int, v2 int"
-    return vertices.select(*keys, "vertex_id", "x", "y", "z").groupBy(*keys).applyInPandas(run, schema)
+    return dealt(vertices.select(*keys, "vertex_id", "x", "y", "z"), keys).groupBy(*keys).applyInPandas(run, schema)
 
 
 def components(vertices: DataFrame, triangles: DataFrame, least_volume: float = 1e-6) -> DataFrame:
@@ -96,7 +107,8 @@ def clip_meshes(vertices: DataFrame, triangles: DataFrame, planes: DataFrame, sp
         planes = [[c[n] for n in "abcd"] for c in found.iloc[0]] if len(found) else []
         return packed(key, k.multi_clip(k.Solid(p, f), np.array(planes, dtype=float).reshape(-1, 4)))
 
-    return v.groupBy(*PART).cogroup(triangles.select(*PART, "triangle_id", "v0", "v1", "v2").groupBy(*PART)).applyInPandas(run, PARTS)
+    t = dealt(triangles.select(*PART, "triangle_id", "v0", "v1", "v2"), PART).groupBy(*PART)
+    return dealt(v, PART).groupBy(*PART).cogroup(t).applyInPandas(run, PARTS)
 
 
 def flat_planes(vertices: DataFrame, triangles: DataFrame, min_area: float = 0.1) -> DataFrame:
@@ -125,8 +137,8 @@ def split_planes(vertices: DataFrame, edges: DataFrame, most: int = 2500, seed:
         out.insert(0, "mesh_id", key[0])
         return out
 
-    v = vertices.select(*MESH, "vertex_id", "x", "y", "z").groupBy(*MESH)
-    return v.cogroup(edges.select(*MESH, "i", "j").groupBy(*MESH)).applyInPandas(run, "mesh_id bigint, plane_id int, a double, b double, c double, d double")
+    v = dealt(vertices.select(*MESH, "vertex_id", "x", "y", "z"), MESH).groupBy(*MESH)
+    return v.cogroup(dealt(edges.select(*MESH, "i", "j"), MESH).groupBy(*MESH)).applyInPandas(run, "mesh_id bigint, plane_id int, a double, b double, c double, d double")
 
 
 def welded(points: DataFrame, eps: float = 1e-4, keys: list[str] = MESH) -> DataFrame:
@@ -137,7 +149,7 @@ def welded(points: DataFrame, eps: float = 1e-4, keys: list[str] = MESH) -> Data
         ids = v["point_id"].to_numpy()
         return pd.DataFrame({"mesh_id": key[0], "point_id": ids, "target_id": ids[k.weld(v[["x", "y", "z"]].to_numpy(float), eps)]})
 
-    return points.select(*keys, "point_id", "x", "y", "z").groupBy(*keys).applyInPandas(run, "mesh_id bigint, point_id bigint, target_id bigint")
+    return dealt(points.select(*keys, "point_id", "x", "y", "z"), keys).groupBy(*keys).applyInPandas(run, "mesh_id bigint, point_id bigint, target_id bigint")
 
 
 def surface_samples(vertices: DataFrame, triangles: DataFrame, resolution: int, seed: int = 0, base: float = 1.0) -> DataFrame:
@@ -214,8 +226,9 @@ def decompose(vertices: DataFrame, triangles: DataFrame, concavity: float, num_p
         found = splitting.decompose(*arrays(v, t), concavity, num_parts, config, [seed, int(key[0])])
         return packed(key, [k.Solid(p, f) for p, f in found.parts], found.concavity)
 
-    v = vertices.select(*MESH, "vertex_id", "x", "y", "z").groupBy(*MESH)
-    return v.cogroup(triangles.select(*MESH, "triangle_id", "v0", "v1", "v2").groupBy(*MESH)).applyInPandas(run, PARTS)
+    v = dealt(vertices.select(*MESH, "vertex_id", "x", "y", "z"), MESH).groupBy(*MESH)
+    t = dealt(triangles.select(*MESH, "triangle_id", "v0", "v1", "v2"), MESH).groupBy(*MESH)
+    return v.cogroup(t).applyInPandas(run, PARTS)
 
 
 def decompose_one(points: np.ndarray, faces: np.ndarray, concavity: float, num_parts: int, config: Config | None = None, seed: int = 0):
