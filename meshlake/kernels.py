@@ -869,7 +869,11 @@ def surface_nets(phi: Array, low: Array) -> tuple[Array, Array]:
 
 
 def remesh(points: Array, faces: Array, scale: float, iso: float) -> tuple[Array, Array]:
-    """A closed surface ``iso`` away from a mesh, at ``scale`` lattice units per unit."""
-    phi, low = signed_grid(points * scale, faces, iso * scale)
+    """A closed surface ``iso`` away from a mesh, at ``scale`` lattice units per unit.
+
+    The lattice is shifted by odd amounts, since faces that lie on it make ties.
+    """
+    shift = np.array([0.137, 0.271, 0.419])
+    phi, low = signed_grid(points * scale + shift, faces, iso * scale)
     p, f = surface_nets(phi, low)
-    return p / scale, f
+    return (p - shift) / scale, f
