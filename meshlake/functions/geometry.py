@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Tolerances and the constant of the published method.
@@ -166,32 +166,37 @@ def point_triangle(p: Vec, a: Vec, b: Vec, c: Vec) -> Column:
     return F.when(off.isNotNull() & inside, F.abs(off)).otherwise(around)
 
 
-def closest_on_triangle(p: Vec, a: Vec, b: Vec, c: Vec) -> Vec:
-    """The closest point of a triangle, by the region of the plane in which the foot falls."""
+def with_closest(rows: DataFrame, prefix: str = "q", names: str = "abc") -> DataFrame:
+    """``rows`` with the closest point of triangle a, b, c (or other ``names``) to point p, by the region of the plane in which the foot falls.
+
+    Done in steps with columns of their own: as one expression, the products would be
+    written out so often that it outgrows what a compiled method may hold.
+    """
+    p, (a, b, c) = vec("p"), (vec(n) for n in names)
     ab, ac = b.minus(a), c.minus(a)
-    pa, pb, pc = p.minus(a), p.minus(b), p.minus(c)
-    d1, d2, d3, d4, d5, d6 = ab.dot(pa), ac.dot(pa), ab.dot(pb), ac.dot(pb), ab.dot(pc), ac.dot(pc)
-    va, vb, vc = d3 * d6 - d5 * d4, d5 * d2 - d1 * d6, d1 * d4 - d3 * d2
-    on_ab = a.plus(ab.times(F.try_divide(d1, d1 - d3)))
-    on_ac = a.plus(ac.times(F.try_divide(d2, d2 - d6)))
-    on_bc = b.plus(c.minus(b).times(F.try_divide(d4 - d3, (d4 - d3) + (d5 - d6))))
-    total = va + vb + vc
-    inside = a.plus(ab.times(F.try_divide(vb, total))).plus(ac.times(F.try_divide(vc, total)))
+    sides = {f"_{k}": x for k, x in enumerate(
+        (ab.dot(p.minus(a)), ac.dot(p.minus(a)), ab.dot(p.minus(b)), ac.dot(p.minus(b)), ab.dot(p.minus(c)), ac.dot(p.minus(c))), 1
+    )}
+    d1, d2, d3, d4, d5, d6 = (F.col(f"_{k}") for k in range(1, 7))
+    areas = {"_va": d3 * d6 - d5 * d4, "_vb": d5 * d2 - d1 * d6, "_vc": d1 * d4 - d3 * d2}
+    va, vb, vc = (F.col(n) for n in areas)
+    # The point is a + s * ab + t * ac.
+    on_bc, total = F.try_divide(d4 - d3, (d4 - d3) + (d5 - d6)), va + vb + vc
+    zero, one = F.lit(0.0), F.lit(1.0)
     regions = [
-        ((d1 <= 0) & (d2 <= 0), a),
-        ((d3 >= 0) & (d4 <= d3), b),
-        ((vc <= 0) & (d1 >= 0) & (d3 <= 0), on_ab),
-        ((d6 >= 0) & (d5 <= d6), c),
-        ((vb <= 0) & (d2 >= 0) & (d6 <= 0), on_ac),
-        ((va <= 0) & (d4 - d3 >= 0) & (d5 - d6 >= 0), on_bc),
+        ((d1 <= 0) & (d2 <= 0), zero, zero),
+        ((d3 >= 0) & (d4 <= d3), one, zero),
+        ((vc <= 0) & (d1 >= 0) & (d3 <= 0), F.try_divide(d1, d1 - d3), zero),
+        ((d6 >= 0) & (d5 <= d6), zero, one),
+        ((vb <= 0) & (d2 >= 0) & (d6 <= 0), zero, F.try_divide(d2, d2 - d6)),
+        ((va <= 0) & (d4 - d3 >= 0) & (d5 - d6 >= 0), 1 - on_bc, on_bc),
     ]
-    out = []
-    for axis in range(3):
-        chosen = F.when(regions[0][0], regions[0][1][axis])
-        for test, point in regions[1:]:
-            chosen = chosen.when(test, point[axis])
-        out.append(chosen.otherwise(inside[axis]))
-    return Vec(*out)
+    s, t = F.when(regions[0][0], regions[0][1]), F.when(regions[0][0], regions[0][2])
+    for test, x, y in regions[1:]:
+        s, t = s.when(test, x), t.when(test, y)
+    shares = {"_s": s.otherwise(F.try_divide(vb, total)), "_t": t.otherwise(F.try_divide(vc, total))}
+    found = a.plus(ab.times(F.col("_s"))).plus(ac.times(F.col("_t")))
+    return rows.withColumns(sides).withColumns(areas).withColumns(shares).select(*rows.columns, *found.columns(prefix))
 
 
 def radius_of_volume(volume: Column) -> Column:
@@ -227,23 +232,35 @@ def pair_of_index(k: Column, n: Column) -> tuple[Column, Column]:
     return i.cast("bigint"), j.cast("bigint")
 
 
-def segment_hits(p: Vec, q: Vec, a: Vec, b: Vec, c: Vec, margin: float = 1e-3) -> Column:
-    """Whether the segment, less ``margin`` at both ends, crosses the triangle (Moeller-Trumbore).
+def with_hits(rows: DataFrame, margin: float = 1e-3) -> DataFrame:
+    """``rows`` with ``hit``: whether the segment p, q, less ``margin`` at both ends, crosses the triangle a, b, c (Moeller-Trumbore).
 
     Sides belong to the triangle, with some room for rounding: a segment through the side of
-    two triangles must not slip between them.
+    two triangles must not slip between them. Done in steps, as :func:`with_closest` is.
     """
-    along = q.minus(p)
-    size = along.length()
-    direction = along.over(size)
-    e, f = b.minus(a), c.minus(a)
-    h = direction.cross(f)
-    det = e.dot(h)
-    s = p.minus(a)
-    u = F.try_divide(s.dot(h), det)
-    k = s.cross(e)
-    v = F.try_divide(direction.dot(k), det)
-    t = F.try_divide(f.dot(k), det)
-    eps = 1e-9
-    hit = (F.abs(det) > 1e-12) & (u >= -eps) & (v >= -eps) & (u + v <= 1 + eps) & (t > margin) & (t < size - margin)
-    return F.coalesce(hit, F.lit(False))
+    p, q, a, b, c = (vec(n) for n in "pqabc")
+
+    def step(df: DataFrame, **vectors: Vec) -> DataFrame:
+        return df.withColumns({f"_{n}{axis}": x for n, v in vectors.items() for x, axis in zip(v, "xyz", strict=True)})
+
+    e, f, s, w, h, m = (vec(f"_{n}") for n in "efswhm")
+    df = rows.withColumn("_len", q.minus(p).length())
+    df = step(df, e=b.minus(a), f=c.minus(a), s=p.minus(a), w=q.minus(p).over(F.col("_len")))
+    df = step(df, h=w.cross(f), m=s.cross(e))
+    df = df.withColumn("_det", e.dot(h))
+    df = df.withColumns({n: F.try_divide(x, F.col("_det")) for n, x in (("_u", s.dot(h)), ("_v", w.dot(m)), ("_t", f.dot(m)))})
+    u, v, t, eps = F.col("_u"), F.col("_v"), F.col("_t"), 1e-9
+    hit = (F.abs("_det") > 1e-12) & (u >= -eps) & (v >= -eps) & (u + v <= 1 + eps) & (t > margin) & (t < F.col("_len") - margin)
+    return df.select(*rows.columns, F.coalesce(hit, F.lit(False)).alias("hit"))
+
+
+def with_point_triangle(rows: DataFrame, name: str = "distance") -> DataFrame:
+    """``rows`` with the :func:`point_triangle` distance of point p to triangle a, b, c, in steps."""
+    p, a, b, c, n, g = (vec(x) for x in ("p", "a", "b", "c", "_n", "_g"))
+    df = rows.withColumns(dict(zip(("_nx", "_ny", "_nz"), face_normal(a, b, c), strict=True)))
+    df = df.withColumn("_off", n.dot(p.minus(a)))
+    df = df.withColumns(dict(zip(("_gx", "_gy", "_gz"), p.minus(n.times(F.col("_off"))), strict=True)))
+    df = df.withColumn("_in", point_in_triangle(g, a, b, c))
+    df = df.withColumns({f"_s{k}": point_segment(p, s, t) for k, (s, t) in enumerate(((a, b), (b, c), (c, a)))})
+    around = F.least("_s0", "_s1", "_s2", distance(p, a), distance(p, b), distance(p, c))
+    return df.select(*rows.columns, F.when(F.col("_off").isNotNull() & F.col("_in"), F.abs("_off")).otherwise(around).alias(name))

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshlake.functions.geometry import (
-    Vec, bisector, closest_on_triangle, distance, face_normal, plane, point_triangle, segment_hits, triangle_area, vec,
+    Vec, bisector, distance, face_normal, plane, triangle_area, vec, with_closest, with_hits, with_point_triangle,
 )
-from meshlake.operators.aggregates import MESH, PART, with_ends
+from meshlake.operators.aggregates import MESH, PART, dealt, with_ends
 
 # --- joins -----------------------------------------------------------------
 
@@ -35,8 +35,9 @@ def adjacency(triangles: DataFrame, keys: list[str] = MESH) -> DataFrame:
 def vertex_pairs(vertices: DataFrame, keys: list[str] = MESH, only_new: bool = False) -> DataFrame:
     """``keys, i, j, px .. qz`` with i < j. ``only_new``: at least one of them is new (a null flag counts as new)."""
     new = [F.coalesce("is_new", F.lit(True)).alias("new")] if only_new else []
-    a = vertices.select(*keys, F.col("vertex_id").alias("i"), *vec().columns("p"), *[c.alias("new_i") for c in new])
-    b = vertices.select(*keys, F.col("vertex_id").alias("j"), *vec().columns("q"), *[c.alias("new_j") for c in new])
+    rows = dealt(vertices.select(*keys, "vertex_id", "x", "y", "z", *[c.alias("new") for c in new]), keys)
+    a = rows.select(*keys, F.col("vertex_id").alias("i"), *vec().columns("p"), *[F.col("new").alias("new_i") for _ in new])
+    b = rows.select(*keys, F.col("vertex_id").alias("j"), *vec().columns("q"), *[F.col("new").alias("new_j") for _ in new])
     pairs = a.join(b, keys).where("i < j")
     return pairs.where("new_i OR new_j").drop("new_i", "new_j") if only_new else pairs
 
@@ -47,8 +48,8 @@ def blocked(pairs: DataFrame, corner_rows: DataFrame, keys: list[str] = MESH) ->
     near = F.lit(True)
     for k in range(3):
         near = near & (F.least(p[k], q[k]) <= F.greatest(a[k], b[k], c[k])) & (F.greatest(p[k], q[k]) >= F.least(a[k], b[k], c[k]))
-    hits = pairs.join(corner_rows, keys).where(near).where(segment_hits(p, q, a, b, c))
-    return hits.select(*keys, "i", "j").distinct()
+    hits = with_hits(pairs.join(corner_rows, keys).where(near))
+    return hits.where("hit").select(*keys, "i", "j").distinct()
 
 
 def visibility_edges(vertices: DataFrame, own: DataFrame, cage: DataFrame, keys: list[str] = MESH, only_new: bool = False) -> DataFrame:
@@ -257,8 +258,8 @@ def one_sided_hausdorff(queries: DataFrame, targets: DataFrame, target_corners:
     A distance above 10 is replaced by that to the nearest sample; what isn't finite counts as 0.
     """
     near = nearest_samples(queries, targets, k, keys).join(target_corners, [*keys, "triangle_id"])
-    far = point_triangle(vec("q"), vec("a"), vec("b"), vec("c"))
-    best = near.groupBy(*keys, "sample_id").agg(F.min(far).alias("d"), F.sqrt(F.min("d2")).alias("nearest"))
+    near = with_point_triangle(near.withColumns({f"p{a}": F.col(f"q{a}") for a in "xyz"}))
+    best = near.groupBy(*keys, "sample_id").agg(F.min("distance").alias("d"), F.sqrt(F.min("d2")).alias("nearest"))
     best = best.withColumn("d", F.when(F.col("d") > 10, F.col("nearest")).otherwise(F.col("d")))
     usable = F.when(F.isnan("d") | (F.col("d") == float("inf")), 0.0).otherwise(F.col("d"))
     return best.groupBy(*keys).agg(F.max(usable).alias("h"))
@@ -288,21 +289,21 @@ def voxelize(corner_rows: DataFrame, scale: float, keys: list[str] = MESH) -> Da
         ends = [F.col(f"{p}{axis}") for p in "abc"]
         return F.sequence(F.floor(F.least(*ends)).cast("int"), F.ceil(F.greatest(*ends)).cast("int"))
 
-    def d2(x: Column, y: Column, z: Column) -> Column:
-        p = Vec(x.cast("double"), y.cast("double"), z.cast("double"))
-        off = p.minus(closest_on_triangle(p, vec("a"), vec("c"), vec("b")))
-        return off.dot(off)
+    def with_d2(df: DataFrame) -> DataFrame:
+        off = vec("p").minus(vec("q"))
+        placed = df.withColumns({f"p{a}": F.col(a).cast("double") for a in "xyz"})
+        return with_closest(placed, "q", "acb").select(*df.columns, off.dot(off).alias("d2"))
 
     corner = [F.col(f"{p}{a}") for p in "abc" for a in "xyz"]
     lattice = rows.select(*keys, "triangle_id", *corner, F.explode(span("x")).alias("x"))
     lattice = lattice.select("*", F.explode(span("y")).alias("y")).select("*", F.explode(span("z")).alias("z"))
-    seeds = lattice.where(d2(F.col("x"), F.col("y"), F.col("z")) <= 0.75).select(*keys, "triangle_id", "x", "y", "z")
+    seeds = with_d2(lattice).where("d2 <= 0.75").select(*keys, "triangle_id", "x", "y", "z")
     floors = rows.select(*keys, "triangle_id", *[F.floor(F.col(f"a{a}")).cast("int").alias(a) for a in "xyz"])
     around = F.array(*[F.struct(*[(F.col(a) + d).alias(f"n{a}") for a, d in zip("xyz", ds, strict=True)]) for ds in _AROUND])
     cells = seeds.unionByName(floors).select(*keys, "triangle_id", F.inline(around)).distinct()
     cells = cells.select(*keys, "triangle_id", *[F.col(f"n{a}").alias(a) for a in "xyz"])
     found = cells.join(rows.select(*keys, "triangle_id", *corner), [*keys, "triangle_id"])
-    found = found.withColumn("d2", F.round(d2(F.col("x"), F.col("y"), F.col("z")), 9))
+    found = with_d2(found).withColumn("d2", F.round("d2", 9))
     best = found.groupBy(*keys, "x", "y", "z").agg(F.min(F.struct("d2", "triangle_id")).alias("best"))
     return best.select(*keys, "x", "y", "z", "best.d2", "best.triangle_id")
 

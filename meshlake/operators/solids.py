@@ -6,7 +6,7 @@ only repeats its meshes. Results are long tables again.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from meshlake import kernels as k
 from meshlake.config import Config, validate
-from meshlake.operators.aggregates import MESH, PART
+from meshlake.operators.aggregates import MESH, PART, dealt
 
 PARTS = "mesh_id bigint, part_id int, n_parts int, concavity double, xyz array<double>, faces array<int>, tokens array<bigint>, edges array<int>"
 
@@ -25,25 +25,30 @@ def arrays(vertices: pd.DataFrame, triangles: pd.DataFrame) -> tuple[np.ndarray,
     return v[["x", "y", "z"]].to_numpy(float), t[["v0", "v1", "v2"]].to_numpy(np.int64)
 
 
-def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
-    """``df`` dealt by mesh to as many tasks as there are shuffle partitions, or twice the cores if those are more.
+def per_mesh(vertices: DataFrame, triangles: DataFrame, f: Callable[[tuple, np.ndarray, np.ndarray], pd.DataFrame], schema: str, keys: list[str] = PART) -> DataFrame:
+    """Apply ``f(key values, points, faces)`` to each mesh. A mesh that lacks points or faces gets empty arrays.
 
-    The rows of a mesh are few bytes but much work: Spark must not join tasks by size.
+    Meshes become rows of two flat arrays in the JVM, and Python gets many of them at a time.
     """
-    spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    return df.repartition(n, *keys)
 
+    def flat(df: DataFrame, order: str, columns: list[str], name: str) -> DataFrame:
+        rows = df.select(*keys, order, *columns).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, *columns))).alias("rows"))
+        return rows.select(*keys, F.flatten(F.transform("rows", lambda r: F.array(*[r[c] for c in columns]))).alias(name))
 
-def per_mesh(vertices: DataFrame, triangles: DataFrame, f: Callable[[tuple, np.ndarray, np.ndarray], pd.DataFrame], schema: str, keys: list[str] = PART) -> DataFrame:
-    """Apply ``f(key values, points, faces)`` to each mesh. A mesh that lacks points or faces gets empty arrays."""
+    v, t = flat(vertices, "vertex_id", ["x", "y", "z"], "points"), flat(triangles, "triangle_id", ["v0", "v1", "v2"], "faces")
 
-    def run(key: tuple, v: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        return f(key, *arrays(v, t))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for *key, points, faces in batch.itertuples(index=False, name=None):
+                p = np.zeros((0, 3)) if points is None else np.array(points, dtype=float).reshape(-1, 3)
+                t = k.NO_FACES if faces is None else np.array(faces, dtype=np.int64).reshape(-1, 3)
+                out.append(f(tuple(key), p, t))
+            out = [x for x in out if len(x)]
+            if out:
+                yield pd.concat(out)
 
-    v = dealt(vertices.select(*keys, "vertex_id", "x", "y", "z"), keys).groupBy(*keys)
-    t = dealt(triangles.select(*keys, "triangle_id", "v0", "v1", "v2"), keys).groupBy(*keys)
-    return v.cogroup(t).applyInPandas(run, schema)
+    return dealt(v.join(t, keys, "full_outer").select(*keys, "points", "faces"), keys).mapInPandas(run, schema)
 
 
 def packed(key: tuple, parts: list[k.Solid], concavity: float = 0.0) -> pd.DataFrame:

@@ -158,7 +158,8 @@ def b10(spark, d):
 
 @query("b11_point_triangle", f"WITH {o.SOUP}, probed AS (SELECT *, {_PROBE_SQL} FROM soup), {o.point_triangle('probed', 'mesh_id, triangle_id')} SELECT mesh_id, triangle_id, {o.r6('d')} AS distance FROM measured")
 def b11(spark, d):
-    return fx.soup(spark, d).select("mesh_id", "triangle_id", r6(g.point_triangle(_PROBE, A, B, C)).alias("distance"))
+    rows = g.with_point_triangle(fx.soup(spark, d).select("*", *_PROBE.columns("p")))
+    return rows.select("mesh_id", "triangle_id", r6(F.col("distance")).alias("distance"))
 
 
 def _closest_sql(rows: str, keep: str) -> str:
@@ -181,7 +182,8 @@ closest AS (SELECT {keep}, {cases} FROM cl2)"""
 
 @query("b12_closest_on_triangle", f"WITH {o.SOUP}, probed AS (SELECT *, {_PROBE_SQL} FROM soup), {_closest_sql('probed', 'mesh_id, triangle_id')} SELECT mesh_id, triangle_id, {', '.join(f'{o.r6(x)} AS {x}' for x in o.v('q'))} FROM closest")
 def b12(spark, d):
-    return fx.soup(spark, d).select("mesh_id", "triangle_id", *g.closest_on_triangle(_PROBE, A, B, C).columns("q", r6))
+    rows = g.with_closest(fx.soup(spark, d).select("*", *_PROBE.columns("p")))
+    return rows.select("mesh_id", "triangle_id", *vec("q").columns("q", r6))
 
 
 @query("b13_subdivide_edge", _soup(f"SELECT mesh_id, triangle_id, CAST(k AS INT) AS k, {o.names(o.add(o.A, o.mul(o.sub(o.B, o.A), '(k / 4.0::DOUBLE)')), 'e', o.r6)} FROM soup, range(5) AS r(k)"))
