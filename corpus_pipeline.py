@@ -21,19 +21,22 @@ ORACLE_SQL = None
 
 
 def _attach(docs: DataFrame, sha: Column, decided: DataFrame, result: str) -> DataFrame:
-    """The rows of ``docs`` that ``decided(doc_id, sha, <result>)`` has, with its result.
+    """``row`` (a struct of all columns of ``docs``) and ``result`` of the rows that ``decided(doc_id, sha, <result>)`` has.
 
     A row is told by doc_id and the hash of its text; only if any doc_id repeats, rows that
-    share both are numbered on either side.
+    share both are numbered on either side. Columns of ``docs`` stay inside the struct, so
+    that none can clash with a name used here.
     """
     repeats = docs.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    own = Window.partitionBy("doc_id", "sha")
-    left = docs.withColumn("sha", sha)
-    left = left.withColumn("nth", F.row_number().over(own.orderBy("sha")) if repeats else F.lit(1))
-    right = decided.withColumn("nth", F.row_number().over(own.orderBy("sha")) if repeats else F.lit(1))
-    right = right.select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), F.col("nth").alias("_nth"), F.col(result).alias("_result"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")) & (F.col("nth") == F.col("_nth"))
-    return left.join(right, same).select(*docs.columns, "_result")
+
+    def numbered(df: DataFrame, tag: str) -> DataFrame:
+        own = Window.partitionBy(f"id_{tag}", f"sha_{tag}").orderBy(f"sha_{tag}")
+        return df.withColumn(f"nth_{tag}", F.row_number().over(own) if repeats else F.lit(1))
+
+    left = numbered(docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id_l"), sha.alias("sha_l")), "l")
+    right = numbered(decided.select(F.col("doc_id").alias("id_r"), F.col("sha").alias("sha_r"), F.col(result).alias("result")), "r")
+    same = F.col("id_l").eqNullSafe(F.col("id_r")) & (F.col("sha_l") == F.col("sha_r")) & (F.col("nth_l") == F.col("nth_r"))
+    return left.join(right, same).select("row", "result")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +47,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each normalised text: the one with the smallest doc_id."""
     kept = exact_dedup(docs).where("kept").select("doc_id", F.col("text_sha256").alias("sha"), F.lit(True).alias("kept"))
-    return _attach(docs, F.sha2(normalised(), 256), kept, "kept").drop("_result")
+    return _attach(docs, F.sha2(normalised(), 256), kept, "kept").select("row.*")
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +56,7 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     found = near_duplicates(docs.select("doc_id", "text", sha.alias("sha")), carry=("sha",))
     one = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "sha")).alias("one")
     kept = found.groupBy("root").agg(one).select("one.doc_id", "one.sha", F.lit(True).alias("kept"))
-    return _attach(docs, sha, kept, "kept").drop("_result")
+    return _attach(docs, sha, kept, "kept").select("row.*")
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,8 +65,8 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixed = mix(docs.select("doc_id", "text", "source", sha.alias("sha")), carry=("sha",))
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int").alias("times")
     decided = mixed.select("doc_id", "sha", times)
-    rows = _attach(docs, sha, decided, "times").where("_result > 0")
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_result"))).alias("_copy")).drop("_copy")
+    rows = _attach(docs, sha, decided, "times").where("result > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("result")))).select("row.*")
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

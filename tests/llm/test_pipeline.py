@@ -1,8 +1,11 @@
 """The pipeline, stage by stage, against plain versions of what each decides."""
 
+import hashlib
+import re
 from collections import Counter
 
 import pytest
+from test_operators import plain_components, plain_fp, plain_lague, plain_targets
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 DATA = "/root/testdata/sf0.001"
@@ -53,7 +56,62 @@ def test_repeated_and_null_rows(spark):
         assert stage(spark, none, DATA).count() == 0
 
 
-def test_whole_run(spark):
-    found = corpus_pipeline.run(spark, DATA)
-    assert {"doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"} <= set(found.columns)
-    assert found.count() > 100
+def test_columns_with_clashing_names(spark):
+    """Names that stages use inside are columns like others, and keep their values."""
+    extra = ["sha", "row", "result", "nth_l", "id_l", "sha_r", "kept", "size", "taken", "uid", "block", "fp", "name", "held_out"]
+    words = ["alpha beta gamma delta", "alpha  beta gamma delta", "one two three four five six", "red green blue"]
+    rows = [(k, t, "en", "s", len(t), *[f"{c}{k}" for c in extra]) for k, t in enumerate(words)]
+    df = spark.createDataFrame(rows, DOCS + "".join(f", {c} string" for c in extra))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        made = stage(spark, df, DATA)
+        assert made.columns == df.columns, name
+        for r in made.collect():
+            assert [r[c] for c in extra] == [f"{c}{r['doc_id']}" for c in extra], name
+    assert corpus_pipeline.STAGES[-1][1](spark, df, DATA).count() == len(rows)
+
+
+def plain_mix(spark, rows, seed=20_240_501):
+    """How often each doc_id is taken: words laid out one by one in seeded order, blocks counted off."""
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for i, t, _ in rows}
+    sizes = Counter()
+    for i, _, source in rows:
+        sizes[source] += size[i]
+    assert max(sizes.values()) < 1 << 20  # one shard for each source
+    target = plain_targets(sizes)
+    block = max(1, min(1024, int(min(t for t in target.values() if t > 0) / 256)))
+    order = {r["i"]: r["h"] for r in spark.createDataFrame([(i,) for i in size], "i bigint").selectExpr("i", f"xxhash64(i, {seed + 2}) AS h").collect()}
+    first = {r["s"]: r["h"] for r in spark.createDataFrame([(s,) for s in sizes], "s string").selectExpr("s", f"xxhash64(s, 0L, {seed + 1}) AS h").collect()}
+    seats = plain_lague({s: target[s] for s in sorted(sizes)}, int(sum(target.values()) / block + 0.5))
+    taken = Counter()
+    for s in sizes:
+        words = [i for _, i in sorted((order[i], i) for i, _, source in rows if source == s) for _ in range(size[i])]
+        blocks = max(1, -(-len(words) // block))
+        for k in range(min(seats[s], 2 * blocks)):
+            at = (first[s] % blocks + k) % blocks
+            taken.update(words[at * block : (at + 1) * block])
+    return {i: int(taken[i] / size[i] + 0.5) if size[i] else 0 for i in size}
+
+
+def test_whole_run_equals_a_plain_version(spark, docs):
+    from sentencepiece import SentencePieceProcessor
+
+    from meshlake.llm.langid import fit
+    from meshlake.llm.spm import default_model
+
+    model = fit(docs)
+    rows = [(r["doc_id"], r["text"] or "", r["source"]) for r in docs.collect() if not model.predict([r["text"]])[2][0]]
+    first = {}
+    for i, t, s in sorted(rows):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t), (i, t, s))
+    rows = list(first.values())
+    least = {i: c for i, _, c in plain_components([(i, plain_fp(t)) for i, t, _ in rows])}
+    rows = [r for r in rows if least[r[0]] == r[0]]
+    times = plain_mix(spark, rows)
+    library, expected = SentencePieceProcessor(model_file=default_model()), Counter()
+    for i, t, _ in rows:
+        ids_ = library.encode(t, add_eos=True)
+        sha = [hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(map(str, ids_)), library.decode(ids_))]
+        if times[i]:
+            expected[(i, len(ids_), *sha)] += times[i]
+    found = corpus_pipeline.run(spark, DATA).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert Counter(tuple(r) for r in found) == expected and len(expected) > 50
