@@ -24,13 +24,14 @@ DIMS, CENTROIDS, MAX_LANGUAGES, MAX_SAMPLE = 4096, 4, 256, 4096
 #: A text is rejected below this share of the least cosine that all but one in 200 training documents have.
 REJECT = 0.5
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_ALNUM = re.compile(r"[^\W\d_]")
 _GAPS = bytes(c if c >= 0x80 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
 _AT_ONCE = 1 << 18
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    """Whether a text has a letter. Numerals such as ½ and Ⅲ match the pattern too, but are none."""
+    return bool(text) and any(m[0].isalpha() for m in _ALNUM.finditer(text))
 
 
 def counts(text: str, dims: int = DIMS) -> np.ndarray:
