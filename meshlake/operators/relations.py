@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshlake.functions.geometry import (
-    Vec, bisector, distance, face_normal, plane, triangle_area, vec, with_closest, with_hits, with_point_triangle,
+    Vec, bisector, distance, face_normal, fields, plane, triangle_area, vec, with_closest, with_hits, with_point_triangle,
 )
 from meshlake.operators.aggregates import MESH, PART, dealt, with_ends
 
@@ -49,7 +49,8 @@ def blocked(pairs: DataFrame, corner_rows: DataFrame, keys: list[str] = MESH) ->
     for k in range(3):
         near = near & (F.least(p[k], q[k]) <= F.greatest(a[k], b[k], c[k])) & (F.greatest(p[k], q[k]) >= F.least(a[k], b[k], c[k]))
     hits = with_hits(pairs.join(corner_rows, keys).where(near))
-    return hits.where("hit").select(*keys, "i", "j").distinct()
+    # Not a filter: that would be moved below the steps of the test, which would then be written out as one expression.
+    return hits.select(*keys, F.inline(F.when(F.col("hit"), F.array(F.struct("i", "j"))))).distinct()
 
 
 def visibility_edges(vertices: DataFrame, own: DataFrame, cage: DataFrame, keys: list[str] = MESH, only_new: bool = False) -> DataFrame:
@@ -212,6 +213,48 @@ def outward(corner_rows: DataFrame, triangles: DataFrame, vertices: DataFrame, k
     )
 
 
+def cap_frames(border: DataFrame, planes: DataFrame, keys: list[str] = MESH) -> DataFrame:
+    """``keys, swapped, tx, ty, tz, r0x .. r2z``: origin and orthonormal axes of the plane that a border's points lie in.
+
+    ``border(keys, at, x, y, z)``, ``planes(keys, a, b, c)``. The origin is the point at 0; the second point is the first
+    more than 0.01 away from it, the third the first from 2 on that isn't in line with them. If their
+    normal points the way of the plane's, origin and third point change places. Borders without such points give no row.
+    """
+    whole, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("at")
+    here = vec()
+
+    def first(test: Column) -> Column:
+        return F.min(F.when(test, F.struct("at", "x", "y", "z"))).over(whole)
+
+    rows = border.select(*keys, "at", "x", "y", "z", F.row_number().over(order).alias("nth"))
+    rows = rows.withColumn("p", first(F.col("nth") == 1))
+    rows = rows.withColumn("q", first((F.col("nth") > 1) & (distance(fields(F.col("p")), here) > 0.01)))
+    p, q = fields(F.col("p")), fields(F.col("q"))
+    along, onwards = q.minus(p), here.minus(q)
+    cosine = F.try_divide(along.dot(onwards), along.length() * onwards.length())
+    bent = (F.col("nth") > 2) & (F.col("at") != F.col("q.at")) & (F.abs(F.abs(cosine) - 1) > 1e-6)
+    rows = rows.withColumn("bent", F.coalesce(bent, F.lit(False))).where("bent")
+    three = rows.groupBy(*keys).agg(F.min_by(F.struct("p", "q", F.struct("x", "y", "z").alias("r")), "at").alias("s"))
+    three = three.select(*keys, *[F.col(f"s.{n}.{a}").alias(f"{n}{a}") for n in "pqr" for a in "xyz"]).join(planes, keys)
+    p, q, r = (vec(n) for n in "pqr")
+    swap = face_normal(p, q, r).dot(Vec(*[F.col(n) for n in "abc"])) > 0
+    three = three.withColumn("swapped", F.coalesce(swap, F.lit(False)))
+    origin = Vec(*[F.when(F.col("swapped"), c).otherwise(o) for c, o in zip(r, p, strict=True)])
+    third = Vec(*[F.when(F.col("swapped"), o).otherwise(c) for c, o in zip(r, p, strict=True)])
+    three = three.select(*keys, "swapped", *origin.columns("t"), *third.columns("u"), *q.columns("q"))
+    t, u = vec("t"), vec("u")
+    three = three.select("*", *t.minus(q).unit().columns("r0"))
+    three = three.select("*", *vec("r0").cross(u.minus(t)).unit().columns("r2"))
+    three = three.select("*", *vec("r0").cross(vec("r2")).unit().columns("r1"))
+    return three.select(*keys, "swapped", *[f"{n}{a}" for n in ("t", "r0", "r1", "r2") for a in "xyz"])
+
+
+def admitted(children: DataFrame, at_least: int = 10, keys: list[str] = MESH) -> DataFrame:
+    """``keys, part_id, place``: of new parts ``keys, part_id, n_vertices``, those with enough points, in order."""
+    order = Window.partitionBy(*keys).orderBy("part_id")
+    return children.where(F.col("n_vertices") >= at_least).select(*keys, "part_id", F.row_number().over(order).alias("place"))
+
+
 def merge_meshes(vertices: DataFrame, triangles: DataFrame, keys: list[str] = MESH) -> tuple[DataFrame, DataFrame]:
     """All parts of a mesh as one: vertex and triangle numbers are shifted by those of the parts before."""
 
@@ -283,7 +326,8 @@ def voxelize(corner_rows: DataFrame, scale: float, keys: list[str] = MESH) -> Da
     of its first corner. Of equal distances the smaller triangle id stays.
     """
     grid = {f"{p}{a}": (F.col(f"{p}{a}") * scale).cast("float").cast("double") for p in "abc" for a in "xyz"}
-    rows = corner_rows.withColumns(grid)
+    # Dealt by mesh: all that follows is done where a mesh's triangles are.
+    rows = dealt(corner_rows.withColumns(grid), keys)
 
     def span(axis: str) -> Column:
         ends = [F.col(f"{p}{axis}") for p in "abc"]
@@ -297,15 +341,22 @@ def voxelize(corner_rows: DataFrame, scale: float, keys: list[str] = MESH) -> Da
     corner = [F.col(f"{p}{a}") for p in "abc" for a in "xyz"]
     lattice = rows.select(*keys, "triangle_id", *corner, F.explode(span("x")).alias("x"))
     lattice = lattice.select("*", F.explode(span("y")).alias("y")).select("*", F.explode(span("z")).alias("z"))
-    seeds = with_d2(lattice).where("d2 <= 0.75").select(*keys, "triangle_id", "x", "y", "z")
-    floors = rows.select(*keys, "triangle_id", *[F.floor(F.col(f"a{a}")).cast("int").alias(a) for a in "xyz"])
     around = F.array(*[F.struct(*[(F.col(a) + d).alias(f"n{a}") for a, d in zip("xyz", ds, strict=True)]) for ds in _AROUND])
-    cells = seeds.unionByName(floors).select(*keys, "triangle_id", F.inline(around)).distinct()
+    first = F.lit(True)
+    for a in "xyz":
+        first = first & (F.col(a) == F.col(f"a{a}_floor"))
+    floors = {f"a{a}_floor": F.floor(F.col(f"a{a}")).cast("int") for a in "xyz"}
+    # Not a filter: that would be moved below the steps of the distance, which would then be written out as one expression.
+    seeds = F.when((F.col("d2") <= 0.75) | first, around)
+    cells = with_d2(lattice.withColumns(floors)).select(*keys, "triangle_id", F.inline(seeds)).distinct()
     cells = cells.select(*keys, "triangle_id", *[F.col(f"n{a}").alias(a) for a in "xyz"])
-    found = cells.join(rows.select(*keys, "triangle_id", *corner), [*keys, "triangle_id"])
-    found = with_d2(found).withColumn("d2", F.round("d2", 9))
-    best = found.groupBy(*keys, "x", "y", "z").agg(F.min(F.struct("d2", "triangle_id")).alias("best"))
-    return best.select(*keys, "x", "y", "z", "best.d2", "best.triangle_id")
+    # Triangles are a small part of what their cells are: each task holds its own, and cells stream past unsorted.
+    found = cells.join(rows.select(*keys, "triangle_id", *corner).hint("shuffle_hash"), [*keys, "triangle_id"])
+    # Distance, in billionths, and triangle in one number (a distance is below 16): its least is a plain hash aggregate.
+    both = F.shiftleft(F.round(F.col("d2") * 1e9).cast("bigint"), 29).bitwiseOR(F.col("triangle_id").cast("bigint"))
+    best = with_d2(found).groupBy(*keys, "x", "y", "z").agg(F.min(both).alias("best"))
+    d2, triangle = F.shiftright("best", 29) / 1e9, F.col("best").bitwiseAND(F.lit((1 << 29) - 1))
+    return best.select(*keys, "x", "y", "z", d2.alias("d2"), triangle.cast("int").alias("triangle_id"))
 
 
 def signed_distance(voxels: DataFrame, voxel_size: float) -> DataFrame:
