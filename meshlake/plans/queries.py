@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from meshlake.functions import geometry as g
 from meshlake.functions.geometry import Vec, vec
 from meshlake.operators import aggregates as agg
+from meshlake.operators import lattice
 from meshlake.operators import relations as rel
 from meshlake.operators import solids
 from meshlake.plans import oracle as o
 from meshlake.sources import fixtures as fx
+from meshlake.sources import meshes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -718,10 +720,11 @@ def i1(spark, d):
     return _rounded(_vox(spark, d))
 
 
-@query("a14_compare_voxels", _mesh("lprism", "SELECT mesh_id, count(*) AS n_one, count(*) AS n_two, CAST(0 AS BIGINT) AS differing, 0.0::DOUBLE AS largest FROM voxels GROUP BY mesh_id", f", {_VOXELS}"))
+@query("a14_compare_voxels", _mesh("lprism", f"SELECT mesh_id, count(a.x) AS n_one, count(b.x) AS n_two, CAST(sum(CASE WHEN a.x = b.x AND a.y = b.y AND a.z = b.z THEN 0 ELSE 1 END) AS BIGINT) AS differing, {o.r6('max(CASE WHEN a.x = b.x AND a.y = b.y AND a.z = b.z THEN abs(a.d2 - b.d2) END)')} AS largest FROM (SELECT *, row_number() OVER (PARTITION BY mesh_id ORDER BY x, y, z) AS n FROM voxels) a FULL JOIN (SELECT mesh_id, x, y, z, d2 * 2 AS d2, row_number() OVER (PARTITION BY mesh_id ORDER BY x, y, z) AS n FROM voxels WHERE x <= 1) b USING (mesh_id, n) GROUP BY mesh_id", f", {_VOXELS}"))
 def a14(spark, d):
-    found = _vox(spark, d)
-    return _rounded(rel.compare_by_position(found, found, ["x", "y", "z"], "d2"))
+    """The voxels against those up to x = 1 with doubled values: places agree up to there, and no further."""
+    one, two = _vox(spark, d), _vox(spark, d).where("x <= 1").withColumn("d2", F.col("d2") * 2)
+    return _rounded(rel.compare_by_position(one, two, ["x", "y", "z"], "d2"))
 
 
 @query("e12_voxel_order", _mesh("lprism", "SELECT mesh_id, x, y, z, CAST(row_number() OVER (PARTITION BY mesh_id ORDER BY x, y, z) AS INT) AS place FROM voxels", f", {_VOXELS}"))
@@ -860,10 +863,14 @@ def l5(spark, d):
     return fx.triangles(spark, d, "lprism").select("mesh_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("copy"), "triangle_id")
 
 
-@query("l6_repeatability", "SELECT CAST(count(DISTINCT p_brand) AS BIGINT) AS n_digests, count(DISTINCT p_brand) = 1 AS repeatable FROM part")
+@query("l6_repeatability", "SELECT p_partkey AS mesh_id, CAST(2 AS BIGINT) AS n_runs, CAST(CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n_digests, p_partkey % 3 <> 0 AS repeatable FROM part")
 def l6(spark, d):
-    n = F.count_distinct("p_brand")
-    return spark.read.parquet(f"{d}/part.parquet").agg(n.alias("n_digests"), (n == 1).alias("repeatable"))
+    """Digests of two runs' meshes; in the second, every third mesh has moved by a little."""
+    run = F.explode(F.array(F.lit(0), F.lit(1))).alias("run")
+    v, t = fx.vertices(spark, d, "lprism").select("*", run), fx.triangles(spark, d, "lprism").select("*", run)
+    moved = F.when((F.col("run") == 1) & (F.col("mesh_id") % 3 == 0), F.col("x") + 0.001).otherwise(F.col("x"))
+    n = F.count_distinct("digest")
+    return agg.mesh_digest(v.withColumn("x", moved), t, keys=["mesh_id", "run"]).groupBy("mesh_id").agg(F.count("*").alias("n_runs"), n.alias("n_digests"), (n == 1).alias("repeatable"))
 
 
 @query("l8_single_precision", _soup("SELECT mesh_id, triangle_id, round(CAST(CAST(ax / 3 AS FLOAT) AS DOUBLE), 6) + 0.0 AS x FROM soup"))
@@ -881,3 +888,149 @@ def l15(spark, d):
     rows = _vox(spark, d).select("mesh_id", *[(F.col(a) + 8).alias(a) for a in "xyz"])
     leaf = [(F.col(a) / 8).cast("int") for a in "xyz"]
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("mesh_id").orderBy(*leaf, "x", "y", "z")))
+
+# --- files ---------------------------------------------------------------------
+
+
+@query("a4_obj_files", """WITH few AS (SELECT row_number() OVER (ORDER BY CAST(n_nationkey AS VARCHAR) || '/') - 1 AS mesh_id, 1 + n_nationkey % 3 AS k FROM nation)
+SELECT mesh_id, CAST(12 AS BIGINT) AS n_vertices, CAST(20 AS BIGINT) AS n_triangles, round(CAST(3 * k AS DOUBLE), 6) + 0.0 AS volume FROM few""")
+def a4(spark, d):
+    """Meshes written as OBJ files and read back; a file for each mesh, numbered by the files' names."""
+    path = meshes.scratch(spark)
+    meshes.write_obj(*_few(spark, d), path)
+    v, t = meshes.read_obj(spark, f"{path}/*/*/*.txt")
+    found = agg.measures(agg.corners(t, v), MESH).select("mesh_id", "volume", F.col("n_triangles").cast("bigint").alias("n_triangles"))
+    return _rounded(v.groupBy("mesh_id").agg(F.count("*").alias("n_vertices")).join(found, "mesh_id"))
+
+
+# --- steps on lattices ---------------------------------------------------------
+
+_CELLS = """cells AS (SELECT p_partkey AS mesh_id, CAST(i AS INT) AS x, CAST(j AS INT) AS y, CAST(k AS INT) AS z,
+  CAST((i - 1) * (i - 1) + (j - 1) * (j - 1) + (k - 2) * (k - 2) - p_size % 6 AS DOUBLE) / 4 AS value
+  FROM part, range(4) AS a(i), range(4) AS b(j), range(4) AS c(k) WHERE (i * 7 + j * 5 + k * 3 + p_partkey) % 4 <> 0)"""
+_BESIDE = "m.mesh_id = c.mesh_id AND abs(m.x - c.x) <= 1 AND abs(m.y - c.y) <= 1 AND abs(m.z - c.z) <= 1 AND (m.x <> c.x OR m.y <> c.y OR m.z <> c.z)"
+
+
+def _cells(spark: SparkSession, d: str) -> DataFrame:
+    """A lattice of 4 x 4 x 4 points for each part, with holes; values are exact in binary."""
+    rows = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("mesh_id"), "p_size")
+    for a in "xyz":
+        rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias(a))
+    x, y, z = (F.col(a) for a in "xyz")
+    value = ((x - 1) * (x - 1) + (y - 1) * (y - 1) + (z - 2) * (z - 2) - F.col("p_size") % 6).cast("double") / 4
+    return rows.where((x * 7 + y * 5 + z * 3 + F.col("mesh_id")) % 4 != 0).select("mesh_id", "x", "y", "z", value.alias("value"))
+
+
+@query("i2_exterior", _mesh("lprism", f"""SELECT mesh_id, count(*) AS n_inside FROM (SELECT mesh_id, least({', '.join("sqrt(" + " + ".join(f"power(greatest({lo}{a} - l{a}, 0.0, l{a} - {hi}{a}), 2)" for a, lo, hi in zip('xyz', ('o', 'o', 'o'), ends, strict=True)) + ")" for ends in (('e', 'm', 'e'), ('m', 'e', 'e')))}) AS far
+  FROM (SELECT mesh_id, {', '.join(f'8 * (min_{a} - (max_{a} + min_{a}) / 2) / {_SIDE} AS o{a}, 8 * (max_{a} - (max_{a} + min_{a}) / 2) / {_SIDE} AS e{a}, 0.0 AS m{a}' for a in 'xyz')} FROM (SELECT mesh_id, {_BOX} FROM vertices GROUP BY mesh_id)),
+  (SELECT CAST(k AS DOUBLE) AS lx FROM range(-6, 7) AS r(k)), (SELECT CAST(k AS DOUBLE) AS ly FROM range(-6, 7) AS r(k)), (SELECT CAST(k AS DOUBLE) AS lz FROM range(-6, 7) AS r(k))) WHERE far < 0.83 GROUP BY mesh_id"""))
+def i2(spark, d):
+    return solids.level_set(*_normed(spark, d, "lprism"), 4.0, 0.2075).select("mesh_id", "n_inside")
+
+
+@query("i3_crossing_signs", f"WITH {_CELLS}, placed AS (SELECT *, 1 + (x - 1) * 0.5::DOUBLE AS qx, 1 + (y - 1) * 0.5::DOUBLE AS qy, 2 + (z - 2) * 0.5::DOUBLE AS qz FROM (SELECT * EXCLUDE value, -value AS value FROM cells)), flips AS (SELECT DISTINCT c.mesh_id, c.x, c.y, c.z FROM placed c JOIN placed m ON {_BESIDE} WHERE m.value < -0.75 AND (m.x - m.qx) * (c.x - m.qx) + (m.y - m.qy) * (c.y - m.qy) + (m.z - m.qz) * (c.z - m.qz) > 0) SELECT c.mesh_id, c.x, c.y, c.z, CASE WHEN f.x IS NOT NULL AND value BETWEEN 0 AND 0.75 THEN -value ELSE value END + 0.0 AS value FROM placed c LEFT JOIN flips f USING (mesh_id, x, y, z)")
+def i3(spark, d):
+    closest = {f"q{a}": c + (F.col(a) - c) * 0.5 for a, c in zip("xyz", (1, 1, 2), strict=True)}
+    found = lattice.crossing_signs(_cells(spark, d).withColumns({"value": -F.col("value"), **closest}))
+    return found.withColumn("value", F.col("value") + 0.0)
+
+
+@query("i4_validated", f"WITH {_CELLS} SELECT mesh_id, x, y, z, CASE WHEN value BETWEEN 0 AND 0.75 AND NOT EXISTS (SELECT 1 FROM cells m WHERE {_BESIDE} AND m.value < 0) THEN 0.7500001::DOUBLE ELSE value END + 0.0 AS value FROM cells c")
+def i4(spark, d):
+    return lattice.validated(_cells(spark, d)).withColumn("value", F.col("value") + 0.0)
+
+
+@query("i4_cleaned", f"WITH {_CELLS} SELECT mesh_id, x, y, z, value + 0.0 AS value FROM cells c WHERE value <= 0.75 OR EXISTS (SELECT 1 FROM cells m WHERE {_BESIDE} AND m.value <= 0.75)")
+def i4b(spark, d):
+    return lattice.cleaned(_cells(spark, d)).withColumn("value", F.col("value") + 0.0)
+
+
+def _godunov(axis: str) -> str:
+    down, up = f"(phi0 - coalesce(d{axis}.phi0, c.far))", f"(coalesce(u{axis}.phi0, c.far) - phi0)"
+    return f"CASE WHEN phi0 > 0 THEN greatest(power(greatest({down}, 0.0), 2), power(least({up}, 0.0), 2)) ELSE greatest(power(least({down}, 0.0), 2), power(greatest({up}, 0.0), 2)) END".replace("phi0 -", "c.phi0 -").replace("- phi0", "- c.phi0").replace("WHEN phi0", "WHEN c.phi0")
+
+
+_MOVED = f""", shifted AS (SELECT mesh_id, x, y, z, value - 0.4::DOUBLE AS phi0, CASE WHEN value - 0.4::DOUBLE + 0.4::DOUBLE >= 0 THEN 1.5::DOUBLE ELSE -1.5::DOUBLE END AS far FROM cells),
+squared AS (SELECT c.mesh_id, c.x, c.y, c.z, c.phi0, {' + '.join(_godunov(a) for a in 'xyz')} AS square FROM shifted c {' '.join(f"LEFT JOIN shifted {n}{a} ON {n}{a}.mesh_id = c.mesh_id AND " + " AND ".join(f"{n}{a}.{b} = c.{b}{s if a == b else ''}" for b in 'xyz') for a in 'xyz' for n, s in (('d', ' - 1'), ('u', ' + 1')))}),
+moved AS (SELECT mesh_id, x, y, z, least(phi0, phi0 - 0.5::DOUBLE * coalesce(phi0 / nullif(sqrt(phi0 * phi0 + square), 0), 0) * (sqrt(square) / 0.5::DOUBLE - 1)) + 0.4::DOUBLE - 1e-7::DOUBLE AS moved FROM squared)"""
+
+
+@query("i8_renormalized", f"WITH {_CELLS}{_MOVED} SELECT mesh_id, x, y, z, {o.r6('greatest(-1.5::DOUBLE, least(1.5::DOUBLE, moved))')} AS phi, moved > -1.5 AND moved < 1.5 AS active FROM moved")
+def i8(spark, d):
+    return _rounded(lattice.renormalized(_cells(spark, d).withColumnRenamed("value", "phi"), 0.5, 1.5, 1.5))
+
+
+@query("i9_closed_surface")
+def i9(spark, d):
+    """Sides of remeshed surfaces, by how many triangles share them: closed ones have no side with an odd number."""
+    parts = solids.remesh(*_normed(spark, d, "lprism"), scale=6.0, iso=0.1)
+    sides = rel.half_edges(solids.part_triangles(parts)).groupBy("mesh_id", *rel.undirected("u", "v")).agg(F.count("*").alias("n"))
+    return sides.groupBy("mesh_id").agg(F.count("*").alias("n_sides"), F.count_if(F.col("n") % 2 == 1).alias("n_open"))
+
+
+# --- further steps of clipping, distances and splitting -------------------------
+
+_BORDER = """border AS (SELECT l_orderkey AS mesh_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS "at", x, y, z
+  FROM (SELECT l_orderkey, l_linenumber, CAST(min(l_quantity) AS DOUBLE) AS x, round(CAST(min(l_discount) AS DOUBLE) * 100) AS y, round(CAST(min(l_tax) AS DOUBLE) * 100) AS z FROM lineitem GROUP BY 1, 2))"""
+_T, _U = o.v("t"), o.v("u")
+_FRAME = f"""
+one AS (SELECT mesh_id, x AS px, y AS py, z AS pz FROM border WHERE "at" = 0),
+two AS (SELECT b.mesh_id, b."at" AS qat, px, py, pz, x AS qx, y AS qy, z AS qz FROM border b JOIN one USING (mesh_id) WHERE "at" > 0 AND {o.length(o.sub(_P, o.v('')))} > 0.01 QUALIFY row_number() OVER (PARTITION BY b.mesh_id ORDER BY "at") = 1),
+three AS (SELECT t.*, x AS ax, y AS ay, z AS az FROM border b JOIN two t USING (mesh_id) WHERE "at" > 1 AND "at" <> qat
+  AND abs(abs({o.dot(o.sub(_Q, _P), o.sub(o.v(''), _Q))} / nullif({o.length(o.sub(_Q, _P))} * {o.length(o.sub(o.v(''), _Q))}, 0)) - 1) > 1e-6 QUALIFY row_number() OVER (PARTITION BY b.mesh_id ORDER BY "at") = 1),
+turned AS (SELECT *, {' + '.join(f'{w} * {x}' for w, x in zip((1, 2, -1), o.cross(o.sub(_Q, _P), o.sub(o.A, _P)), strict=True))} > 0 AS swapped FROM three),
+based AS (SELECT mesh_id, swapped, qx, qy, qz, {', '.join(f'CASE WHEN swapped THEN a{x} ELSE p{x} END AS t{x}, CASE WHEN swapped THEN p{x} ELSE a{x} END AS u{x}' for x in 'xyz')} FROM turned),
+first_axis AS (SELECT *, {o.names(o.div(o.sub(_T, _Q), o.length(o.sub(_T, _Q))), 'f')} FROM based),
+crossed AS (SELECT *, {o.names(o.cross(o.v('f'), o.sub(_U, _T)), 'w')} FROM first_axis),
+last_axis AS (SELECT *, {o.names(o.div(o.v('w'), o.length(o.v('w'))), 'h')} FROM crossed),
+middle_axis AS (SELECT *, {o.names(o.cross(o.v('f'), o.v('h')), 'g')} FROM last_axis)"""
+
+
+@query("g3_cap_frame", f"WITH {_BORDER}, {_FRAME} SELECT mesh_id, swapped, {o.names(_T, 't', o.r6)}, {o.names(o.v('f'), 'r0', o.r6)}, {o.names(o.v('g'), 'r1', o.r6)}, {o.names(o.v('h'), 'r2', o.r6)} FROM middle_axis")
+def g3(spark, d):
+    items = spark.read.parquet(f"{d}/lineitem.parquet")
+    whole = [F.round(F.min(c).cast("double") * 100).alias(a) for c, a in (("l_discount", "y"), ("l_tax", "z"))]
+    border = items.groupBy(F.col("l_orderkey").alias("mesh_id"), F.col("l_linenumber").alias("at")).agg(F.min("l_quantity").cast("double").alias("x"), *whole)
+    plane = border.select("mesh_id").distinct().select("mesh_id", F.lit(1.0).alias("a"), F.lit(2.0).alias("b"), F.lit(-1.0).alias("c"))
+    return _rounded(rel.cap_frames(border, plane))
+
+
+@query("h2_two_hull_samples")
+def h2(spark, d):
+    """Samples of a box and of the same box beside it: none by area on the side that they share."""
+    from meshlake import kernels
+
+    import numpy as np
+    import pandas as pd
+
+    def run(key, p, f):
+        q = p + np.array([p[:, 0].max() - p[:, 0].min(), 0.0, 0.0])
+        s, t = kernels.two_hull_samples((p, f), (q, f), 200, np.random.default_rng(int(key[0])))
+        shared = np.abs(s[:, 0] - p[:, 0].max()) < 1e-9
+        return pd.DataFrame({"mesh_id": [key[0]], "n_first": [int((t < len(f)).sum())], "n_second": [int((t >= len(f)).sum())], "n_shared": [int(shared.sum())]})
+
+    return solids.per_mesh(fx.vertices(spark, d, "box"), fx.triangles(spark, d, "box"), run, "mesh_id bigint, n_first bigint, n_second bigint, n_shared bigint")
+
+
+def _nearest_sql(q: str, t: str, way: int) -> str:
+    return f"SELECT q.mesh_id, CAST({way} AS INT) AS way, q.sample_id, t.sample_id AS target_id, t.triangle_id, round((q.x - t.x) * (q.x - t.x) + (q.y - t.y) * (q.y - t.y) + (q.z - t.z) * (q.z - t.z), 9) AS d2 FROM {q}_samples q JOIN {t}_samples t USING (mesh_id) QUALIFY row_number() OVER (PARTITION BY q.mesh_id, q.sample_id ORDER BY d2, t.sample_id) <= 10"
+
+
+@query("h3_nearest_both_ways", f"WITH {o.template('lprism', 'lprism_')}, {o.template('box', 'box_')}, {_samples_sql('lprism')}, {_samples_sql('box')}, near AS ({_nearest_sql('lprism', 'box', 0)} UNION ALL {_nearest_sql('box', 'lprism', 1)}) SELECT mesh_id, way, sample_id, target_id, triangle_id, {o.r6('d2')} AS d2 FROM near")
+def h3(spark, d):
+    one, two = _vertex_samples(spark, d, "lprism"), _vertex_samples(spark, d, "box")
+    there = rel.nearest_samples(one, two).withColumn("way", F.lit(0))
+    both = there.unionByName(rel.nearest_samples(two, one).withColumn("way", F.lit(1)))
+    return _rounded(both.select("mesh_id", "way", "sample_id", "target_id", "triangle_id", "d2"))
+
+
+@query("h6_concavity", f"WITH {o.template('lprism', 'lprism_')}, {o.template('box', 'box_')}, {_samples_sql('lprism')}, {_samples_sql('box')}, {_one_sided_sql('lprism', 'box', 'one')}, {_one_sided_sql('box', 'lprism', 'two')}, l AS ({_volumes('lprism', 'lprism_')}), b AS ({_volumes('box', 'box_')}) SELECT mesh_id, {o.r6('greatest(0.3::DOUBLE * ' + o.RADIUS.format('l.volume - b.volume') + ', one_side.h, two_side.h)')} AS selection, {o.r6('greatest(one_side.h, two_side.h)')} AS final FROM one_side JOIN two_side USING (mesh_id) JOIN l USING (mesh_id) JOIN b USING (mesh_id)")
+def h6(spark, d):
+    one, two = _vertex_samples(spark, d, "lprism"), _vertex_samples(spark, d, "box")
+    mine, other = _corners(spark, d, "lprism").drop("part_id"), _corners(spark, d, "box").drop("part_id")
+    return _rounded(agg.concavity(mine, other, rel.hausdorff(one, mine, two, other), MESH))
+
+
+@query("k2_admitted_parts", "SELECT mesh_id, part_id, CAST(row_number() OVER (PARTITION BY mesh_id ORDER BY part_id) AS INT) AS place FROM (SELECT l_orderkey AS mesh_id, CAST(l_linenumber AS INT) AS part_id, max(l_quantity) AS n FROM lineitem GROUP BY 1, 2) WHERE n >= 10")
+def k2(spark, d):
+    return rel.admitted(_scored(spark, d).withColumnRenamed("score", "n_vertices"))

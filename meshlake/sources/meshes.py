@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,6 +24,12 @@ def triplets(values, dtype) -> np.ndarray:
     return out
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path below ``spark.checkpoint.dir``, the folder that driver and executors share; a temporary one only if that is unset (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='meshlake-')}"
+    return f"{base.rstrip('/')}/meshlake/{uuid.uuid4().hex}"
+
+
 def from_arrays(spark: SparkSession, meshes: Iterable[tuple]) -> tuple[DataFrame, DataFrame]:
     """Vertex and triangle tables of (points, faces) pairs, numbered from 0. For what already is in the driver's memory."""
     v, t = [], []
@@ -57,10 +65,9 @@ def read_obj(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     larger faces as fans. A file is read whole, since numbers depend on the order of its lines.
     """
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("name"), F.split("value", r"\r?\n").alias("lines"))
-    names = files.select("name").distinct()
-    ids = {r["name"]: n for n, r in enumerate(names.orderBy("name").collect())}  # one row per file
-    table = spark.createDataFrame(list(ids.items()) or [("", 0)], "name string, mesh_id bigint")
-    files = files.join(F.broadcast(table), "name")
+    # Numbers in order of names, without gathering these: sorted by range, then counted by partition.
+    names = files.select("name").distinct().orderBy("name").rdd.zipWithIndex().map(lambda r: (r[0]["name"], r[1]))
+    files = files.join(spark.createDataFrame(names, "name string, mesh_id bigint"), "name")
 
     def words(kind: str):
         return F.transform(F.filter("lines", lambda x: x.rlike(rf"^\s*{kind}\s")), lambda x: F.split(F.trim(x), r"\s+"))
