@@ -25,9 +25,11 @@ def arrays(vertices: pd.DataFrame, triangles: pd.DataFrame) -> tuple[np.ndarray,
     return v[["x", "y", "z"]].to_numpy(float), t[["v0", "v1", "v2"]].to_numpy(np.int64)
 
 
-def per_mesh(vertices: DataFrame, triangles: DataFrame, f: Callable[[tuple, np.ndarray, np.ndarray], pd.DataFrame], schema: str, keys: list[str] = PART) -> DataFrame:
+def per_mesh(vertices: DataFrame, triangles: DataFrame, f: Callable[..., pd.DataFrame], schema: str, keys: list[str] = PART, more: DataFrame | None = None) -> DataFrame:
     """Apply ``f(key values, points, faces)`` to each mesh. A mesh that lacks points or faces gets empty arrays.
 
+    ``more(mesh_id, more)`` is a further argument of ``f``, null for a mesh that has none; one row a mesh.
+
     Meshes become rows of two flat arrays in the JVM, and Python gets many of them at a time.
     """
 
@@ -40,15 +42,18 @@ def per_mesh(vertices: DataFrame, triangles: DataFrame, f: Callable[[tuple, np.n
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for *key, points, faces in batch.itertuples(index=False, name=None):
+            for row in batch.itertuples(index=False, name=None):
+                key, (points, faces, *further) = row[: len(keys)], row[len(keys) :]
                 p = np.zeros((0, 3)) if points is None else np.array(points, dtype=float).reshape(-1, 3)
                 t = k.NO_FACES if faces is None else np.array(faces, dtype=np.int64).reshape(-1, 3)
-                out.append(f(tuple(key), p, t))
+                out.append(f(key, p, t, *further))
             out = [x for x in out if len(x)]
             if out:
                 yield pd.concat(out)
 
-    return dealt(v.join(t, keys, "full_outer").select(*keys, "points", "faces"), keys).mapInPandas(run, schema)
+    rows = v.join(t, keys, "full_outer").select(*keys, "points", "faces")
+    rows = rows if more is None else rows.join(more.select(*MESH, "more"), MESH, "left").select(*keys, "points", "faces", "more")
+    return dealt(rows, keys).mapInPandas(run, schema)
 
 
 def packed(key: tuple, parts: list[k.Solid], concavity: float = 0.0) -> pd.DataFrame:
@@ -104,16 +109,13 @@ def component_labels(vertices: DataFrame, triangles: DataFrame) -> DataFrame:
 def clip_meshes(vertices: DataFrame, triangles: DataFrame, planes: DataFrame, split: int = 1) -> DataFrame:
     """``PARTS`` rows: each mesh cut by its planes ``mesh_id, plane_id, a, b, c, d`` one after the other, capped; a mesh without a plane stays whole."""
     cuts = planes.groupBy("mesh_id").agg(F.array_sort(F.collect_list(F.struct("plane_id", "a", "b", "c", "d"))).alias("cuts"))
-    v = vertices.join(cuts, "mesh_id", "left").select(*PART, "vertex_id", "x", "y", "z", F.when(F.col("vertex_id") == 0, F.col("cuts")).alias("cuts"))
+    cuts = cuts.select("mesh_id", F.flatten(F.transform("cuts", lambda c: F.array(*[c[n] for n in "abcd"]))).alias("more"))
 
-    def run(key: tuple, v: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        p, f = arrays(v, t)
-        found = v["cuts"].dropna()
-        planes = [[c[n] for n in "abcd"] for c in found.iloc[0]] if len(found) else []
-        return packed(key, k.multi_clip(k.Solid(p, f), np.array(planes, dtype=float).reshape(-1, 4)))
+    def run(key: tuple, p: np.ndarray, f: np.ndarray, numbers) -> pd.DataFrame:
+        flat = np.zeros(0) if numbers is None else np.array(numbers, dtype=float)
+        return packed(key, k.multi_clip(k.Solid(p, f), flat.reshape(-1, 4)))
 
-    t = dealt(triangles.select(*PART, "triangle_id", "v0", "v1", "v2"), PART).groupBy(*PART)
-    return dealt(v, PART).groupBy(*PART).cogroup(t).applyInPandas(run, PARTS)
+    return per_mesh(vertices, triangles, run, PARTS, more=cuts)
 
 
 def flat_planes(vertices: DataFrame, triangles: DataFrame, min_area: float = 0.1) -> DataFrame:
