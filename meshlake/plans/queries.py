@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from meshlake.config import Config
 from meshlake.functions import geometry as g
 from meshlake.functions.geometry import Vec, vec
 from meshlake.operators import aggregates as agg
@@ -770,20 +771,9 @@ def k3(spark, d):
     return _rounded(rel.merge_costs(hulls, both))
 
 
-def _few(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """One L-prism per supplier nation: whole, but few enough for the iterative method in a smoke test."""
-    nation = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("bigint").alias("mesh_id"))
-    pts = F.array(*[F.struct(*[F.lit(c).alias(a) for a, c in zip("xyz", p, strict=True)]) for p in fx.LPRISM_POINTS])
-    faces = F.array(*[F.struct(*[F.lit(c).alias(f"v{k}") for k, c in enumerate(f)]) for f in fx.LPRISM_FACES])
-    v = nation.select("mesh_id", F.posexplode(pts).alias("vertex_id", "p")).select("mesh_id", F.lit(0).alias("part_id"), "vertex_id", (F.col("p.x") * (1 + F.col("mesh_id") % 3)).alias("x"), F.col("p.y").alias("y"), F.col("p.z").alias("z"))
-    t = nation.select("mesh_id", F.posexplode(faces).alias("triangle_id", "f")).select("mesh_id", F.lit(0).alias("part_id"), "triangle_id", "f.v0", "f.v1", "f.v2")
-    return v, t
-
-
-def _small_config(**more):
-    from meshlake.config import Config
-
-    return Config(scale=6, cage_scale=16, max_planes=200, selection_samples=10, final_samples=10, **more)
+def _whole(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The L-prism of every part."""
+    return fx.vertices(spark, d, "lprism"), fx.triangles(spark, d, "lprism")
 
 
 def _summary(parts: DataFrame) -> DataFrame:
@@ -793,17 +783,17 @@ def _summary(parts: DataFrame) -> DataFrame:
 
 @query("k1_split_budget")
 def k1(spark, d):
-    return _summary(solids.decompose(*_few(spark, d), 0.04, 3, _small_config()))
+    return _summary(solids.decompose(*_whole(spark, d), 0.04, 3))
 
 
 @query("k4_adjacent_merge")
 def k4(spark, d):
-    return _summary(solids.decompose(*_few(spark, d), 0.04, 2, _small_config(part_limit_policy="adjacent_merge", score_mode="edge")))
+    return _summary(solids.decompose(*_whole(spark, d), 0.04, 2, Config(part_limit_policy="adjacent_merge", score_mode="edge")))
 
 
 @query("k7_whole_parts")
 def k7(spark, d):
-    return _summary(solids.decompose(*_few(spark, d), 0.04, 2, _small_config(return_parts=True, use_merging=True)))
+    return _summary(solids.decompose(*_whole(spark, d), 0.04, 2, Config(return_parts=True, use_merging=True)))
 
 
 # --- reports -------------------------------------------------------------------
@@ -892,6 +882,16 @@ def l15(spark, d):
 # --- files ---------------------------------------------------------------------
 
 
+def _few(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """One L-prism per row of ``nation``, the table that the SQL of ``a4_obj_files`` names."""
+    nation = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("bigint").alias("mesh_id"))
+    pts = F.array(*[F.struct(*[F.lit(c).alias(a) for a, c in zip("xyz", p, strict=True)]) for p in fx.LPRISM_POINTS])
+    faces = F.array(*[F.struct(*[F.lit(c).alias(f"v{k}") for k, c in enumerate(f)]) for f in fx.LPRISM_FACES])
+    v = nation.select("mesh_id", F.posexplode(pts).alias("vertex_id", "p")).select("mesh_id", F.lit(0).alias("part_id"), "vertex_id", (F.col("p.x") * (1 + F.col("mesh_id") % 3)).alias("x"), F.col("p.y").alias("y"), F.col("p.z").alias("z"))
+    t = nation.select("mesh_id", F.posexplode(faces).alias("triangle_id", "f")).select("mesh_id", F.lit(0).alias("part_id"), "triangle_id", "f.v0", "f.v1", "f.v2")
+    return v, t
+
+
 @query("a4_obj_files", """WITH few AS (SELECT row_number() OVER (ORDER BY CAST(n_nationkey AS VARCHAR) || '/') - 1 AS mesh_id, 1 + n_nationkey % 3 AS k FROM nation)
 SELECT mesh_id, CAST(12 AS BIGINT) AS n_vertices, CAST(20 AS BIGINT) AS n_triangles, round(CAST(3 * k AS DOUBLE), 6) + 0.0 AS volume FROM few""")
 def a4(spark, d):
