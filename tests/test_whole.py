@@ -1,10 +1,14 @@
 """Queries do the whole job: all rows, at the operators' own settings."""
 
+import numpy as np
 import pytest
 
+from meshlake import kernels as k
+from meshlake import splitting
 from meshlake.config import Config
 from meshlake.operators import solids
 from meshlake.plans.queries import QUERIES
+from meshlake.sources import fixtures as fx
 
 DATA = "/root/testdata/sf0.001"
 
@@ -24,3 +28,13 @@ def test_every_part_is_decomposed_at_default_settings(spark, monkeypatch, name):
         assert {r[0] for r in seen[table].select("mesh_id").distinct().collect()} == parts
     own = ("scale", "retry_scale", "retry_points", "cage_scale", "max_planes", "selection_samples", "final_samples")
     assert all(getattr(seen["config"], n) == getattr(Config(), n) for n in own)
+
+
+def test_concavity_is_measured_again_after_merging(monkeypatch):
+    """Both halves of an L are convex; merged back they are as far from their hull as the L is."""
+    points, faces = np.array(fx.LPRISM_POINTS), np.array(fx.LPRISM_FACES)
+    monkeypatch.setattr(splitting, "split", lambda mesh, *_: k.clip(mesh, np.array([1.0, 0.0, 0.0, 0.0]), 1))
+    apart = splitting.decompose(points, faces, 0.04, 1, Config(remesh=False, final_samples=500), [0])
+    merged = splitting.decompose(points, faces, 0.04, 1, Config(remesh=False, final_samples=500, part_limit_policy="adjacent_merge"), [0])
+    assert len(apart.parts) == 2 and apart.concavity < 0.05
+    assert len(merged.parts) == 1 and merged.concavity > 0.4
