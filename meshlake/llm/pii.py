@@ -326,21 +326,24 @@ def added_spans(texts: list[str], base: list[list[Span]], field: Field) -> list[
         for before, words, after in hot_runs(text):
             if all(any(s < e2 and s2 < e for s2, e2, _ in base[k]) for s, e in words):
                 continue  # all its words are in base spans already
-            for at in range(0, len(words), 512):  # tables of numbers
-                part = words[at : at + 512]
-                runs.append(features(before, [text[s:e] for s, e in part], after))
-                places.append((k, part))
+            runs.append(features(before, [text[s:e] for s, e in words], after))
+            places.append((k, words))
     out: list[list[Span]] = [[] for _ in texts]
     for (k, words), labels in zip(places, field.decode(runs), strict=True):
-        at = 0
+        text, at, single = texts[k], 0, None
         while at < len(words):
             end = at
-            alone = LABELS[labels[at]] == "card" and any(_is_card(texts[k][s:e]) for s, e in words)
-            while not alone and end + 1 < len(words) and labels[end + 1] == labels[at]:
+            while end + 1 < len(words) and labels[end + 1] == labels[at]:
                 end += 1
-            if labels[at] and (not alone or _is_card(texts[k][slice(*words[at])])):
-                start, stop = words[at][0], words[end][1]
-                own = texts[k][start:stop]
+            found = [(at, end)] if labels[at] else []
+            if LABELS[labels[at]] == "card":
+                single = any(_is_card(text[s:e]) for s, e in words) if single is None else single
+                whole = [n for n in range(at, end + 1) if _is_card(text[slice(*words[n])])]
+                if whole or single and not _is_card(text[words[at][0] : words[end][1]]):
+                    found = [(n, n) for n in whole]
+            for first, last in found:
+                start, stop = words[first][0], words[last][1]
+                own = text[start:stop]
                 keep = "(+" if LABELS[labels[at]] == "phone" else ""
                 start += len(own) - len(own.lstrip("".join(c for c in _PUNCT if c not in keep)))
                 stop -= len(own) - len(own.rstrip(_PUNCT))

@@ -38,3 +38,14 @@ def test_concavity_is_measured_again_after_merging(monkeypatch):
     merged = splitting.decompose(points, faces, 0.04, 1, Config(remesh=False, final_samples=500, part_limit_policy="adjacent_merge"), [0])
     assert len(apart.parts) == 2 and apart.concavity < 0.05
     assert len(merged.parts) == 1 and merged.concavity > 0.4
+
+
+@pytest.mark.parametrize("before", [20, 511, 512, 1023, 1500])
+def test_personal_data_in_a_long_table_of_numbers(before):
+    """A run of words with digits is decoded as one, however long: what is found doesn't depend on where in it a number stands."""
+    from meshlake.llm import pii
+
+    head = "so " + "2019-01-02 " * before
+    text = head + "(555) 123-4567 " + "2019-01-02 " * 600 + "end"
+    found = pii.added_spans([text], [pii.base_spans(text)], pii.train())[0]
+    assert [(text[s:e], kind) for s, e, kind in found] == [("(555) 123-4567", "phone")]
