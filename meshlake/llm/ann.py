@@ -94,7 +94,8 @@ def search(
     The score is the Euclidean distance in double precision; ties go to the smaller vec_id.
     Rows with the query's own vec_id aren't candidates. Rows take no part whose vector is null,
     zero, holds null or non-finite components or hasn't the most frequent length, or whose vec_id
-    is null. Repeated vectors are candidates of their own. No usable rows give no rows; other columns
+    is null. Repeated vectors are candidates of their own, and repeated query rows are queries of their own:
+    each has its ``k`` rows, also where they share a vec_id. No usable rows give no rows; other columns
     aren't read. Codebooks are fitted on at most ``max_sample`` rows, chosen by a hash; all are indexed.
     """
     import pandas as pd
@@ -131,7 +132,7 @@ def search(
             i, j = books.value.codes(matrix(batch.column(1))) if batch.num_rows else ([], [])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(i, pa.int32()), pa.array(j, pa.int32())], names=["vec_id", "v", "asks", "i", "j"])
 
-    coded = cut(rows.mapInArrow(encode, "vec_id bigint, v array<double>, asks boolean, i int, j int"), "index")
+    coded = cut(rows.mapInArrow(encode, "vec_id bigint, v array<double>, asks boolean, i int, j int").withColumn("row", F.monotonically_increasing_id()), "index")
     sizes = np.zeros((len(index.left), len(index.right)), dtype=np.int64)
     for r in coded.groupBy("i", "j").count().collect():  # at most MAX_CENTROIDS squared rows
         sizes[r["i"], r["j"]] = r["count"]
@@ -157,13 +158,13 @@ def search(
                 at += [k] * len(own)
             take = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(firsts, pa.int32()), pa.array(seconds, pa.list_(pa.int32()))],
-                names=["query_id", "q", "i", "js"],
+                [*[batch.column(n).take(take) for n in range(3)], pa.array(firsts, pa.int32()), pa.array(seconds, pa.list_(pa.int32()))],
+                names=["query_id", "q", "query_row", "i", "js"],
             )
 
-    asked = coded.where("asks").select("vec_id", "v").repartition(max(1, min(n_queries // 16, 4096)), "vec_id")
-    asked = asked.mapInArrow(visit, "query_id bigint, q array<double>, i int, js array<int>")
-    asked = asked.withColumn("qp", F.pmod(F.xxhash64("query_id"), F.lit(q_parts)).cast("int"))
+    asked = coded.where("asks").select("vec_id", "v", "row").repartition(max(1, min(n_queries // 16, 4096)), "row")
+    asked = asked.mapInArrow(visit, "query_id bigint, q array<double>, query_row bigint, i int, js array<int>")
+    asked = asked.withColumn("qp", F.pmod(F.xxhash64("query_row"), F.lit(q_parts)).cast("int"))
     asked = asked.withColumn("vp", F.explode(F.sequence(F.lit(0), parts - 1)))
     held = coded.withColumn("vp", F.pmod(F.xxhash64("vec_id", "j"), parts).cast("int"))
     held = held.withColumn("qp", F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1)))).select("i", "j", "vp", "qp", "vec_id", "v")
@@ -172,14 +173,14 @@ def search(
         out: list[pd.DataFrame] = []
         if len(q) and len(v):
             ids, js, m = v["vec_id"].to_numpy(), v["j"].to_numpy(), np.stack(v["v"].to_numpy())
-            for query_id, point, cells in zip(q["query_id"], q["q"], q["js"], strict=True):
+            for query_row, query_id, point, cells in zip(q["query_row"], q["query_id"], q["q"], q["js"], strict=True):
                 chosen = np.flatnonzero(np.isin(js, cells) & (ids != query_id))
                 far = np.sqrt(((m[chosen] - np.asarray(point)) ** 2).sum(axis=1))
                 best = np.lexsort((ids[chosen], far))[:k]
-                out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[chosen][best], "score": far[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+                out.append(pd.DataFrame({"query_row": query_row, "query_id": query_id, "vec_id": ids[chosen][best], "score": far[best]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_row": [], "query_id": [], "vec_id": [], "score": []})
 
     key = ["i", "vp", "qp"]
-    near = asked.groupBy(*key).cogroup(held.groupBy(*key)).applyInPandas(rank, "query_id bigint, vec_id bigint, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    near = asked.groupBy(*key).cogroup(held.groupBy(*key)).applyInPandas(rank, "query_row bigint, query_id bigint, vec_id bigint, score double")
+    order = Window.partitionBy("query_row").orderBy("score", "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

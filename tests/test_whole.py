@@ -49,3 +49,19 @@ def test_personal_data_in_a_long_table_of_numbers(before):
     text = head + "(555) 123-4567 " + "2019-01-02 " * 600 + "end"
     found = pii.added_spans([text], [pii.base_spans(text)], pii.train())[0]
     assert [(text[s:e], kind) for s, e, kind in found] == [("(555) 123-4567", "phone")]
+
+
+def test_repeated_queries_have_all_their_neighbours(spark):
+    from pyspark.sql import functions as F
+
+    from meshlake.llm.ann import search
+
+    rng = np.random.default_rng(3)
+    rows = [(n, rng.normal(size=8).tolist()) for n in range(60)]
+    rows += [rows[0], (1, rng.normal(size=8).tolist())]  # the same row again, and an id with another vector
+    found = search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") < 3, share=1.0).collect()
+    for q, copies in ((0, 2), (1, 2), (2, 1)):
+        own = [r for r in found if r["query_id"] == q]
+        assert sorted(r["rank"] for r in own) == sorted(list(range(1, 11)) * copies)
+    first = [(r["rank"], r["vec_id"], r["score"]) for r in found if r["query_id"] == 0]
+    assert len(set(first)) == 10 and all(first.count(x) == 2 for x in first) and len({r[1] for r in first}) == 10
