@@ -14,13 +14,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshlake.llm.common import small_batches
 
-#: Vector dimensions, centroids per language, and the bounds of the training sample: languages (the most frequent), documents in all.
-DIMS, CENTROIDS, MAX_LANGUAGES, MAX_SAMPLE = 4096, 4, 256, 4096
+#: Vector dimensions, centroids per language, and the documents of the training sample; more only if there are more languages.
+DIMS, CENTROIDS, MAX_SAMPLE = 4096, 4, 4096
 #: A text is rejected below this share of the least cosine that all but one in 200 training documents have.
 REJECT = 0.5
 UNKNOWN = "und"
@@ -48,7 +48,7 @@ def counts(text: str, dims: int = DIMS) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """Fixed in size: idf, centroids (rows), the language of each, and the cosine below which texts are rejected."""
+    """Its size goes with the number of languages, not of documents: idf, centroids (rows), the language of each, and the cosine below which texts are rejected."""
 
     languages: list[str]
     idf: np.ndarray
@@ -99,20 +99,23 @@ def held_out(column: str = "doc_id") -> Column:
 def fit(docs: DataFrame, seed: int = 7, max_sample: int = MAX_SAMPLE) -> Model:
     """Learn from text and lang of documents that aren't held out.
 
-    The sample is at most ``max_sample`` documents (whole texts), as many of each language,
-    chosen by a hash of the id; their trigram counts are made on the executors.
+    Every language is learned that has a text with a letter. The sample is at most ``max_sample`` documents
+    (whole texts), as many of each language but one at least, chosen by a hash of the id; their trigram counts
+    are made on the executors.
     """
     import pyarrow as pa
 
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    by_size = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    if not by_size:
+    by_size = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    n_languages = by_size.count()
+    if not n_languages:
         return Model([], np.ones(DIMS, np.float32), np.zeros((0, DIMS), np.float32), np.zeros(0, int), 0.0)
-    each = max(1, max_sample // len(by_size))
+    each = max(1, max_sample // n_languages)
     wide = 1 << 30
-    share = F.create_map(*[F.lit(x) for r in by_size for x in (r["lang"], int(wide * min(1.0, 1.2 * (each + 8) / r["n"])))])
+    share = by_size.select("lang", (F.lit(wide) * F.least(F.lit(1.0), F.lit(1.2 * (each + 8)) / F.col("n"))).cast("long").alias("below"))
     order = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed)), F.lit(wide))
-    rows = rows.select("lang", "text", order.alias("order")).where(F.col("order") < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0)))
+    rows = rows.select("lang", "text", order.alias("order"))
+    drawn = rows.join(F.broadcast(share), "lang").where(F.col("order") < F.col("below")).select("lang", "text", "order")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,7 +134,13 @@ def fit(docs: DataFrame, seed: int = 7, max_sample: int = MAX_SAMPLE) -> Model:
             )
 
     small_batches(docs.sparkSession)
-    sample = rows.mapInArrow(run, "lang string, order bigint, at binary, n binary").collect()
+    names = "lang string, order bigint, at binary, n binary"
+    sample = drawn.mapInArrow(run, names).collect()
+    if len(found := {r["lang"] for r in sample}) < n_languages:  # none drawn, or none of those has a letter: look at all their rows
+        known = docs.sparkSession.createDataFrame([(x,) for x in sorted(found)], "lang string")
+        first = Window.partitionBy("lang").orderBy("order", "at", "n")
+        rest = rows.join(F.broadcast(known), "lang", "left_anti").mapInArrow(run, names)
+        sample += rest.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= each).drop("nth").collect()
     sample.sort(key=lambda r: (r["lang"], r["order"], bytes(r["at"]), bytes(r["n"])))
     chosen: dict[str, list] = {}
     for r in sample:

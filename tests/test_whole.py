@@ -65,3 +65,18 @@ def test_repeated_queries_have_all_their_neighbours(spark):
         assert sorted(r["rank"] for r in own) == sorted(list(range(1, 11)) * copies)
     first = [(r["rank"], r["vec_id"], r["score"]) for r in found if r["query_id"] == 0]
     assert len(set(first)) == 10 and all(first.count(x) == 2 for x in first) and len({r[1] for r in first}) == 10
+
+
+def test_every_language_is_learned(spark):
+    """Also beyond 256 of them, and one whose only text with a letter is among thousands without."""
+    from meshlake.llm.langid import fit, predict
+
+    rng = np.random.default_rng(4)
+    texts = {f"l{n:03}": " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(30)) for n in range(300)}
+    rows = [(f"{lang}-{k}", text, lang) for lang, text in texts.items() for k in range(12)]
+    rows += [(f"odd-{k}", "1234", "odd") for k in range(5000)] + [(f"word-{k}", "something else", "odd") for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string")
+    model = fit(docs)
+    assert set(model.languages) == {*texts, "odd"}
+    found = {r["doc_id"]: r["lang_pred"] for r in predict(docs.where("lang <> 'odd'"), model).collect()}
+    assert all(found[f"{lang}-0"] == lang for lang in texts)
