@@ -312,13 +312,13 @@ def c9(spark, d):
 
 @query("c10_final_concavity")
 def c10(spark, d):
-    gaps = solids.hull_gap(fx.vertices(spark, d, "box"), fx.triangles(spark, d, "box"), 1)
+    gaps = solids.hull_gap(*_normed(spark, d, "lprism"), 10_000)
     return gaps.groupBy("mesh_id").agg(F.max(F.round("hausdorff", 6)).alias("concavity"))
 
 
 @query("c11_selection_concavity")
 def c11(spark, d):
-    gaps = solids.hull_gap(*_normed(spark, d, "lprism"), 10)
+    gaps = solids.hull_gap(*_normed(spark, d, "lprism"), 3000)
     return gaps.select("mesh_id", "part_id", F.greatest(F.col("rv") * 0.3, "hausdorff").alias("selection"))
 
 
@@ -685,7 +685,7 @@ def h4(spark, d):
 
 @query("h5_hull_gap")
 def h5(spark, d):
-    return solids.hull_gap(*_normed(spark, d, "lprism"), 10, seed=1).select("mesh_id", "part_id", "hausdorff")
+    return solids.hull_gap(*_normed(spark, d, "lprism"), 3000, seed=1).select("mesh_id", "part_id", "hausdorff")
 
 
 # --- lattices ----------------------------------------------------------------
@@ -741,7 +741,7 @@ def i5(spark, d):
 
 @query("i6_level_set")
 def i6(spark, d):
-    return solids.level_set(*_normed(spark, d, "lprism"), 4.0, 0.2)
+    return solids.level_set(*_normed(spark, d, "lprism"), 30.0, 0.55 / 30)
 
 
 @query("i10_split_quads", "SELECT CAST(o_orderkey AS BIGINT) AS mesh_id, CAST(h AS BIGINT) AS triangle_id, CAST(0 AS INT) AS v0, CAST(3 - h AS INT) + CASE WHEN h = 0 THEN -1 ELSE 1 END AS v1, CAST(1 + h AS INT) AS v2 FROM orders, range(2) AS r(h)")
@@ -752,7 +752,7 @@ def i10(spark, d):
 
 @query("i11_remesh")
 def i11(spark, d):
-    parts = solids.remesh(*_normed(spark, d, "lprism"), scale=6.0, iso=0.1)
+    parts = solids.remesh(*_normed(spark, d, "lprism"))
     found = agg.measures(agg.corners(solids.part_triangles(parts), solids.part_vertices(parts)), MESH)
     return _rounded(found)
 
@@ -963,7 +963,7 @@ def i8(spark, d):
 @query("i9_closed_surface")
 def i9(spark, d):
     """Sides of remeshed surfaces, by how many triangles share them: closed ones have no side with an odd number."""
-    parts = solids.remesh(*_normed(spark, d, "lprism"), scale=6.0, iso=0.1)
+    parts = solids.remesh(*_normed(spark, d, "lprism"))
     sides = rel.half_edges(solids.part_triangles(parts)).groupBy("mesh_id", *rel.undirected("u", "v")).agg(F.count("*").alias("n"))
     return sides.groupBy("mesh_id").agg(F.count("*").alias("n_sides"), F.count_if(F.col("n") % 2 == 1).alias("n_open"))
 

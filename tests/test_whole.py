@@ -80,3 +80,28 @@ def test_every_language_is_learned(spark):
     assert set(model.languages) == {*texts, "odd"}
     found = {r["doc_id"]: r["lang_pred"] for r in predict(docs.where("lang <> 'odd'"), model).collect()}
     assert all(found[f"{lang}-0"] == lang for lang in texts)
+
+
+@pytest.mark.parametrize(
+    ("name", "operator", "settings"),
+    [
+        ("c10_final_concavity", "hull_gap", {"resolution": 10_000}), ("c11_selection_concavity", "hull_gap", {"resolution": 3000}), ("h5_hull_gap", "hull_gap", {"resolution": 3000}),
+        ("i6_level_set", "level_set", {"scale": 30.0, "iso": 0.55 / 30}), ("i9_closed_surface", "remesh", {"scale": 30.0, "iso": 0.55 / 30}), ("i11_remesh", "remesh", {"scale": 30.0, "iso": 0.55 / 30}),
+    ],
+)
+def test_settings_are_the_references(spark, monkeypatch, name, operator, settings):
+    """At the reference's resolutions, and on a mesh that isn't its own hull."""
+    import inspect
+
+    seen, real = {}, getattr(solids, operator)
+
+    def watched(*args, **more):
+        own = inspect.signature(real).bind(*args, **more)
+        own.apply_defaults()
+        seen.update(own.arguments)
+        return real(*args, **more)
+
+    monkeypatch.setattr(solids, operator, watched)
+    QUERIES[name](spark, DATA)
+    assert all(seen[k] == v for k, v in settings.items())
+    assert seen["vertices"].count() == len(fx.LPRISM_POINTS) * spark.read.parquet(f"{DATA}/part.parquet").count()
