@@ -56,7 +56,7 @@ FROM counted
 
 
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from meshlake.llm.pii import KINDS, find_personal_data
+    from meshlake.llm.pii import BASE_KINDS, KINDS, find_personal_data
 
     found = find_personal_data(_table(spark, sf_dir, "documents"))
 
@@ -74,7 +74,12 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     return found.select(
-        "doc_id", *map(n, KINDS), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(both).alias("spans")
+        "doc_id",
+        *map(n, BASE_KINDS),
+        F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
+        joined(both).alias("spans"),
+        F.size(F.filter("added", lambda s: s["kind"] == "secret")).cast("long").alias("n_secret"),
+        F.size(both).cast("long").alias("n_spans"),
     )
 
 
