@@ -1,109 +1,115 @@
 """Licence scan with ordered signature rules.
 
-A text becomes a string of lower-case words. Rules whose keyword it contains
-are matched; what they find is a list of word intervals with priorities. A
-sweep over the intervals by position then keeps, of overlapping ones, the one
-with the better priority, and drops an interval inside an equal or better one.
+A text becomes a string of words, A-Z in lower case. The rules whose keywords it
+contains are matched in order of priority. The words of a detection are taken:
+they are written in capitals, with a mark before the first and after the last, so
+that a worse rule finds nothing inside the interval or across its ends, but
+still finds what stands beside it. Each rule costs one pass over the text,
+however often it matches.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshlake.llm.common import text_of
+from meshlake.llm.common import ascii_lower, text_of
 from meshlake.llm.license_rules import BASE, RULES, Rule
 
 #: What stands between words (of a text in lower case).
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_FOUND = "array<struct<start:int,stop:int,priority:int,label:string,base:boolean>>"
+#: Marks before a detection, after its rule's number, and behind it: no word has such characters.
+OPEN, NUMBER, CLOSE = "\x01", "\x02", "\x03"
 
 
-def _matches(words: Column, rule: Column) -> Column:
-    """All places of a rule as word intervals; ``words`` has a space before and after each word."""
-    pattern = F.concat(F.lit(" (?:"), rule["pattern"], F.lit(")(?= )"))
-    between, own = F.split(words, pattern, -1), F.regexp_extract_all(words, pattern, F.lit(0))
+def _expression(pattern: Column) -> Column:
+    """A rule as a regular expression on words that have a space before and after each."""
+    return F.concat(F.lit(" (?:"), pattern, F.lit(")(?= )"))
 
-    def n(text: Column) -> Column:
-        return F.char_length(text) - F.char_length(F.replace(text, F.lit(" ")))
 
-    def add(state: Column, pair: Column) -> Column:
-        start = state["at"] + n(pair["before"])
-        stop = start + n(pair["match"])
-        found = F.array(
-            F.struct(
-                start.alias("start"), stop.alias("stop"), rule["priority"].alias("priority"),
-                rule["label"].alias("label"), rule["base"].alias("base"),
-            )
-        )
-        return F.struct(stop.alias("at"), F.concat(state["found"], found).alias("found"))
+def _take(line: Column, pattern: Column, number: Column) -> Column:
+    """``line`` with all places of a rule marked and in capitals."""
+    between, own = F.split(line, pattern, -1), F.regexp_extract_all(line, pattern, F.lit(0))
 
-    pairs = F.zip_with(
-        F.slice(between, F.lit(1), F.size(own)), own, lambda b, m: F.struct(b.alias("before"), m.alias("match"))
-    )
-    none = F.struct(F.lit(0).alias("at"), F.array().alias("found")).cast(f"struct<at:int,found:{_FOUND}>")
-    return F.aggregate(pairs, none, add)["found"]
+    def marked(match: Column) -> Column:
+        words = F.translate(F.substring(match, 2, 2**31 - 1), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+        return F.concat(F.lit(" " + OPEN), number, F.lit(NUMBER), words, F.lit(CLOSE))
 
+    pairs = F.zip_with(between, own, lambda b, m: F.concat(b, F.when(m.isNull(), F.lit("")).otherwise(marked(m))))
+    return F.array_join(pairs, "")
 
-def _resolved(found: Column) -> Column:
-    """Of intervals in order of start, longer first: those that no overlapping better one suppresses."""
 
-    def add(kept: Column, one: Column) -> Column:
-        last = F.try_element_at(kept, F.lit(-1))
-        apart = (F.size(kept) == 0) | (one["start"] >= last["stop"])
-        better = one["priority"] < last["priority"]
-        return (
-            F.when(apart, F.concat(kept, F.array(one)))
-            .when(better, F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(one)))
-            .otherwise(kept)
+def _intervals(line: Column) -> Column:
+    """``start, stop, number`` of the marked places, words from 0, stop exclusive."""
+    tokens = F.split(line, " ")  # the first is empty: word k is token k + 1
+    first = F.array_compact(
+        F.transform(
+            tokens,
+            lambda t, k: F.when(F.startswith(t, F.lit(OPEN)), F.struct((k - 1).alias("start"), F.substring_index(F.substring(t, 2, 2**31 - 1), NUMBER, 1).cast("int").alias("number"))),
         )
-
-    by_place = F.array_sort(
-        F.transform(found, lambda x: F.struct(x["start"].alias("at"), (-x["stop"]).alias("to"), x["priority"].alias("by"), x.alias("it")))
     )
-    return F.aggregate(F.transform(by_place, lambda x: x["it"]), F.array().cast(_FOUND), add)
+    stops = F.array_compact(F.transform(tokens, lambda t, k: F.when(F.endswith(t, F.lit(CLOSE)), k)))
+    return F.zip_with(first, stops, lambda a, b: F.struct(a["start"].alias("start"), b.alias("stop"), a["number"].alias("number")))
 
 
-def _literal(rules: list[Rule], base: bool) -> list[Column]:
-    return [
-        F.struct(
-            F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"),
-            F.lit(r.pattern).alias("pattern"), F.lit(base).alias("base"),
-        )
-        for r in rules
-    ]
+def _scan(line: Column, rules: Column) -> Column:
+    """Intervals of the ``rules`` (structs of ``number, pattern``, in order) in a line of words."""
+
+    def one(state: Column, rule: Column) -> Column:
+        pattern = _expression(rule["pattern"])
+        return F.when(F.rlike(state, pattern), _take(state, pattern, rule["number"].cast("string"))).otherwise(state)
+
+    return _intervals(F.aggregate(rules, line, one))
+
+
+def _named(found: Column, labels: list[str]) -> Column:
+    names = F.array(*map(F.lit, labels))
+    return F.transform(
+        found,
+        lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["number"].alias("priority"), F.element_at(names, x["number"] + 1).alias("label")),
+    )
 
 
 def license_scan(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """One row per row of ``docs(doc_id, text, ...)``: ``doc_id, n_words, base, detections``.
 
-    ``base`` has the start of every place of a base phrase with its label,
-    ``detections`` the resolved intervals ``start, stop, priority, label``: words from 0,
-    stop exclusive. Null text is empty; texts without words have no detections; repeated
-    rows and null ids are rows like others; an empty table gives no rows; other columns
-    aren't read. Whole texts are searched, of any length.
+    ``base`` has the intervals of all places of base phrases, whatever else is found there.
+    ``detections`` are the intervals ``start, stop, priority, label`` (words from 0, stop exclusive,
+    in order of place) that the rules find, the best first, each among the words that better
+    ones have left; of one rule they are leftmost and don't overlap. Null text is empty; texts without
+    words have no detections; repeated rows and null ids are rows like others; an empty table
+    gives no rows; other columns aren't read. Whole texts are searched, of any length.
     """
-    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text_of()), GAP, " ")), F.lit(" "))
-    low = len(rules)
-    fixed = [Rule(low + k, label, phrase.split()[0], phrase) for k, (phrase, label) in enumerate(BASE)]
-    fixed = [r._replace(keyword={"all": "reserved", "general": "general public", "cc": "cc by"}[r.keyword]) for r in fixed]
-    table = F.array(*_literal(fixed, True), *_literal(rules, False))
-    keywords = F.array(*map(F.lit, sorted({r.keyword for r in [*fixed, *rules]})))
-    rows = docs.select("doc_id", words.alias("words"))
-    rows = rows.withColumn("present", F.filter(keywords, lambda k: F.contains(F.col("words"), k)))
-    chosen = F.filter(table, lambda r: F.array_contains(F.col("present"), r["keyword"]))
-    found = F.when(F.size("present") > 0, F.flatten(F.transform(chosen, lambda r: _matches(F.col("words"), r))))
-    n = F.char_length("words") - F.char_length(F.replace(F.col("words"), F.lit(" "))) - 1
-    rows = rows.select(
-        "doc_id",
-        F.when(F.char_length("words") > 2, n).otherwise(0).cast("long").alias("n_words"),
-        F.coalesce(found, F.array().cast(_FOUND)).alias("found"),
+    line = F.concat(F.lit(" "), F.trim(F.regexp_replace(ascii_lower(text_of()), GAP, " ")), F.lit(" "))
+    rows = docs.select("doc_id", line.alias("line"))
+    # A rule is looked up by the keyword that the fewest rules have.
+    often = Counter(k for r in rules for k in r.keywords)
+    by_anchor: dict[str, list[Rule]] = {}
+    for r in rules:
+        by_anchor.setdefault(min(r.keywords, key=lambda k: (often[k], -len(k))), []).append(r)
+    phrases = [Rule(k, label, tuple(phrase.split()), phrase) for k, (phrase, label) in enumerate(BASE)]
+    vocabulary = sorted(often.keys() | {k for r in phrases for k in r.keywords})
+
+    def struct(r: Rule) -> Column:
+        return F.struct(F.lit(r.priority).alias("number"), F.lit(r.pattern).alias("pattern"), F.array(*map(F.lit, r.keywords)).alias("keywords"))
+
+    def possible(own: Column) -> Column:
+        return F.filter(own, lambda r: F.size(F.array_except(r["keywords"], F.col("present"))) == 0)
+
+    anchors = F.array(*map(F.lit, by_anchor))
+    lookup = F.map_from_arrays(anchors, F.array(*[F.array(*map(struct, own)) for own in by_anchor.values()]))
+    chosen = F.flatten(F.transform(F.array_intersect(F.col("present"), anchors), lambda w: F.element_at(lookup, w)))
+    rows = rows.withColumn("present", F.array_intersect(F.split("line", " "), F.array(*map(F.lit, vocabulary))))
+    rows = rows.withColumns(
+        {"rules": F.array_sort(possible(chosen)), "phrases": possible(F.array(*map(struct, phrases)))}
     )
+    n = F.char_length("line") - F.char_length(F.replace(F.col("line"), F.lit(" "))) - 1
+    nothing = F.array().cast("array<struct<start:int,stop:int,number:int>>")
     return rows.select(
         "doc_id",
-        "n_words",
-        F.transform(
-            F.filter("found", lambda x: x["base"]), lambda x: F.struct(x["start"].alias("start"), x["label"].alias("label"))
-        ).alias("base"),
-        F.when(F.size("found") > 0, _resolved(F.col("found"))).otherwise(F.col("found")).alias("detections"),
+        F.when(F.char_length("line") > 2, n).otherwise(0).cast("long").alias("n_words"),
+        _named(F.when(F.size("phrases") > 0, _scan(F.col("line"), F.col("phrases"))).otherwise(nothing), [r.label for r in phrases]).alias("base"),
+        _named(F.when(F.size("rules") > 0, _scan(F.col("line"), F.col("rules"))).otherwise(nothing), [r.label for r in rules]).alias("detections"),
     )
