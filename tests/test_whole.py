@@ -40,48 +40,6 @@ def test_concavity_is_measured_again_after_merging(monkeypatch):
     assert len(merged.parts) == 1 and merged.concavity > 0.4
 
 
-@pytest.mark.parametrize("before", [20, 511, 512, 1023, 1500])
-def test_personal_data_in_a_long_table_of_numbers(before):
-    """A run of words with digits is decoded as one, however long: what is found doesn't depend on where in it a number stands."""
-    from meshlake.llm import pii
-
-    head = "so " + "2019-01-02 " * before
-    text = head + "(555) 123-4567 " + "2019-01-02 " * 600 + "end"
-    found = pii.added_spans([text], [pii.base_spans(text)], pii.train())[0]
-    assert [(text[s:e], kind) for s, e, kind in found] == [("(555) 123-4567", "phone")]
-
-
-def test_repeated_queries_have_all_their_neighbours(spark):
-    from pyspark.sql import functions as F
-
-    from meshlake.llm.ann import search
-
-    rng = np.random.default_rng(3)
-    rows = [(n, rng.normal(size=8).tolist()) for n in range(60)]
-    rows += [rows[0], (1, rng.normal(size=8).tolist())]  # the same row again, and an id with another vector
-    found = search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") < 3, share=1.0).collect()
-    for q, copies in ((0, 2), (1, 2), (2, 1)):
-        own = [r for r in found if r["query_id"] == q]
-        assert sorted(r["rank"] for r in own) == sorted(list(range(1, 11)) * copies)
-    first = [(r["rank"], r["vec_id"], r["score"]) for r in found if r["query_id"] == 0]
-    assert len(set(first)) == 10 and all(first.count(x) == 2 for x in first) and len({r[1] for r in first}) == 10
-
-
-def test_every_language_is_learned(spark):
-    """Also beyond 256 of them, and one whose only text with a letter is among thousands without."""
-    from meshlake.llm.langid import fit, predict
-
-    rng = np.random.default_rng(4)
-    texts = {f"l{n:03}": " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(30)) for n in range(300)}
-    rows = [(f"{lang}-{k}", text, lang) for lang, text in texts.items() for k in range(12)]
-    rows += [(f"odd-{k}", "1234", "odd") for k in range(5000)] + [(f"word-{k}", "something else", "odd") for k in range(12)]
-    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string")
-    model = fit(docs)
-    assert set(model.languages) == {*texts, "odd"}
-    found = {r["doc_id"]: r["lang_pred"] for r in predict(docs.where("lang <> 'odd'"), model).collect()}
-    assert all(found[f"{lang}-0"] == lang for lang in texts)
-
-
 @pytest.mark.parametrize(
     ("name", "operator", "settings"),
     [
