@@ -455,15 +455,52 @@ def plain_nearest(rows, k=10):
     return out
 
 
-def test_nearest(spark):
+@pytest.mark.parametrize(("rows", "clusters", "most"), [(500, 0, 0.75), (2000, 0, 0.5), (2000, 20, 0.15), (20_000, 100, 0.05)])
+def test_nearest(spark, rows, clusters, most):
+    """Recall against brute force, at every size by the index, with the share of vectors that walks took."""
+    from meshlake.llm import ann
+
+    rng = np.random.default_rng(rows)
+    v = rng.normal(size=(rows, 32)) + (3 * rng.normal(size=(clusters, 32))[rng.integers(0, clusters, rows)] if clusters else 0)
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id bigint, embedding array<double>")
+    shares, real = [], ann._reach
+    ann._reach = lambda *a: shares.append(real(*a)) or shares[-1]
+    try:
+        found = ann.search(df, F.col("vec_id") % 100 == 0).collect()
+    finally:
+        ann._reach = real
+    hits = Counter()
+    for q in range(0, rows, 100):
+        far = np.sqrt(((v - v[q]) ** 2).sum(axis=1))
+        far[q] = np.inf
+        own = sorted((r["rank"], r["vec_id"], r["score"]) for r in found if r["query_id"] == q)
+        assert [x[0] for x in own] == list(range(1, 11)) and np.allclose([far[x[1]] for x in own], [x[2] for x in own], rtol=1e-12)
+        hits[len(set(np.argsort(far)[:10]) & {x[1] for x in own})] += 1
+    assert sum(k * n for k, n in hits.items()) >= 0.9 * 10 * sum(hits.values())
+    assert 0 < shares[0] <= most
+
+
+def test_nearest_of_a_real_table(spark):
     from meshlake.llm.ann import search
 
     df = spark.read.parquet(f"{DATA}/embeddings.parquet")
     rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
     truth, found = plain_nearest(rows), defaultdict(list)
-    for r in search(df, F.col("vec_id") % 100 == 0, min_candidates=1).orderBy("query_id", "rank").collect():
+    for r in search(df, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect():
         found[r["query_id"]].append(r["vec_id"])
     assert sum(len(set(truth[q]) & set(found[q])) for q in truth) >= 0.9 * sum(map(len, truth.values()))
+    # Blocks and packs of a few vectors each give the same as one of all.
+    whole = {tuple(r) for r in search(df, F.col("vec_id") % 10 == 0, share=0.3).collect()}
+    assert whole == {tuple(r) for r in search(df, F.col("vec_id") % 10 == 0, share=0.3, block_numbers=64 * 7, pack_numbers=64 * 3).collect()}
+
+
+def test_vectors_of_one_component(spark):
+    from meshlake.llm.ann import search
+
+    df = spark.createDataFrame([(k, [float(k * k + 1)]) for k in range(30)], "vec_id bigint, embedding array<double>")
+    found = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in search(df, F.col("vec_id") == 20).collect())
+    truth = sorted((abs(k * k - 400), k) for k in range(30) if k != 20)[:10]
+    assert found == [(20, n, k, float(d)) for n, (d, k) in enumerate(truth, 1)]
 
 
 def test_nearest_odd_rows(spark):
@@ -481,12 +518,18 @@ def test_walk_is_in_order_of_summed_distance():
     from meshlake.llm.ann import MultiIndex
 
     rng = np.random.default_rng(9)
-    index = MultiIndex(rng.normal(size=(7, 3)), rng.normal(size=(5, 3)), rng.integers(0, 3, (7, 5)))
+    sizes = rng.integers(0, 3, (7, 5))
+    held = np.argwhere(sizes > 0)
+    index = MultiIndex(rng.normal(size=(7, 3)), rng.normal(size=(5, 3)), held[:, 0], held[:, 1], sizes[sizes > 0])
     q = rng.normal(size=6)
     far = ((index.left - q[:3]) ** 2).sum(axis=1)[:, None] + ((index.right - q[3:]) ** 2).sum(axis=1)
-    cells = index.walk(q, 10**9)
-    assert sorted(cells) == sorted(map(tuple, np.argwhere(index.sizes > 0).tolist()))
+    a, b = index.far(q[None])
+    cells = [(i, j) for _, i, j in index.walk(a[0], b[0], 10**9)]
+    assert sorted(cells) == sorted(map(tuple, held.tolist()))
     assert (np.diff([far[c] for c in cells]) >= -1e-9).all()
+    some = [(i, j) for _, i, j in index.walk(a[0], b[0], 9)]
+    assert some == cells[: len(some)] and sum(sizes[c] for c in some) >= 9 > sum(sizes[c] for c in some[:-1])
+    assert not list(index.walk(a[0], b[0], 0))
 
 
 # --- WARC --------------------------------------------------------------------------
