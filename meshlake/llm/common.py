@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -15,14 +17,28 @@ _tables: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only if unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only where driver and executors are one process may it be unset, as in tests: it then is a temporary folder.
+    Elsewhere that would lose data without a word, so it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='meshlake-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+def table_path(spark: SparkSession, label: str) -> str:
+    """A new place in the shared folder; what is written there goes with :func:`drop_tables`, at the latest when the driver ends."""
+    if not _tables:
+        atexit.register(_drop_at_exit, spark)
+    _tables.append(f"{shared_dir(spark)}/meshlake/{uuid.uuid4().hex}/{label}")
+    return _tables[-1]
+
+
 #: Rows to a file of a table whose size is known.
 ROWS_PER_FILE = 100_000
 
@@ -37,21 +53,25 @@ def cut(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
-    path = f"{shared_dir(df.sparkSession)}/meshlake/{uuid.uuid4().hex}/{label}"
+    path = table_path(df.sparkSession, label)
     df.write.parquet(path)
-    _tables.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_tables(spark: SparkSession) -> int:
-    """Delete the tables that :func:`cut` has left; call it when their results have been written."""
+    """Delete the tables that :func:`cut` has left and the archives; call it when all results that read them have been written."""
     n, jvm = len(_tables), spark._jvm
     while _tables:
-        path = jvm.org.apache.hadoop.fs.Path(_tables.pop())
+        path = jvm.org.apache.hadoop.fs.Path(_tables.pop()).getParent()
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return n
 
 
+def _drop_at_exit(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone
+        drop_tables(spark)
+
+
 def small_batches(spark: SparkSession, mb: int = 8) -> None:
     """Bound what one Arrow batch holds, so that long texts don't add up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{mb}m")
