@@ -565,7 +565,7 @@ def test_min_bytes_leaves_small_payloads_alone(spark):
     assert {r["page_id"]: r["record_type"] for r in archive_round_trip(df, 3).collect()} == {1: "response", 2: "response", 3: "response", 4: "revisit"}
 
 
-def test_broken_archives_are_errors(spark, tmp_path):
+def test_broken_framing_is_an_error():
     from meshlake.llm import warc
 
     for bad in (b"3\r\nabcd\r\n0\r\n\r\n", b"5\r\nabc", b"", b"zz\r\n"):
@@ -573,17 +573,56 @@ def test_broken_archives_are_errors(spark, tmp_path):
             warc.unchunked(bad)
     assert warc.unchunked(warc.chunked(b"a" * 10_000) ) == b"a" * 10_000
     assert warc.unchunked(b"4;x=y\r\nabcd\r\n0\r\nTrailer: 1\r\n\r\n") == b"abcd"
-    payload = b"x" * 50_000
-    digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-    records = warc.records_of("1", "u", payload, digest, None, 0)
-    assert len(records) == 4
-    for k, part in enumerate((records, records[:-1], records[:1] + records[2:])):
-        (tmp_path / f"{k}").mkdir()
-        (tmp_path / f"{k}" / "a.warc").write_bytes(b"".join(r + b"\r\n\r\n" for r in part))
-    assert warc.read_archives(spark, str(tmp_path / "0")).count() == 1
-    for k in (1, 2):
-        with pytest.raises(Exception, match="segments"):
-            warc.read_archives(spark, str(tmp_path / f"{k}")).collect()
+
+
+def test_broken_records_are_set_aside(spark, tmp_path):
+    """Beside whole ones, in the same archives; each with its reason."""
+    from meshlake.llm import warc
+
+    def record(page, payload, wrong=False):
+        digest = base64.b32encode(hashlib.sha1(payload + b"!" * wrong).digest()).decode()
+        return warc.records_of(page, "u", payload, len(payload), digest, None, 0)
+
+    long = record("1", b"x" * 50_000)
+    assert len(long) == 4
+    good, more = record("2", b"fine"), record("3", b"y" * 40_000)
+    cases = {
+        "whole": (long, 0, None), "last": (long[:-1], 1, "segments"), "middle": (long[:1] + long[2:], 1, "segments"), "first": (long[1:], 1, "segments"), "twice": (long + long[1:2], 1, "segments"),
+        "digest": (record("4", b"abc", True), 1, "digest"), "framing": ([record("5", b"abc")[0].replace(b"\r\n3\r\n", b"\r\n7\r\n")], 1, "cut short"),
+        "noise": ([b"\x00\xff no record"], 1, "no WARC record"), "length": ([good[0].replace(b"Content-Length: ", b"Content-Length: x")], 1, "no length"),
+        "target": ([b"WARC/1.1\r\nWARC-Type: revisit\r\nWARC-Record-ID: <r>\r\nContent-Length: 0\r\n\r\n"], 1, "warc-refers-to"),
+        "other": ([b"WARC/1.1\r\nWARC-Type: warcinfo\r\nContent-Length: 2\r\n\r\nab"], 0, None),
+    }
+    for name, (bad, n, reason) in cases.items():
+        path = tmp_path / name
+        path.mkdir()
+        (path / "a.warc").write_bytes(b"".join(r + b"\r\n\r\n" for r in [*good, *more[:2], *bad[:1]]))
+        (path / "b.warc").write_bytes(b"".join(r + b"\r\n\r\n" for r in [*bad[1:], *more[2:], *record("6", b"last")]))
+        for payloads in (True, False):
+            rows = warc.read_archives(spark, str(path), payloads).collect()
+            broken = [r for r in rows if r["kind"] == "broken"]
+            assert len(broken) == n and all(reason in r["error"] for r in broken), (name, broken)
+            whole = {r["record_id"].split(":")[2]: (r["payload_bytes"], bytes(r["payload"] or b"") == {"1": b"x" * 50_000, "2": b"fine", "3": b"y" * 40_000, "6": b"last"}[r["record_id"].split(":")[2]]) for r in rows if r["kind"] == "response"}
+            expected = {"2": 4, "3": 40_000, "6": 4} | ({"1": 50_000} if name == "whole" else {})
+            assert whole == {k: (v, payloads) for k, v in expected.items()}, name
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut" / "a.warc").write_bytes(good[0] + b"\r\n\r\n" + long[0][:-9])
+    kinds = Counter((r["kind"], "cut short" in (r["error"] or "")) for r in warc.read_archives(spark, str(tmp_path / "cut")).collect())
+    assert kinds == {("response", False): 1, ("broken", True): 1}
+
+
+def test_tables_and_archives_can_be_dropped(spark):
+    from pathlib import Path
+
+    from meshlake.llm import common
+    from meshlake.llm.warc import archive_round_trip
+
+    common.drop_tables(spark)
+    found = archive_round_trip(spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab")], "page_id bigint, url string, html string"))
+    assert found.count() == 2
+    paths = [Path(p.removeprefix("file://").removeprefix("file:")) for p in common._tables]
+    assert len(paths) >= 3 and all(p.exists() for p in paths)
+    assert common.drop_tables(spark) == len(paths) and not any(p.parent.exists() for p in paths)
 
 
 # --- language ----------------------------------------------------------------------
