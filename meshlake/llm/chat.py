@@ -18,8 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, SEP, TURN, END = "<|im_start|>", "<|im_sep|>", "<|im_turn|>", "<|im_end|>\n"
-_BLOCKS = "array<struct<role:string,texts:array<string>>>"
-_SPANS = "struct<at:bigint,spans:array<struct<start:bigint,stop:bigint>>>"
+#: Elements that a running total copies at once, so that long arrays take linear time.
+CHUNK = 256
+#: Code points in a piece of a formatted text that is read.
+PIECE = 4096
 
 
 def escaped(text: Column) -> Column:
@@ -30,17 +32,32 @@ def unescaped(text: Column) -> Column:
     return F.replace(text, F.lit("<||"), F.lit("<|"))
 
 
-def _merged(turns: Column) -> Column:
-    """Blocks of adjacent turns with the same role."""
+def _merged(turns: str) -> Column:
+    """Blocks of adjacent turns with the same role: the turns between two changes of role."""
+    own, n = F.col(turns), F.size(turns)
 
-    def add(blocks: Column, turn: Column) -> Column:
-        last = F.element_at(blocks, -1)
-        own = F.array(F.struct(turn["role"].alias("role"), F.array(turn["text"]).alias("texts")))
-        longer = F.array(F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(turn["text"])).alias("texts")))
-        same = (F.size(blocks) > 0) & (F.try_element_at(blocks, F.lit(-1))["role"] == turn["role"])
-        return F.when(same, F.concat(F.slice(blocks, F.lit(1), F.size(blocks) - 1), longer)).otherwise(F.concat(blocks, own))
+    def changes(at: Column) -> Column:
+        return (at == n) | (at == 0) | (F.element_at(own, F.greatest(at, F.lit(1)))["role"] != F.element_at(own, F.least(at + 1, n))["role"])
 
-    return F.aggregate(turns, F.array().cast(_BLOCKS), add)
+    ends = F.filter(F.sequence(F.lit(1), n), changes)
+    starts = F.concat(F.array(F.lit(0)), F.slice(ends, F.lit(1), F.size(ends) - 1))
+    return F.zip_with(
+        starts,
+        ends,
+        lambda a, b: F.struct(F.element_at(own, b)["role"].alias("role"), F.transform(F.slice(own, a + 1, b - a), lambda t: t["text"]).alias("texts")),
+    )
+
+
+def _running(lengths: Column) -> Column:
+    """For each element the sum of those before it, by a fold that copies its state: for short arrays."""
+    state = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("sums"))
+    return F.aggregate(lengths, state, lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["sums"], F.array(s["at"])).alias("sums")))["sums"]
+
+
+def _places(chunks: Column) -> Column:
+    """For each element the sum of those before it; ``chunks`` are the elements in arrays of ``CHUNK``."""
+    totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda s, x: s + x))
+    return F.flatten(F.zip_with(chunks, _running(totals), lambda c, before: F.transform(_running(c), lambda x: x + before)))
 
 
 def _segments(blocks: Column, loss_role: str) -> Column:
@@ -85,21 +102,22 @@ def format_chats(conversations: DataFrame, loss_role: str = "assistant") -> Data
             "turns", lambda t: F.struct(escaped(t["role"]).alias("role"), escaped(t["text"]).alias("text"))
         ).alias("turns"),
     )
-    blocks = turns.select("conv_id", _merged(F.col("turns")).alias("blocks"))
+    blocks = turns.select("conv_id", _merged("turns").alias("blocks"))
     parts = blocks.select("conv_id", _segments(F.col("blocks"), loss_role).alias("parts"))
-
-    def spanned(state: Column, part: Column) -> Column:
-        stop = state["at"] + F.char_length(part["text"])
-        own = F.array(F.struct(state["at"].alias("start"), stop.alias("stop")))
-        return F.struct(
-            stop.alias("at"), F.when(part["loss"], F.concat(state["spans"], own)).otherwise(state["spans"]).alias("spans")
-        )
-
-    none = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().alias("spans")).cast(_SPANS)
+    length = F.transform("parts", lambda p: F.char_length(p["text"]).cast("bigint"))
+    parts = parts.select("conv_id", "parts", length.alias("lengths"))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size("lengths") - 1) / CHUNK).cast("int")), lambda c: F.slice("lengths", c * CHUNK + 1, F.lit(CHUNK)))
+    parts = parts.select("conv_id", "parts", "lengths", chunks.alias("chunks"))
+    parts = parts.select("conv_id", "parts", "lengths", _places(F.col("chunks")).alias("places"))
+    spans = F.zip_with(
+        F.zip_with("parts", "lengths", lambda p, n: F.when(p["loss"], n)),
+        "places",
+        lambda n, at: F.when(n.isNotNull(), F.struct(at.alias("start"), (at + n).alias("stop"))),
+    )
     return parts.select(
         "conv_id",
         F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("formatted"),
-        F.aggregate("parts", none, spanned)["spans"].alias("loss_spans"),
+        F.array_compact(spans).alias("loss_spans"),
     )
 
 
@@ -122,12 +140,15 @@ def read_chats(formatted: DataFrame) -> DataFrame:
 
     blocks = F.split(F.col("formatted"), exactly(END), -1)
     blocks = F.slice(blocks, F.lit(1), F.size(blocks) - 1)
-    at = F.col("formatted")
-    return formatted.select(
-        "conv_id",
-        F.flatten(F.transform(blocks, turns_of)).alias("turns"),
-        F.transform(
-            "loss_spans",
-            lambda s: unescaped(at.substr((s["start"] + 1).cast("int"), (s["stop"] - s["start"]).cast("int"))),
-        ).alias("loss_texts"),
-    )
+    # The text in pieces of as many code points each, so that a span is found without counting through all that is before it.
+    pieces = F.regexp_extract_all("formatted", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    cut = formatted.select("conv_id", F.flatten(F.transform(blocks, turns_of)).alias("turns"), "loss_spans", pieces.alias("pieces"))
+
+    def under(span: Column) -> Column:
+        first, last = (F.floor(span[c] / PIECE).cast("int") for c in ("start", "stop"))
+        own = F.array_join(F.slice("pieces", first + 1, last - first + 1), "")
+        return unescaped(own.substr((span["start"] - first * PIECE + 1).cast("int"), (span["stop"] - span["start"]).cast("int")))
+
+    # Two uses keep the optimizer from writing the pieces out inside the function, where they would be made for each span.
+    texts = F.when(F.size("pieces") >= 0, F.transform("loss_spans", under))
+    return cut.select("conv_id", "turns", texts.alias("loss_texts"))
