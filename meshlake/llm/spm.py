@@ -75,6 +75,8 @@ def load_model(path: str) -> Vocabulary:
     pieces = [p.piece for p in model.pieces]
     if {4, 5} & set(kinds) or any(k == 1 and re.search(f"[^{MARK}]{MARK}", p) for k, p in zip(kinds, pieces, strict=True)):
         raise ValueError("user-defined or unused pieces, or pieces across words, aren't covered")
+    if any(k == 1 and "\n" in p and set(p) != {"\n"} for k, p in zip(kinds, pieces, strict=True)):
+        raise ValueError("pieces that join line ends with other characters aren't covered")
     vocab = Vocabulary(pieces, [p.score for p in model.pieces], kinds, kinds.index(3, pieces.index("</s>")))
     ids = {p: i for i, p in enumerate(pieces) if kinds[i] == 1}
     single = {p for p in ids if len(p) == 1}
