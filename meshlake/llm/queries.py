@@ -154,7 +154,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meshlake.llm.langid import fit, predict
 
     docs = _table(spark, sf_dir, "documents")
-    return predict(docs, fit(docs)).select("doc_id", "held_out", "lang_pred", "score")
+    return predict(docs, fit(docs)).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
