@@ -23,19 +23,18 @@ def normalised(column: str = "text"):
     return F.regexp_replace(text_of(column), f"[{SPACE}]+", " ")
 
 
-def _blocks(docs: DataFrame, block_chars: int) -> DataFrame:
+def _blocks(docs: DataFrame, block_chars: int, carry: tuple[str, ...]) -> DataFrame:
     """A row for each block. An empty text has one empty block."""
-    rows = docs.select(
-        "doc_id", F.monotonically_increasing_id().alias("uid"), normalised().alias("norm")
-    )
+    kept = F.struct("doc_id", *[F.col(c).alias(f"carry_{k}") for k, c in enumerate(carry)]).alias("row")
+    rows = docs.select(kept, F.monotonically_increasing_id().alias("uid"), normalised().alias("norm"))
     rows = rows.select(
-        "doc_id",
+        "row",
         "uid",
         F.sha2("norm", 256).alias("sha"),
         F.regexp_extract_all("norm", F.lit(f"(?s).{{1,{block_chars}}}"), F.lit(0)).alias("blocks"),
     )
     return rows.select(
-        "doc_id",
+        "row",
         "uid",
         "sha",
         F.greatest(F.size("blocks"), F.lit(1)).alias("n_blocks"),
@@ -48,17 +47,19 @@ def _numbered(distinct: DataFrame, *keys: str) -> DataFrame:
     return distinct.sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id())
 
 
-def document_names(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> tuple[DataFrame, int]:
-    """Rows ``uid, doc_id, sha, n_blocks, name``, and a bound on their number; ``(n_blocks, name)`` identifies the normalised text.
+def document_names(docs: DataFrame, block_chars: int = BLOCK_CHARS, carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """Rows ``uid, row, sha, n_blocks, name``, and a bound on their number; ``(n_blocks, name)`` identifies the normalised text.
+
+    ``row`` is a struct of doc_id and, as ``carry_0`` and so on, the columns in ``carry``.
 
     The texts are shuffled once, to compare distinct blocks. Names go back to
     documents by the blocks' SHA-256; that it is unique among the distinct
     blocks is verified, and the job fails if it isn't.
     """
-    blocks = _blocks(docs, block_chars)
+    blocks = _blocks(docs, block_chars, carry)
     key = F.unhex(F.sha2("block", 256)).alias("key")
     cells = cut(
-        blocks.select("uid", "doc_id", "n_blocks", "pos", key, F.when(F.col("pos") == 0, F.col("sha")).alias("sha")),
+        blocks.select("uid", "n_blocks", "pos", key, *[F.when(F.col("pos") == 0, F.col(c)).alias(c) for c in ("row", "sha")]),
         "cells",
     )
     named = _numbered(blocks.select("block").distinct(), "block").select("name", key)
@@ -87,27 +88,28 @@ def document_names(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> tuple[Dat
         level = pairs.join(named, ["left", "right"]).select("uid", "pos", "name")
         width = (width + 1) // 2
     names = done.unionByName(level.select("uid", "name"))
-    return cells.where("pos = 0").select("uid", "doc_id", "sha", "n_blocks").join(names, "uid"), size[0]
+    return cells.where("pos = 0").select("uid", "row", "sha", "n_blocks").join(names, "uid"), size[0]
 
 
-def exact_dedup(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """One row per row of ``docs(doc_id, text, ...)``: ``doc_id, keep_id, group_size, kept, text_sha256``.
+def exact_dedup(docs: DataFrame, block_chars: int = BLOCK_CHARS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs(doc_id, text, ...)``: ``doc_id, keep_id, group_size, kept, text_sha256``, and the columns in ``carry``.
 
     Texts are equal when identical after each run of white space has become
     one space; null is empty. Of equal texts the row with the smallest doc_id
-    stays. Of rows that repeat both doc_id and text just one is kept. A null
+    stays. Of rows that repeat both doc_id and text just one is kept, by the columns in ``carry``. A null
     doc_id comes after all others; if a group has no other, keep_id is null.
     An empty table gives no rows. Other columns are neither read nor returned.
     """
-    names, n = document_names(docs, block_chars)
+    names, n = document_names(docs, block_chars, carry)
     names = cut(names, "identities", n)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "uid")).alias("first")
+    first = F.min(F.struct(F.col("row.doc_id").isNull().alias("missing"), "row", "uid")).alias("first")
     # A table of its own: the join then deals both sides anew, so that Spark can split a large group of copies.
     groups = cut(names.groupBy("n_blocks", "name").agg(first, F.count("*").alias("group_size")), "groups", n)
     return names.join(groups, ["n_blocks", "name"]).select(
-        "doc_id",
-        F.col("first.doc_id").alias("keep_id"),
+        F.col("row.doc_id").alias("doc_id"),
+        F.col("first.row.doc_id").alias("keep_id"),
         "group_size",
         (F.col("uid") == F.col("first.uid")).alias("kept"),
         F.col("sha").alias("text_sha256"),
+        *[F.col(f"row.carry_{k}").alias(c) for k, c in enumerate(carry)],
     )

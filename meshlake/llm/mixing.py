@@ -96,10 +96,14 @@ def mix(
 
     Null text has size 0, as has an empty one: nothing is taken of it. A null source
     is a source of its own. Rows that repeat a doc_id are documents of their own; a
-    run again gives the same numbers. No document is taken more than ``repeats`` times
+    run again gives the same numbers. Documents go to shards by a hash of id and text, so that
+    no shard has much more than ``shard_words`` words unless rows repeat both, or one text alone is longer. Sources
+    and the shards of a source are ranked in one task, as rows of a few numbers: that holds
+    for millions, not for a source to each document. No document is taken more than ``repeats`` times
     its size. An empty table gives no rows. Other columns aren't read.
     """
-    sizes = cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count().alias("size"), *carry), "sizes")
+    own = F.xxhash64("doc_id", text_of(), F.lit(seed)).alias("hash")
+    sizes = cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count().alias("size"), own, *carry), "sizes")
     sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sources, weights, share, repeats)
     everything = Window.partitionBy()
@@ -114,7 +118,7 @@ def mix(
     )
     named = targets.withColumnRenamed("source", "s")
     rows = sizes.join(named, F.col("source").eqNullSafe(F.col("s"))).drop("s", "quota")
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("shards")))
+    rows = rows.withColumn("shard", F.pmod(F.col("hash"), F.col("shards")))
     shards = rows.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"))
     shards = shards.join(named, F.col("source").eqNullSafe(F.col("s"))).select(
         "source", "shard", "shard_size", F.col("quota").alias("seats"), "block"
@@ -129,7 +133,7 @@ def mix(
         F.pmod(F.xxhash64("source", "shard", F.lit(seed + 1)), F.col("blocks")).alias("start"),
         "blocks",
     )
-    order = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 2)), "doc_id", "size")
+    order = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 2)), "doc_id", "hash", "size", *carry)
     rows = rows.withColumn("end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.join(shards, F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("h")))
 
