@@ -2,15 +2,20 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of ``docs``. Between stages the rows are written as Parquet.
+
+A stage decides on narrow rows that carry the place of a document in its table, and
+the documents meet these decisions once, by place. In every stage a null text is an empty
+one, null ids and sources are values like others, texts of any length are taken whole, extra columns of
+any name come through unchanged, and an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlake.llm.common import cut, text_of
-from meshlake.llm.exact import exact_dedup, normalised
+from meshlake.llm.common import cut
+from meshlake.llm.exact import exact_dedup
 from meshlake.llm.langid import fit, keep_known
 from meshlake.llm.mixing import mix
 from meshlake.llm.simhash import near_duplicates
@@ -18,59 +23,76 @@ from meshlake.llm.spm import encode_decode
 
 #: SQL can't express most stages; a brute-force version stands in the tests.
 ORACLE_SQL = None
+#: Decisions of two numbers each are sent to all executors up to this many rows, about 10 MB; beyond, both sides are dealt by place.
+MAX_SENT = 100_000
+_PLACE = ("place_file", "place_row")
 
 
-def _attach(docs: DataFrame, sha: Column, decided: DataFrame, result: str) -> DataFrame:
-    """``row`` (a struct of all columns of ``docs``) and ``result`` of the rows that ``decided(doc_id, sha, <result>)`` has.
+def _placed(docs: DataFrame) -> DataFrame:
+    """``row`` (a struct of all columns, so that none can clash with a name used here) and the place of each row, two numbers.
 
-    A row is told by doc_id and the hash of its text; only if any doc_id repeats, rows that
-    share both are numbered on either side. Columns of ``docs`` stay inside the struct, so
-    that none can clash with a name used here.
+    A place is the file (by hash of its path) and the row's number in it, so no two reads can differ. Rows that don't
+    come straight from files are written to a table first.
     """
-    repeats = docs.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        meta = docs.metadataColumn("_metadata")
+        file, row = F.xxhash64(meta["file_path"]), meta["row_index"]
+        return docs.select(F.struct("*").alias("row"), file.alias("place_file"), row.alias("place_row"))
+    rows = docs.select(F.struct("*").alias("row"), F.lit(0).cast("long").alias("place_file"), F.monotonically_increasing_id().alias("place_row"))
+    return cut(rows, "placed")
+
+
+def _narrow(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.select(*[F.col("row")[c].alias(c) for c in columns], *_PLACE)
 
-    def numbered(df: DataFrame, tag: str) -> DataFrame:
-        own = Window.partitionBy(f"id_{tag}", f"sha_{tag}").orderBy(f"sha_{tag}")
-        return df.withColumn(f"nth_{tag}", F.row_number().over(own) if repeats else F.lit(1))
 
-    left = numbered(docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id_l"), sha.alias("sha_l")), "l")
-    right = numbered(decided.select(F.col("doc_id").alias("id_r"), F.col("sha").alias("sha_r"), F.col(result).alias("result")), "r")
-    same = F.col("id_l").eqNullSafe(F.col("id_r")) & (F.col("sha_l") == F.col("sha_r")) & (F.col("nth_l") == F.col("nth_r"))
-    return left.join(right, same).select("row", "result")
+def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The documents whose places aren't among ``dropped``."""
+    gone = cut(dropped.select(*_PLACE), "dropped")
+    gone = F.broadcast(gone) if gone.count() <= MAX_SENT else gone.hint("merge")
+    return rows.join(gone, [*_PLACE], "left_anti").select("row.*")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; those that every centroid rejects go."""
+    """Documents whose language is known; those that every centroid rejects go, as do texts without a letter.
+
+    Repeated rows fare alike.
+    """
     return keep_known(docs, fit(docs))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each normalised text: the one with the smallest doc_id."""
-    kept = exact_dedup(docs).where("kept").select("doc_id", F.col("text_sha256").alias("sha"), F.lit(True).alias("kept"))
-    return _attach(docs, F.sha2(normalised(), 256), kept, "kept").select("row.*")
+    """One row of each normalised text: the one with the smallest doc_id, null last; of rows that share that too, the first by place."""
+    rows = _placed(docs)
+    return _without(rows, exact_dedup(_narrow(rows, "doc_id", "text"), carry=_PLACE).where("NOT kept"))
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of near-duplicates: the one with the smallest doc_id."""
-    sha = F.sha2(text_of(), 256)
-    found = near_duplicates(docs.select("doc_id", "text", sha.alias("sha")), carry=("sha",))
-    one = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "sha")).alias("one")
-    kept = found.groupBy("root").agg(one).select("one.doc_id", "one.sha", F.lit(True).alias("kept"))
-    return _attach(docs, sha, kept, "kept").select("row.*")
+    """One row of each component of near-duplicates: the one with the smallest doc_id, null last, then the first by place.
+
+    Texts without words are one component.
+    """
+    rows = _placed(docs)
+    found = cut(near_duplicates(_narrow(rows, "doc_id", "text"), carry=_PLACE).select("doc_id", "root", *_PLACE), "components")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", *_PLACE)
+    kept = found.groupBy("root").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1").select("root", "kept")
+    return _without(rows, found.join(kept, "root").where(place != F.col("kept")))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as often as the mix takes them: the words taken over the row's size, rounded."""
-    sha = F.sha2(text_of(), 256)
-    mixed = mix(docs.select("doc_id", "text", "source", sha.alias("sha")), carry=("sha",))
+    """Rows as often as the mix takes them: the words taken over the row's size, rounded. Rows without words go.
+
+    Repeated rows are taken each for itself.
+    """
+    rows = _placed(docs)
+    mixed = mix(_narrow(rows, "doc_id", "text", "source"), carry=_PLACE)
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int").alias("times")
-    decided = mixed.select("doc_id", "sha", times)
-    rows = _attach(docs, sha, decided, "times").where("result > 0")
-    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("result")))).select("row.*")
+    taken = rows.join(mixed.select(*_PLACE, times).where("times > 0"), [*_PLACE])
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids with the end id, and digests of ids and decoded text, for each row."""
+    """Token ids with the end id, and digests of ids and decoded text, for each row; a text without characters has the end id alone."""
     made = encode_decode(docs)
     return made.select(
         "doc_id",
