@@ -288,9 +288,12 @@ def crosses(points: Array, pairs: Array, corners: Array, margin: float = 1e-3, c
     good = size > 1e-14
     normal[good] /= size[good, None]
     offset = np.einsum("ij,ij->i", normal, a)
-    height = points @ normal.T - offset
-    above, below = height > -1e-9, height < 1e-9
+    # Which points lie above and below each triangle's plane; heights themselves are only needed where a line passes.
+    above, below = (np.zeros((len(points), len(corners)), dtype=bool) for _ in range(2))
     step = max(1, chunk // len(corners))
+    for at in range(0, len(points), step):
+        height = points[at : at + step] @ normal.T - offset
+        above[at : at + step], below[at : at + step] = height > -1e-9, height < 1e-9
     for at in range(0, len(pairs), step):
         i, j = pairs[at : at + step, 0], pairs[at : at + step, 1]
         p, q = points[i], points[j]
@@ -306,7 +309,7 @@ def crosses(points: Array, pairs: Array, corners: Array, margin: float = 1e-3, c
         r, t = np.nonzero(hit)
         if not len(r):
             continue
-        h0, h1 = height[i[r], t], height[j[r], t]
+        h0, h1 = (np.einsum("ij,ij->i", end[r], normal[t]) - offset[t] for end in (p, q))
         with np.errstate(invalid="ignore", divide="ignore"):
             place = np.linalg.norm(q[r] - p[r], axis=1) * h0 / (h0 - h1)
         far = np.linalg.norm(q[r] - p[r], axis=1) - margin
@@ -662,43 +665,74 @@ def _along_curve(points: Array, low: Array, extent: float) -> Array:
     return np.argsort(out, kind="stable")
 
 
-def nearest(queries: Array, targets: Array, k: int = 10, block: int = 16, group: int = 64) -> tuple[Array, Array]:
-    """Indices of and distances to the ``k`` nearest targets of each query, ties to the smaller index.
+class Balls:
+    """Targets in small balls along a curve, for searches of groups of near queries."""
+
+    def __init__(self, targets: Array, low: Array, extent: float, block: int = 16):
+        order = _along_curve(targets, low, extent)
+        self.targets = targets
+        self.order = np.concatenate([order, np.full(-len(order) % block, -1)]).reshape(-1, block)
+        filled = self.order >= 0
+        own = targets[np.where(filled, self.order, self.order[:, :1])]
+        self.centre = own.mean(axis=1)
+        self.radius = np.linalg.norm(own - self.centre[:, None], axis=2).max(axis=1)
+        self.count = filled.sum(axis=1)
+
+    def within(self, middles: Array, spreads: Array, chunk: int = 1 << 21) -> Array:
+        """For each group of queries, a distance that none of them has to go farther than to its nearest target."""
+        out, step = np.zeros(len(middles)), max(1, chunk // len(self.centre))
+        size = (self.centre**2).sum(axis=1)
+        for at in range(0, len(middles), step):
+            m = middles[at : at + step]
+            gap = np.sqrt(np.maximum((m**2).sum(axis=1)[:, None] + size - 2 * m @ self.centre.T, 0))
+            out[at : at + step] = (gap + self.radius).min(axis=1) + 1e-7
+        return out + spreads
+
+    def some_near(self, q: Array, middle: Array, balls: int = 4) -> Array:
+        """For each query of a group the distance to a near target, which may not be the nearest."""
+        gap = ((self.centre - middle) ** 2).sum(axis=1)
+        names = self.order[np.argpartition(gap, balls)[:balls] if len(gap) > balls else slice(None)].ravel()
+        t = self.targets[names[names >= 0]]
+        return np.sqrt(((q[:, None] - t) ** 2).sum(axis=2).min(axis=1)) + 1e-9
+
+    def nearest(self, q: Array, middle: Array, spread: float, k: int) -> tuple[Array, Array]:
+        """The ``k`` nearest targets of each query of a group: only balls are opened that may hold one."""
+        gap = np.linalg.norm(self.centre - middle, axis=1)
+        sure = float((gap + self.radius)[self.count >= k].min()) + spread
+        names = np.sort(self.order[gap - self.radius - spread <= sure].ravel())
+        names = names[names >= 0]
+        d = np.zeros((len(q), len(names)))
+        for axis in range(3):
+            d += (self.targets[names, axis] - q[:, axis, None]) ** 2
+        best = np.argpartition(d, k - 1, axis=1)[:, :k] if len(names) > k else np.tile(np.arange(k), (len(q), 1))
+        high, mine = np.sqrt(np.take_along_axis(d, best, axis=1)), names[best]
+        by = np.lexsort((mine, high), axis=1)
+        return np.take_along_axis(mine, by, axis=1), np.take_along_axis(high, by, axis=1)
 
-    Targets are put in small balls, queries in small groups. A group is only held against
-    balls that may hold one of its nearest: those not wholly farther than a ball that
-    surely has enough.
-    """
+
+def _frame(queries: Array, targets: Array) -> tuple[Array, float]:
+    low = np.minimum(queries.min(axis=0), targets.min(axis=0))
+    return low, float((np.maximum(queries.max(axis=0), targets.max(axis=0)) - low).max()) or 1.0
+
+
+def _groups(queries: Array, low: Array, extent: float, group: int = 64) -> tuple[list[Array], Array, Array]:
+    """Rows of near queries together, the middle of each group and how far its queries are from that."""
+    by_place = _along_curve(queries, low, extent)
+    rows = [by_place[at : at + group] for at in range(0, len(queries), group)]
+    middles = np.stack([queries[r].mean(axis=0) for r in rows])
+    return rows, middles, np.array([np.linalg.norm(queries[r] - m, axis=1).max() for r, m in zip(rows, middles, strict=True)])
+
+
+def nearest(queries: Array, targets: Array, k: int = 10, block: int = 16) -> tuple[Array, Array]:
+    """Indices of and distances to the ``k`` nearest targets of each query, ties to the smaller index."""
     k = min(k, len(targets))
     if len(targets) <= 256 or k > block:
         return _all_nearest(queries, targets, k)
-    low = np.minimum(queries.min(axis=0), targets.min(axis=0))
-    extent = float((np.maximum(queries.max(axis=0), targets.max(axis=0)) - low).max()) or 1.0
-    order = _along_curve(targets, low, extent)
-    order = np.concatenate([order, np.full(-len(order) % block, -1)]).reshape(-1, block)
-    filled = order >= 0
-    own = targets[np.where(filled, order, order[:, :1])]
-    centre = own.mean(axis=1)
-    radius = np.linalg.norm(own - centre[:, None], axis=2).max(axis=1)
-    enough = filled.sum(axis=1) >= k
+    low, extent = _frame(queries, targets)
+    balls = Balls(targets, low, extent, block)
     ids, far = np.zeros((len(queries), k), dtype=np.int64), np.zeros((len(queries), k))
-    by_place = _along_curve(queries, low, extent)
-    for at in range(0, len(queries), group):
-        rows = by_place[at : at + group]
-        q = queries[rows]
-        middle = q.mean(axis=0)
-        spread = float(np.linalg.norm(q - middle, axis=1).max())
-        gap = np.linalg.norm(centre - middle, axis=1)
-        sure = float((gap + radius)[enough].min()) + spread
-        names = np.sort(order[gap - radius - spread <= sure].ravel())
-        names = names[names >= 0]
-        d = np.zeros((len(rows), len(names)))
-        for axis in range(3):
-            d += (targets[names, axis] - q[:, axis, None]) ** 2
-        best = np.argpartition(d, k - 1, axis=1)[:, :k] if len(names) > k else np.tile(np.arange(k), (len(rows), 1))
-        high, mine = np.sqrt(np.take_along_axis(d, best, axis=1)), names[best]
-        by = np.lexsort((mine, high), axis=1)
-        ids[rows], far[rows] = np.take_along_axis(mine, by, axis=1), np.take_along_axis(high, by, axis=1)
+    for rows, middle, spread in zip(*_groups(queries, low, extent), strict=True):
+        ids[rows], far[rows] = balls.nearest(queries[rows], middle, float(spread), k)
     return ids, far
 
 
@@ -728,16 +762,49 @@ def to_triangles(p: Array, a: Array, b: Array, c: Array) -> Array:
     return np.where(inside, np.abs(off), around)
 
 
-def one_sided(queries: Array, targets: Array, target_faces: Array, points: Array, faces: Array, k: int = 10) -> float:
-    """The largest distance from a query to the nearest of the triangles that its ``k`` nearest samples lie on."""
+def _to_faces_of(queries: Array, ids: Array, far: Array, target_faces: Array, points: Array, faces: Array) -> Array:
+    """Distance of each query to the nearest of the triangles that its samples ``ids`` lie on; each triangle is measured once."""
+    own = np.sort(target_faces[ids], axis=1)
+    fresh = np.ones(own.shape, dtype=bool)
+    fresh[:, 1:] = own[:, 1:] != own[:, :-1]
+    r, c = np.nonzero(fresh)
+    t = faces[own[r, c]]
+    d = np.full(own.shape, np.inf)
+    d[r, c] = to_triangles(queries[r], points[t[:, 0]], points[t[:, 1]], points[t[:, 2]])
+    d = d.min(axis=1)
+    return np.where(d > 10, far[:, 0], d)
+
+
+def one_sided(queries: Array, targets: Array, target_faces: Array, points: Array, faces: Array, k: int = 10, block: int = 16, least: float = 0.0) -> float:
+    """The largest distance from a query to the nearest of the triangles that its ``k`` nearest samples lie on.
+
+    No query is farther from these than from its nearest sample. So groups of queries are taken by a bound on that,
+    the largest first, until no group that is left can be farther than what has been found, or than ``least``:
+    what isn't farther than that needn't be known.
+    """
     if not len(queries) or not len(targets):
-        return 0.0
-    ids, far = nearest(queries, targets, k)
-    t = faces[target_faces[ids]]
-    d = to_triangles(np.broadcast_to(queries[:, None], (*ids.shape, 3)), points[t[..., 0]], points[t[..., 1]], points[t[..., 2]]).min(axis=1)
-    d = np.where(d > 10, far[:, 0], d)
-    d = d[np.isfinite(d)]
-    return float(d.max()) if len(d) else 0.0
+        return least
+    k, best = min(k, len(targets)), least
+
+    def measured(rows: Array, ids: Array, far: Array) -> float:
+        d = _to_faces_of(queries[rows], ids, far, target_faces, points, faces)
+        d = d[np.isfinite(d)]
+        return float(d.max()) if len(d) else 0.0
+
+    if len(targets) <= 256 or k > block:
+        return max(best, measured(np.arange(len(queries)), *_all_nearest(queries, targets, k)))
+    low, extent = _frame(queries, targets)
+    balls = Balls(targets, low, extent, block)
+    rows, middles, spreads = _groups(queries, low, extent)
+    bound = balls.within(middles, spreads)
+    for n in np.argsort(-bound, kind="stable").tolist():
+        if bound[n] <= best:
+            break
+        # Only queries that aren't near enough to a target of the nearest balls are looked at in full.
+        far_off = rows[n][balls.some_near(queries[rows[n]], middles[n]) > best]
+        if len(far_off):
+            best = max(best, measured(far_off, *balls.nearest(queries[far_off], middles[n], float(spreads[n]), k)))
+    return best
 
 
 def hausdorff(points1: Array, faces1: Array, points2: Array, faces2: Array, resolution: int, rng: np.random.Generator) -> float:
@@ -746,7 +813,7 @@ def hausdorff(points1: Array, faces1: Array, points2: Array, faces2: Array, reso
     s2, t2 = sample_surface(points2, faces2, resolution, rng)
     if not len(s1) or not len(s2):
         return float("inf")
-    return max(one_sided(s2, s1, t1, points1, faces1), one_sided(s1, s2, t2, points2, faces2))
+    return one_sided(s1, s2, t2, points2, faces2, least=one_sided(s2, s1, t1, points1, faces1))
 
 
 def two_hull_samples(hull1: tuple[Array, Array], hull2: tuple[Array, Array], resolution: int, rng: np.random.Generator) -> tuple[Array, Array]:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshlake.functions.geometry import (
-    Vec, bisector, distance, face_normal, fields, plane, triangle_area, vec, with_closest, with_hits, with_point_triangle,
+    Vec, bisector, distance, fields, plane, triangle_area, vec, with_closest, with_hits, with_point_triangle,
 )
 from meshlake.operators.aggregates import MESH, PART, dealt, with_ends
 
@@ -218,7 +218,8 @@ def cap_frames(border: DataFrame, planes: DataFrame, keys: list[str] = MESH) ->
 
     ``border(keys, at, x, y, z)``, ``planes(keys, a, b, c)``. The origin is the point at 0; the second point is the first
     more than 0.01 away from it, the third the first from 2 on that isn't in line with them. If their
-    normal points the way of the plane's, origin and third point change places. Borders without such points give no row.
+    normal (not made a unit vector) points the way of the plane's, origin and third point change places; they don't if it
+    is orthogonal to that. Borders without such points give no row.
     """
     whole, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("at")
     here = vec()
@@ -237,7 +238,8 @@ def cap_frames(border: DataFrame, planes: DataFrame, keys: list[str] = MESH) ->
     three = rows.groupBy(*keys).agg(F.min_by(F.struct("p", "q", F.struct("x", "y", "z").alias("r")), "at").alias("s"))
     three = three.select(*keys, *[F.col(f"s.{n}.{a}").alias(f"{n}{a}") for n in "pqr" for a in "xyz"]).join(planes, keys)
     p, q, r = (vec(n) for n in "pqr")
-    swap = face_normal(p, q, r).dot(Vec(*[F.col(n) for n in "abc"])) > 0
+    # The sign needs no unit vector, whose rounding would decide where the normals are orthogonal.
+    swap = q.minus(p).cross(r.minus(p)).dot(Vec(*[F.col(n) for n in "abc"])) > 0
     three = three.withColumn("swapped", F.coalesce(swap, F.lit(False)))
     origin = Vec(*[F.when(F.col("swapped"), c).otherwise(o) for c, o in zip(r, p, strict=True)])
     third = Vec(*[F.when(F.col("swapped"), o).otherwise(c) for c, o in zip(r, p, strict=True)])

@@ -772,8 +772,8 @@ def k3(spark, d):
 
 
 def _whole(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The L-prism of every part."""
-    return fx.vertices(spark, d, "lprism"), fx.triangles(spark, d, "lprism")
+    """The beam of every supplier: one long L-prism each, so that whole tables can be decomposed at the default settings."""
+    return fx.vertices(spark, d, "beam"), fx.triangles(spark, d, "beam")
 
 
 def _summary(parts: DataFrame) -> DataFrame:
@@ -946,12 +946,19 @@ def i4b(spark, d):
 
 
 def _godunov(axis: str) -> str:
-    down, up = f"(phi0 - coalesce(d{axis}.phi0, c.far))", f"(coalesce(u{axis}.phi0, c.far) - phi0)"
-    return f"CASE WHEN phi0 > 0 THEN greatest(power(greatest({down}, 0.0), 2), power(least({up}, 0.0), 2)) ELSE greatest(power(least({down}, 0.0), 2), power(greatest({up}, 0.0), 2)) END".replace("phi0 -", "c.phi0 -").replace("- phi0", "- c.phi0").replace("WHEN phi0", "WHEN c.phi0")
+    down, up = f"(phi0 - coalesce(d{axis}, far))", f"(coalesce(u{axis}, far) - phi0)"
+    return f"CASE WHEN phi0 > 0 THEN greatest(power(greatest({down}, 0.0), 2), power(least({up}, 0.0), 2)) ELSE greatest(power(least({down}, 0.0), 2), power(greatest({up}, 0.0), 2)) END"
+
+
+def _beside(axis: str) -> str:
+    """The values at the lattice points before and after along an axis, null where there is a hole."""
+    line = f"OVER (PARTITION BY mesh_id, {', '.join(b for b in 'xyz' if b != axis)} ORDER BY {axis})"
+    return ", ".join(f"CASE WHEN {f}({axis}) {line} = {axis} {s} 1 THEN {f}(phi0) {line} END AS {n}{axis}" for n, f, s in (("d", "lag", "-"), ("u", "lead", "+")))
 
 
 _MOVED = f""", shifted AS (SELECT mesh_id, x, y, z, value - 0.4::DOUBLE AS phi0, CASE WHEN value - 0.4::DOUBLE + 0.4::DOUBLE >= 0 THEN 1.5::DOUBLE ELSE -1.5::DOUBLE END AS far FROM cells),
-squared AS (SELECT c.mesh_id, c.x, c.y, c.z, c.phi0, {' + '.join(_godunov(a) for a in 'xyz')} AS square FROM shifted c {' '.join(f"LEFT JOIN shifted {n}{a} ON {n}{a}.mesh_id = c.mesh_id AND " + " AND ".join(f"{n}{a}.{b} = c.{b}{s if a == b else ''}" for b in 'xyz') for a in 'xyz' for n, s in (('d', ' - 1'), ('u', ' + 1')))}),
+around AS (SELECT *, {', '.join(_beside(a) for a in 'xyz')} FROM shifted),
+squared AS (SELECT mesh_id, x, y, z, phi0, {' + '.join(_godunov(a) for a in 'xyz')} AS square FROM around),
 moved AS (SELECT mesh_id, x, y, z, least(phi0, phi0 - 0.5::DOUBLE * coalesce(phi0 / nullif(sqrt(phi0 * phi0 + square), 0), 0) * (sqrt(square) / 0.5::DOUBLE - 1)) + 0.4::DOUBLE - 1e-7::DOUBLE AS moved FROM squared)"""
 
 

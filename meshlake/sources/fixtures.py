@@ -1,6 +1,6 @@
 """Meshes and points derived from the driver's tables, in long form.
 
-``box`` and ``lprism``: one closed mesh per part, scaled from a template.
+``box`` and ``lprism``: one closed mesh per part, scaled from a template; ``beam``: an L-prism, long and slim, per supplier.
 ``soup``: triangles of consecutive line items of an order. ``cloud``: points of embeddings.
 """
 
@@ -22,10 +22,17 @@ LPRISM_FACES = [(0, k + 1, k) for k in range(1, 5)] + [(6, 6 + k, 7 + k) for k i
 _E = 0.05
 _CAGE = [(-_E, -_E), (2 + _E, -_E), (2 + _E, 1 + _E), (1 + _E, 1 + _E), (1 + _E, 2 + _E), (-_E, 2 + _E)]
 CAGE_POINTS = [(x, y, z) for z in (-_E, 1 + _E) for x, y in _CAGE]
-TEMPLATES = {"box": (BOX_POINTS, BOX_FACES), "lprism": (LPRISM_POINTS, LPRISM_FACES), "cage": (CAGE_POINTS, LPRISM_FACES)}
+TEMPLATES = {
+    "box": (BOX_POINTS, BOX_FACES), "lprism": (LPRISM_POINTS, LPRISM_FACES), "cage": (CAGE_POINTS, LPRISM_FACES), "beam": (LPRISM_POINTS, LPRISM_FACES),
+}
 
 
-def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _parts(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    if kind == "beam":
+        key = F.col("s_suppkey")
+        sizes = [(40 + key % 11).alias("sx"), (2 + key % 2).alias("sy"), (2 + key % 3).alias("sz")]
+        rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(key.alias("mesh_id"), *sizes)
+        return rows.select("mesh_id", *[F.col(c).cast("double").alias(c) for c in ("sx", "sy", "sz")])
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     return part.select(
         F.col("p_partkey").alias("mesh_id"),
@@ -39,7 +46,7 @@ def vertices(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """``mesh_id, part_id, vertex_id, x, y, z``."""
     points = F.array(*[F.struct(*map(F.lit, p)) for p in TEMPLATES[kind][0]])
     points = points.cast("array<struct<x:double,y:double,z:double>>")
-    rows = _parts(spark, sf_dir).select("*", F.posexplode(points).alias("vertex_id", "p"))
+    rows = _parts(spark, sf_dir, kind).select("*", F.posexplode(points).alias("vertex_id", "p"))
     return rows.select(
         "mesh_id", F.lit(0).alias("part_id"), "vertex_id",
         (F.col("p.x") * F.col("sx")).alias("x"), (F.col("p.y") * F.col("sy")).alias("y"), (F.col("p.z") * F.col("sz")).alias("z"),
@@ -49,7 +56,7 @@ def vertices(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
 def triangles(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """``mesh_id, part_id, triangle_id, v0, v1, v2``."""
     faces = F.array(*[F.struct(*map(F.lit, f)) for f in TEMPLATES[kind][1]]).cast("array<struct<v0:int,v1:int,v2:int>>")
-    rows = _parts(spark, sf_dir).select("mesh_id", F.posexplode(faces).alias("triangle_id", "f"))
+    rows = _parts(spark, sf_dir, kind).select("mesh_id", F.posexplode(faces).alias("triangle_id", "f"))
     return rows.select("mesh_id", F.lit(0).alias("part_id"), "triangle_id", "f.v0", "f.v1", "f.v2")
 
 
