@@ -11,6 +11,7 @@ from meshlake.functions.geometry import (
     Vec, bisector, distance, fields, plane, triangle_area, vec, with_closest, with_hits, with_point_triangle,
 )
 from meshlake.operators.aggregates import MESH, PART, dealt, with_ends
+from meshlake.sources.meshes import settled
 
 # --- joins -----------------------------------------------------------------
 
@@ -42,13 +43,54 @@ def vertex_pairs(vertices: DataFrame, keys: list[str] = MESH, only_new: bool = F
     return pairs.where("new_i OR new_j").drop("new_i", "new_j") if only_new else pairs
 
 
+def _cells_of_boxes(rows: DataFrame, ends: list[tuple[str, ...]], cell: str = "cell") -> DataFrame:
+    """``rows`` once for each cell (``kx, ky, kz``) of the size in column ``cell`` that the box around the points ``ends`` meets; one more to each side for rounding."""
+    for axis in "xyz":
+        at = [F.col(f"{p}{axis}") for (p,) in ends]
+        low, high = F.floor(F.least(*at) / F.col(cell) - 1e-9), F.floor(F.greatest(*at) / F.col(cell) + 1e-9)
+        rows = rows.withColumn(f"k{axis}", F.explode(F.sequence(low, high)))
+    return rows
+
+
+def _cells_of_segments(pairs: DataFrame) -> DataFrame:
+    """Segments p-q once for each cell that they pass: cut in slabs along the axis in which they are longest, a piece meets few cells in the other two."""
+    p, q, cell = F.array("px", "py", "pz"), F.array("qx", "qy", "qz"), F.col("cell")
+    size = [F.abs(F.col(f"q{a}") - F.col(f"p{a}")) for a in "xyz"]
+    rows = pairs.withColumn("_axis", F.when((size[0] >= size[1]) & (size[0] >= size[2]), 0).when(size[1] >= size[2], 1).otherwise(2))
+    rows = rows.withColumns({"_p": F.get(p, F.col("_axis")), "_q": F.get(q, F.col("_axis"))})
+    rows = rows.withColumn("_k", F.explode(F.sequence(F.floor(F.least("_p", "_q") / cell - 1e-9), F.floor(F.greatest("_p", "_q") / cell + 1e-9))))
+
+    def at(k: Column) -> Column:
+        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(k * cell - F.col("_p"), F.col("_q") - F.col("_p")), F.lit(0.0))))
+
+    rows = rows.withColumns({"_t0": at(F.col("_k")), "_t1": F.when(F.col("_p") == F.col("_q"), 1.0).otherwise(at(F.col("_k") + 1))})
+    for n, axis in enumerate("xyz"):
+        start, along = F.col(f"p{axis}"), F.col(f"q{axis}") - F.col(f"p{axis}")
+        s, t = start + along * F.col("_t0"), start + along * F.col("_t1")
+        few = F.sequence(F.floor(F.least(s, t) / cell - 1e-6), F.floor(F.greatest(s, t) / cell + 1e-6))
+        rows = rows.withColumn(f"k{axis}", F.explode(F.when(F.col("_axis") == n, F.array("_k")).otherwise(few)))
+    return rows.drop("_axis", "_p", "_q", "_k", "_t0", "_t1")
+
+
 def blocked(pairs: DataFrame, corner_rows: DataFrame, keys: list[str] = MESH) -> DataFrame:
-    """``keys, i, j`` of pairs whose segment crosses a triangle. Boxes are compared before the exact test."""
-    p, q, a, b, c = vec("p"), vec("q"), vec("a"), vec("b"), vec("c")
+    """``keys, i, j`` of pairs whose segment crosses a triangle.
+
+    A join by cells: a triangle is put in all cells that its box meets, a segment in those that it passes,
+    and only what shares a cell is tested. Cells are as large as the mesh's triangles are on average, but not
+    smaller than a 64th of the mesh.
+    """
+    a, b, c = vec("a"), vec("b"), vec("c")
+    ends = [("a",), ("b",), ("c",)]
+    extent = [F.greatest(*[F.col(f"{p}{x}") for (p,) in ends]) - F.least(*[F.col(f"{p}{x}") for (p,) in ends]) for x in "xyz"]
+    span = [F.max(F.greatest(*[F.col(f"{p}{x}") for (p,) in ends])) - F.min(F.least(*[F.col(f"{p}{x}") for (p,) in ends])) for x in "xyz"]
+    sizes = corner_rows.groupBy(*keys).agg(F.greatest(F.avg(F.greatest(*extent)), F.greatest(*span) / 64, F.lit(1e-9)).alias("cell"))
+    held = _cells_of_boxes(corner_rows.join(sizes, keys).select(*keys, "cell", *a.columns("a"), *b.columns("b"), *c.columns("c")), ends).drop("cell")
+    p, q = vec("p"), vec("q")
+    sent = _cells_of_segments(pairs.join(sizes, keys)).select(*keys, "i", "j", *p.columns("p"), *q.columns("q"), "kx", "ky", "kz")
     near = F.lit(True)
     for k in range(3):
         near = near & (F.least(p[k], q[k]) <= F.greatest(a[k], b[k], c[k])) & (F.greatest(p[k], q[k]) >= F.least(a[k], b[k], c[k]))
-    hits = with_hits(pairs.join(corner_rows, keys).where(near))
+    hits = with_hits(sent.join(held, [*keys, "kx", "ky", "kz"]).where(near))
     # Not a filter: that would be moved below the steps of the test, which would then be written out as one expression.
     return hits.select(*keys, F.inline(F.when(F.col("hit"), F.array(F.struct("i", "j"))))).distinct()
 
@@ -60,6 +102,83 @@ def visibility_edges(vertices: DataFrame, own: DataFrame, cage: DataFrame, keys:
     return outside.join(blocked(outside, own, keys), [*keys, "i", "j"], "left_anti").select(*keys, "i", "j")
 
 
+def _in_cells(points: DataFrame, per_cell: int, keys: list[str], most: int = 1 << 20) -> DataFrame:
+    """``points`` with the cell (``cx, cy, cz``) of each in its own group's grid of about ``per_cell`` points to a cell, ``most`` cells to an axis."""
+    box = points.groupBy(*keys).agg(F.count("*").alias("_n"), *[F.min(a).alias(f"_l{a}") for a in "xyz"], *[(F.max(a) - F.min(a)).alias(f"_e{a}") for a in "xyz"])
+    side = F.least(F.greatest(F.floor(F.pow(F.col("_n") / per_cell, F.lit(1 / 3))), F.lit(1)), F.lit(most))
+    box = box.select(*keys, *[f"_l{a}" for a in "xyz"], (F.greatest(*[F.col(f"_e{a}") for a in "xyz"], F.lit(1e-12)) / side).alias("cell"))
+    rows = points.join(box, keys)
+    return rows.select(*points.columns, "cell", *[F.floor((F.col(a) - F.col(f"_l{a}")) / F.col("cell")).alias(f"c{a}") for a in "xyz"])
+
+
+def nearest_points(points: DataFrame, k: int, keys: list[str] = PART, per_cell: int = 8) -> DataFrame:
+    """``keys, sample_id, rank, target_id, d2``: the ``k`` nearest other points of each point of its group; ties to the smaller id.
+
+    ``points(keys, vertex_id, x, y, z)``, ids unique in a group. Points are looked for in the cells around one's own, in rings of cells: a round
+    looks at the rings up to one cell farther than the last. What lies outside of these is at least so many
+    cells away; a point whose k-th neighbour is nearer than that is done and sits the next rounds out.
+    """
+    rows = _in_cells(points.select(*keys, "vertex_id", "x", "y", "z"), per_cell, keys)
+    targets = rows.select(*keys, F.col("vertex_id").alias("target_id"), *vec().columns("q"), "cx", "cy", "cz")
+    most = rows.groupBy(*keys).agg(F.greatest(*[F.max(f"c{a}") - F.min(f"c{a}") for a in "xyz"]).alias("most"))
+    waiting = rows.join(most, keys).select(*keys, F.col("vertex_id").alias("sample_id"), *vec().columns("p"), "cx", "cy", "cz", "cell", "most")
+    rounds, far = [], int(most.agg(F.coalesce(F.max("most"), F.lit(0))).first()[0])
+    reach = 1
+    while True:
+        ring = F.array(*[F.struct(*[F.lit(v).alias(f"d{a}") for a, v in zip("xyz", d, strict=True)]) for d in product(range(-reach, reach + 1), repeat=3)])
+        asked = waiting.select("*", F.inline(ring)).withColumns({f"c{a}": F.col(f"c{a}") + F.col(f"d{a}") for a in "xyz"}).drop("dx", "dy", "dz")
+        off = vec("p").minus(vec("q"))
+        found = asked.join(targets, [*keys, "cx", "cy", "cz"]).where("sample_id <> target_id").withColumn("d2", F.round(off.dot(off), 9))
+        order = Window.partitionBy(*keys, "sample_id").orderBy("d2", "target_id")
+        found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*keys, "sample_id", "rank", "target_id", "d2")
+        whole = F.col("most") <= reach  # there are no cells beyond
+        near = F.pow(F.col("cell") * reach, F.lit(2.0)) - 1e-8
+        done = found.groupBy(*keys, "sample_id").agg(F.max("rank").alias("got"), F.max("d2").alias("last"))
+        state = waiting.join(done, [*keys, "sample_id"], "left").withColumn("done", whole | F.coalesce((F.col("got") >= k) & (F.col("last") < near), F.lit(False)))
+        if reach >= far:
+            return _union([*rounds, found])
+        # Tables, so that rounds don't repeat each other's work.
+        found, state = settled(found), settled(state)
+        rounds.append(found.join(state.where("done").select(*keys, "sample_id"), [*keys, "sample_id"], "left_semi"))
+        waiting = state.where("NOT done").drop("got", "last", "done")
+        if not waiting.limit(1).count():
+            return _union(rounds)
+        reach = min(far, 2 * reach)
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def part_distances(points: DataFrame, keys: list[str] = MESH, side: int = 8) -> DataFrame:
+    """``keys, p1, p2, distance`` (p1 < p2): the least distance between points of two parts.
+
+    First by the cells, ``side`` to an axis at most, that each part has points in: no two parts are farther apart than their
+    nearest cells' far corners. Then by the points of those pairs of cells alone that may be nearer than that.
+    """
+    rows = _in_cells(points.select(*keys, "part_id", *[F.col(a).cast("double").alias(a) for a in "xyz"]), 1, keys, side)
+    cells = rows.select(*keys, "part_id", "cell", "cx", "cy", "cz").distinct()
+    others = points.groupBy(*keys).agg(F.collect_set("part_id").alias("parts"))  # as many as there are parts
+    one = cells.join(others, keys).select(*keys, F.col("part_id").alias("p1"), "cell", *[F.col(f"c{a}").alias(f"u{a}") for a in "xyz"], F.explode("parts").alias("p2")).where("p1 < p2")
+    two = cells.select(*keys, F.col("part_id").alias("p2"), *[F.col(f"c{a}").alias(f"v{a}") for a in "xyz"])
+    pairs = one.join(two, [*keys, "p2"])
+    steps = [F.abs(F.col(f"u{a}") - F.col(f"v{a}")) for a in "xyz"]
+
+    def far(step) -> Column:
+        return F.sqrt(sum((step(n) * step(n) for n in steps[1:]), step(steps[0]) * step(steps[0]))) * F.col("cell")
+
+    pairs = pairs.withColumns({"least": far(lambda n: F.greatest(n - 1, F.lit(0)).cast("double")) - 1e-9, "most": far(lambda n: (n + 1).cast("double"))})
+    bound = pairs.groupBy(*keys, "p1", "p2").agg(F.min("most").alias("bound"))
+    near = pairs.join(bound, [*keys, "p1", "p2"]).where("least <= bound").select(*keys, "p1", "p2", *[f"{n}{a}" for n in "uv" for a in "xyz"])
+    first = rows.select(*keys, F.col("part_id").alias("p1"), *vec().columns("p"), *[F.col(f"c{a}").alias(f"u{a}") for a in "xyz"])
+    second = rows.select(*keys, F.col("part_id").alias("p2"), *vec().columns("q"), *[F.col(f"c{a}").alias(f"v{a}") for a in "xyz"])
+    found = near.join(first, [*keys, "p1", "ux", "uy", "uz"]).join(second, [*keys, "p2", "vx", "vy", "vz"])
+    return found.groupBy(*keys, "p1", "p2").agg(F.min(distance(vec("p"), vec("q"))).alias("distance"))
+
+
 def inherit_edges(edges: DataFrame, renamed: DataFrame, keys: list[str] = MESH) -> DataFrame:
     """Edges carried over to new vertex numbers; ``renamed(keys, old_id, new_id)``. An edge that loses an end goes."""
     first = renamed.select(*keys, F.col("old_id").alias("i"), F.col("new_id").alias("ni"))

@@ -56,6 +56,21 @@ def per_mesh(vertices: DataFrame, triangles: DataFrame, f: Callable[..., pd.Data
     return dealt(rows, keys).mapInPandas(run, schema)
 
 
+def per_points(vertices: DataFrame, f: Callable[..., pd.DataFrame], schema: str, keys: list[str]) -> DataFrame:
+    """Apply ``f(key values, points)`` to the points of each mesh or part; Python gets many of them at a time."""
+    rows = vertices.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("vertex_id", "x", "y", "z"))).alias("rows"))
+    rows = rows.select(*keys, F.flatten(F.transform("rows", lambda r: F.array(*[r[c] for c in "xyz"]))).alias("points"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [f(row[:-1], np.array(row[-1], dtype=float).reshape(-1, 3)) for row in batch.itertuples(index=False, name=None)]
+            out = [x for x in out if len(x)]
+            if out:
+                yield pd.concat(out)
+
+    return dealt(rows, keys).mapInPandas(run, schema)
+
+
 def packed(key: tuple, parts: list[k.Solid], concavity: float = 0.0) -> pd.DataFrame:
     rows = [
         (key[0], n, len(parts), concavity, p.points.ravel().tolist(), p.faces.ravel().tolist(), p.face_tokens().tolist(), p.edges.ravel().tolist())
@@ -78,8 +93,7 @@ def part_triangles(parts: DataFrame) -> DataFrame:
 def convex_hulls(vertices: DataFrame, keys: list[str] = PART) -> DataFrame:
     """``keys, triangle_id, v0, v1, v2``: hull faces over the part's own points, wound outwards; none for flat parts."""
 
-    def run(key: tuple, v: pd.DataFrame) -> pd.DataFrame:
-        p = v.sort_values("vertex_id")[["x", "y", "z"]].to_numpy(float)
+    def run(key: tuple, p: np.ndarray) -> pd.DataFrame:
         faces = k.fix_normals(p, k.convex_hull(p))
         out = pd.DataFrame(faces.astype(np.int32), columns=["v0", "v1", "v2"])
         out.insert(0, "triangle_id", np.arange(len(out), dtype=np.int32))
@@ -89,7 +103,7 @@ def convex_hulls(vertices: DataFrame, keys: list[str] = PART) -> DataFrame:
 
     kinds = dict(vertices.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in keys) + ", triangle_id int, v0 int, v1 int, v2 int"
-    return dealt(vertices.select(*keys, "vertex_id", "x", "y", "z"), keys).groupBy(*keys).applyInPandas(run, schema)
+    return per_points(vertices, run, schema, keys)
 
 
 def components(vertices: DataFrame, triangles: DataFrame, least_volume: float = 1e-6) -> DataFrame:

@@ -65,6 +65,20 @@ def _corners(spark: SparkSession, d: str, kind: str) -> DataFrame:
     return agg.corners(fx.triangles(spark, d, kind), fx.vertices(spark, d, kind))
 
 
+#: Scale factors of each part's mesh, and half the largest extent of its L-prism, by which that is normalised.
+_SIZES = """sizes AS (SELECT *, greatest(2 * sx, 2 * sy, sz) / 2 AS half FROM (SELECT p_partkey AS mesh_id, CAST(p_size AS DOUBLE) AS sx, CAST(1 + p_partkey % 7 AS DOUBLE) AS sy, CAST(1 + p_partkey % 5 AS DOUBLE) AS sz FROM part))"""
+#: How far the L-prism and its hull are from each other, in normalised units: the slanted side from the notch, or the notch from that side or a cap.
+_GAP = "greatest(sx * sy / (sx + sy), least(sx * sy / sqrt(sx * sx + sy * sy), sz / 2)) / half"
+
+
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    """The same in Spark: ``mesh_id, sx, sy, sz, half, gap``."""
+    rows = fx.vertices(spark, d, "lprism").groupBy("mesh_id").agg(*[(F.max(a) / n).alias(f"s{a}") for a, n in zip("xyz", (2, 2, 1), strict=True)])
+    rows = rows.withColumn("half", F.greatest(F.col("sx") * 2, F.col("sy") * 2, "sz") / 2)
+    slant, x, y = F.sqrt(F.col("sx") * F.col("sx") + F.col("sy") * F.col("sy")), F.col("sx"), F.col("sy")
+    return rows.withColumn("gap", F.greatest(x * y / (x + y), F.least(x * y / slant, F.col("sz") / 2)) / F.col("half"))
+
+
 def _soup(sql: str) -> str:
     return f"WITH {o.SOUP} {sql}"
 
@@ -310,16 +324,20 @@ def c9(spark, d):
     return agg.first_best(cached, MESH, "part_id", "concavity")
 
 
-@query("c10_final_concavity")
+@query("c10_final_concavity", f"WITH {_SIZES} SELECT mesh_id, {o.r6(_GAP)} AS exact, true AS near FROM sizes")
 def c10(spark, d):
+    """The largest gap of each mesh, from samples: near to what it is exactly."""
     gaps = solids.hull_gap(*_normed(spark, d, "lprism"), 10_000)
-    return gaps.groupBy("mesh_id").agg(F.max(F.round("hausdorff", 6)).alias("concavity"))
+    found = gaps.groupBy("mesh_id").agg(F.max("hausdorff").alias("concavity")).join(_sizes(spark, d), "mesh_id")
+    return found.select("mesh_id", r6(F.col("gap")).alias("exact"), (F.abs(F.col("concavity") - F.col("gap")) < 0.03).alias("near"))
 
 
-@query("c11_selection_concavity")
+@query("c11_selection_concavity", f"WITH {_SIZES} SELECT mesh_id, CAST(0 AS INT) AS part_id, {o.r6(f'greatest(0.3::DOUBLE * ' + o.RADIUS.format('0.5::DOUBLE * sx * sy * sz / (half * half * half)') + f', {_GAP})')} AS exact, true AS near FROM sizes")
 def c11(spark, d):
-    gaps = solids.hull_gap(*_normed(spark, d, "lprism"), 3000)
-    return gaps.select("mesh_id", "part_id", F.greatest(F.col("rv") * 0.3, "hausdorff").alias("selection"))
+    """The greater of 0.3 rv and the gap, from samples: near to what it is exactly."""
+    gaps = solids.hull_gap(*_normed(spark, d, "lprism"), 3000).join(_sizes(spark, d), "mesh_id")
+    exact = F.greatest(F.col("rv") * 0.3, "gap")
+    return gaps.select("mesh_id", "part_id", r6(exact).alias("exact"), (F.abs(F.greatest(F.col("rv") * 0.3, "hausdorff") - exact) < 0.05).alias("near"))
 
 
 @query("c12_mesh_hash")
@@ -371,22 +389,12 @@ _KNN = """ranked AS (SELECT q.part_id, q.vertex_id AS sample_id, t.vertex_id AS
 
 @query("d6_knn10", f"WITH {o.CLOUD}, {_KNN} SELECT part_id, sample_id, CAST(row_number() OVER (PARTITION BY sample_id ORDER BY d2, target_id) AS INT) AS rank, target_id FROM ranked QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY d2, target_id) <= 10")
 def d6(spark, d):
-    rows = fx.cloud(spark, d)
-    q, t = rows.alias("q"), rows.alias("t")
-    at = Vec(*[F.col(f"q.{a}") - F.col(f"t.{a}") for a in "xyz"])
-    pairs = q.join(t, (F.col("q.part_id") == F.col("t.part_id")) & (F.col("q.vertex_id") != F.col("t.vertex_id")))
-    pairs = pairs.select(F.col("q.part_id").alias("part_id"), F.col("q.vertex_id").alias("sample_id"), F.col("t.vertex_id").alias("target_id"), F.round(at.dot(at), 9).alias("d2"))
-    rank = F.row_number().over(Window.partitionBy("sample_id").orderBy("d2", "target_id"))
-    return pairs.withColumn("rank", rank).where("rank <= 10").select("part_id", "sample_id", "rank", "target_id")
+    return rel.nearest_points(fx.cloud(spark, d), 10).select("part_id", "sample_id", "rank", "target_id")
 
 
 @query("d7_mesh_distance", f"WITH {o.CLOUD} SELECT a.part_id AS p1, b.part_id AS p2, {o.r6('min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)))')} AS distance FROM cloud a JOIN cloud b ON a.part_id < b.part_id GROUP BY 1, 2")
 def d7(spark, d):
-    rows = fx.cloud(spark, d)
-    a = rows.select("mesh_id", F.col("part_id").alias("p1"), *vec().columns("p"))
-    b = rows.select("mesh_id", F.col("part_id").alias("p2"), *vec().columns("q"))
-    pairs = a.join(b, "mesh_id").where("p1 < p2")
-    return pairs.groupBy("p1", "p2").agg(r6(F.min(g.distance(vec("p"), vec("q")))).alias("distance"))
+    return rel.part_distances(fx.cloud(spark, d)).select("p1", "p2", r6(F.col("distance")).alias("distance"))
 
 
 @query("d8_close_parts", f"WITH {o.CLOUD} SELECT DISTINCT a.mesh_id, a.part_id AS p1, b.part_id AS p2 FROM cloud a JOIN cloud b ON a.part_id < b.part_id WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) < 0.05 * 0.05")
@@ -467,7 +475,14 @@ def e4(spark, d):
     return rel.top_by_area(items.groupBy(F.col("l_suppkey").alias("mesh_id"), F.col("l_partkey").alias("surface_id")).agg(F.max("l_extendedprice").cast("double").alias("area")))
 
 
-@query("e5_flat_planes")
+#: The flat sides of a normalised L-prism in order of their first triangle: area, triangles, normal, offset before the 0.02 that planes stand above.
+_L_SIDES = """sides_of AS (SELECT mesh_id, n, area / (half * half) AS area, CAST(triangles AS INT) AS n_triangles, a, b, c, -off / half - 0.02 AS d FROM sizes, LATERAL (VALUES
+  (0, 3 * sx * sy, 4, 0.0, 0.0, -1.0, sz / 2), (1, 3 * sx * sy, 4, 0.0, 0.0, 1.0, sz / 2), (2, 2 * sx * sz, 2, 0.0, -1.0, 0.0, sy), (3, sy * sz, 2, 1.0, 0.0, 0.0, sx),
+  (4, sx * sz, 2, 0.0, 1.0, 0.0, 0.0), (5, sy * sz, 2, 1.0, 0.0, 0.0, 0.0), (6, sx * sz, 2, 0.0, 1.0, 0.0, sy), (7, 2 * sy * sz, 2, -1.0, 0.0, 0.0, sx)) AS v(n, area, triangles, a, b, c, off))"""
+_FLAT_SQL = f"WITH {_SIZES}, {_L_SIDES} SELECT mesh_id, CAST(row_number() OVER (PARTITION BY mesh_id ORDER BY n) - 1 AS INT) AS surface_id, {o.r6('area')} AS area, n_triangles, {', '.join(f'{o.r6(f'CAST({x} AS DOUBLE)')} AS {x}' for x in 'abcd')} FROM sides_of WHERE area > 0.1"
+
+
+@query("e5_flat_planes", _FLAT_SQL)
 def e5(spark, d):
     return _rounded(solids.flat_planes(*_normed(spark, d, "lprism")))
 
@@ -496,17 +511,19 @@ def e9(spark, d):
     return rel.unique_edges(sides)
 
 
-@query("e10_weld")
+_WELD = f"""WITH RECURSIVE {o.CLOUD}, rows AS (SELECT CAST(part_id AS BIGINT) AS mesh_id, array_agg({{'id': vertex_id, 'x': x, 'y': y, 'z': z}} ORDER BY vertex_id) AS p FROM cloud GROUP BY 1),
+walk AS (SELECT mesh_id, p, 1 AS n, [p[1]] AS kept, [p[1].id] AS target FROM rows
+  UNION ALL SELECT mesh_id, p, n + 1, CASE WHEN hit IS NULL THEN list_append(kept, p[n + 1]) ELSE kept END, list_append(target, coalesce(hit, p[n + 1].id))
+  FROM (SELECT *, list_filter(kept, lambda k: abs(k.x - p[n + 1].x) < 0.05 AND abs(k.y - p[n + 1].y) < 0.05 AND abs(k.z - p[n + 1].z) < 0.05)[1].id AS hit FROM walk WHERE n < len(p)))
+SELECT mesh_id, p[k].id AS point_id, target[k] AS target_id FROM (SELECT mesh_id, p, target, unnest(range(1, len(p) + 1)) AS k FROM walk WHERE n = len(p))"""
+
+
+@query("e10_weld", _WELD)
 def e10(spark, d):
     points = fx.cloud(spark, d).select(F.col("part_id").cast("bigint").alias("mesh_id"), F.col("vertex_id").alias("point_id"), "x", "y", "z")
     return solids.welded(points, 0.05)
 
 
-@query("e11_least_element", f"SELECT mesh_id, part_id, score FROM ({_PARTS_SQL}) QUALIFY row_number() OVER (PARTITION BY mesh_id ORDER BY score, part_id) = 1")
-def e11(spark, d):
-    return agg.first_best(_scored(spark, d), MESH, "part_id", "score", largest=False)
-
-
 # --- connectivity ------------------------------------------------------------
 
 
@@ -539,13 +556,16 @@ def f2(spark, d):
     return found.select("mesh_id", "part_id", "n_triangles", r6(F.col("volume") + 0).alias("volume"))
 
 
-@query("f3_edges_to_components", _mesh("lprism", "SELECT mesh_id, i, j, CAST(0 AS INT) AS part_id FROM edges", _SEEN))
+@query("f3_edges_to_components", _mesh("lprism", "SELECT mesh_id, i, j, CAST(0 AS INT) AS part_id FROM edges UNION ALL SELECT DISTINCT mesh_id, CAST(12 + k AS INT), CAST(18 - k AS INT), CAST(1 AS INT) FROM triangles, range(2) AS r(k)", _SEEN))
 def f3(spark, d):
-    edges = _edges(spark, d)
-    label = solids.component_labels(*_two(spark, d))
+    """Edges of both components of a mesh, and one between them, which goes."""
+    two = _two(spark, d)
+    more = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((12, 18), (13, 17), (0, 12))])
+    edges = _edges(spark, d).unionByName(two[0].select("mesh_id").distinct().select("mesh_id", F.inline(more)))
+    label = solids.component_labels(*two)
     order = Window.partitionBy("mesh_id").orderBy("root")
     corner = F.array("v0", "v1", "v2")
-    held = fx.triangles(spark, d, "lprism").select("mesh_id", "triangle_id", F.explode(corner).alias("vertex_id"))
+    held = two[1].select("mesh_id", "triangle_id", F.explode(corner).alias("vertex_id"))
     held = held.join(label.drop("part_id"), ["mesh_id", "triangle_id"]).select("mesh_id", "vertex_id", "root").distinct()
     both = edges.join(held.withColumnRenamed("vertex_id", "i"), ["mesh_id", "i"]).join(held.withColumnRenamed("vertex_id", "j"), ["mesh_id", "j", "root"])
     first = both.groupBy("mesh_id", "i", "j").agg(F.min("root").alias("root"))
@@ -558,12 +578,13 @@ def f4(spark, d):
     return solids.component_labels(*_two(spark, d)).groupBy("mesh_id", "root").agg(F.count("*").alias("n"))
 
 
-@query("f5_flat_regions")
+@query("f5_flat_regions", f"""WITH {_SIZES} SELECT mesh_id, CAST(n AS INT) AS surface_id, CAST(2 AS INT) AS n_triangles, {o.r6('area * 4 / power(greatest(sx, sy, sz), 2)')} AS area
+  FROM sizes, LATERAL (VALUES (0, sx * sy), (1, sx * sy), (2, sx * sz), (3, sy * sz), (4, sx * sz), (5, sy * sz)) AS v(n, area)""")
 def f5(spark, d):
     return solids.flat_planes(*_normed(spark, d, "box"), min_area=0.0).select("mesh_id", "surface_id", "n_triangles", r6(F.col("area")).alias("area"))
 
 
-@query("f6_extract_surfaces")
+@query("f6_extract_surfaces", _FLAT_SQL)
 def f6(spark, d):
     return _rounded(rel.top_by_area(solids.flat_planes(*_normed(spark, d, "lprism"))))
 
@@ -579,23 +600,39 @@ _CLIP = f", {_PLANES}, sided AS (SELECT t.*, p.a, p.b, p.c, p.d, {o.side(o.A)} A
 _S = [f"coalesce(flat, r{k})" for k in range(3)]
 
 
-@query("g1_clip_prepare", _mesh("lprism", f"SELECT mesh_id, triangle_id, {', '.join(f'CAST({x} AS INT) AS s{k}' for k, x in enumerate(_S))}, CAST(CASE WHEN least({', '.join(_S)}) >= 0 THEN 1 WHEN greatest({', '.join(_S)}) <= 0 THEN -1 ELSE 0 END AS INT) AS side FROM clipped", _CLIP))
+def _cut_sql(k: int) -> tuple[str, str, list[str]]:
+    """Of a triangle's side k: whether the plane crosses the triangle, whether the cut is on the side, and where."""
+    p, q = (o.A, o.B, o.C)[k], (o.A, o.B, o.C)[(k + 1) % 3]
+    n = ("a", "b", "c")
+    at = [f"({x} + ({y} - {x}) * (-({o.dot(p, n)} + d) / nullif({o.dot(o.sub(q, p), n)}, 0)))" for x, y in zip(p, q, strict=True)]
+    inside = "coalesce(" + " AND ".join(f"{i} BETWEEN least({x}, {y}) - 1e-6 AND greatest({x}, {y}) + 1e-6" for i, x, y in zip(at, p, q, strict=True)) + ", false)"
+    crossed = f"(least({', '.join(_S)}) < 0 AND greatest({', '.join(_S)}) > 0)"
+    return crossed, inside, at
+
+
+_CUTS = "CAST(" + " + ".join(f"CASE WHEN {c} AND {i} THEN {1 << k} ELSE 0 END" for k in range(3) for c, i, _ in [_cut_sql(k)]) + " AS INT) AS mask, " + ", ".join(
+    f"CASE WHEN {c} AND {i} THEN {o.r6(x)} END AS i{k}{axis}" for k in range(3) for c, i, at in [_cut_sql(k)] for x, axis in zip(at, "xyz", strict=True)
+)
+
+
+@query("g1_clip_prepare", _mesh("lprism", f"SELECT mesh_id, triangle_id, {', '.join(f'CAST({x} AS INT) AS s{k}' for k, x in enumerate(_S))}, {_CUTS}, CAST(CASE WHEN least({', '.join(_S)}) >= 0 THEN 1 WHEN greatest({', '.join(_S)}) <= 0 THEN -1 ELSE 0 END AS INT) AS side FROM clipped", _CLIP))
 def g1(spark, d):
-    return rel.clip_prepare(_corners(spark, d, "lprism"), _clip_planes(spark, d)).select("mesh_id", "triangle_id", "s0", "s1", "s2", "side")
+    return _rounded(rel.clip_prepare(_corners(spark, d, "lprism"), _clip_planes(spark, d)).drop("part_id"))
 
 
-@query("g2_clip_volumes", _mesh("lprism", f"SELECT mesh_id, {o.r6(f'sum({o.VOLUME})')} AS volume, CAST(2 AS BIGINT) AS n_parts FROM corners GROUP BY mesh_id"))
+@query("g2_clip_volumes", _mesh("lprism", f"SELECT mesh_id, CAST(n AS INT) AS part_id, {o.r6(f'sum({o.VOLUME}) * (1 + 4 * n) / 6')} AS volume FROM corners, range(2) AS r(n) GROUP BY mesh_id, n"))
 def g2(spark, d):
+    """Volumes of both sides of a cut through the longer arm: a sixth is on the positive side, which comes first."""
     parts = solids.clip_meshes(fx.vertices(spark, d, "lprism"), fx.triangles(spark, d, "lprism"), _clip_planes(spark, d))
     each = agg.measures(agg.corners(solids.part_triangles(parts), solids.part_vertices(parts)))
-    return each.groupBy("mesh_id").agg(r6(F.sum("volume")).alias("volume"), F.count("*").alias("n_parts"))
+    return each.select("mesh_id", "part_id", r6(F.col("volume")).alias("volume"))
 
 
-@query("g4_cap_areas")
+@query("g4_cap_areas", f"WITH {_SIZES} SELECT mesh_id, CAST(n AS INT) AS part_id, {o.r6('sy * sz')} AS area FROM sizes, range(2) AS r(n)")
 def g4(spark, d):
     parts = solids.clip_meshes(fx.vertices(spark, d, "lprism"), fx.triangles(spark, d, "lprism"), _clip_planes(spark, d))
     caps = solids.part_triangles(parts).where("interface <> 0")
-    return _rounded(agg.measures(agg.corners(caps, solids.part_vertices(parts))).select("mesh_id", "part_id", "area", "n_triangles"))
+    return _rounded(agg.measures(agg.corners(caps, solids.part_vertices(parts))).select("mesh_id", "part_id", "area"))
 
 
 @query("g5_cap_tokens", "SELECT l_orderkey AS mesh_id, CAST(l_linenumber AS INT) AS cap_id, CAST(CASE WHEN l_suppkey % 2 = 0 THEN 1 ELSE -1 END * (CAST(1 + l_suppkey % 5 AS BIGINT) * 4294967296 + l_linenumber + 1) AS BIGINT) AS interface FROM lineitem")
@@ -605,10 +642,15 @@ def g5(spark, d):
     return rel.cap_tokens(caps).select("mesh_id", "cap_id", F.col("interface").cast("bigint").alias("interface"))
 
 
-@query("g6_multi_clip")
+@query("g6_multi_clip", f"WITH {_SIZES} SELECT mesh_id, n = 1 AS beyond, {o.r6('sx * sy * sz * (5 - 4 * n) / 2')} AS volume FROM sizes, range(2) AS r(n)")
 def g6(spark, d):
+    """Volumes beyond and before the first of three cuts, summed over the parts that all three leave."""
     parts = solids.clip_meshes(fx.vertices(spark, d, "lprism"), fx.triangles(spark, d, "lprism"), _planes(spark, d).drop("is_flat"))
-    return _rounded(agg.measures(agg.corners(solids.part_triangles(parts), solids.part_vertices(parts))))
+    v = solids.part_vertices(parts)
+    first = _clip_planes(spark, d).select("mesh_id", (-F.col("d")).alias("at"))
+    side = v.groupBy(*PART).agg(F.avg("x").alias("middle")).join(first, "mesh_id").select(*PART, (F.col("middle") > F.col("at")).alias("beyond"))
+    found = agg.measures(agg.corners(solids.part_triangles(parts), v)).join(side, PART)
+    return found.groupBy("mesh_id", "beyond").agg(r6(F.sum("volume")).alias("volume"))
 
 
 @query("g7_convex_hull", f"WITH {o.template('lprism')}, scale AS (SELECT p_partkey AS mesh_id, CAST(p_size AS DOUBLE) * (1 + p_partkey % 7) * (1 + p_partkey % 5) AS k FROM part) SELECT mesh_id, {o.r6('3.5 * k')} AS volume FROM scale")
@@ -617,18 +659,29 @@ def g7(spark, d):
     return agg.measures(agg.corners(solids.convex_hulls(v), v), MESH).select("mesh_id", r6(F.col("volume")).alias("volume"))
 
 
-@query("g8_hull_faces")
-def g8(spark, d):
-    return solids.convex_hulls(fx.vertices(spark, d, "cage")).drop("part_id")
+#: The planes of the cage's hull, with unit normals, as normal and offset.
+_HULL_PLANES = """planes_of AS (SELECT mesh_id, v.* FROM sizes, LATERAL (VALUES
+  (0.0, 0.0, -1.0, 0.05 * sz), (0.0, 0.0, 1.0, 1.05 * sz), (0.0, -1.0, 0.0, 0.05 * sy), (-1.0, 0.0, 0.0, 0.05 * sx), (1.0, 0.0, 0.0, 2.05 * sx), (0.0, 1.0, 0.0, 2.05 * sy),
+  (sy / sqrt(sx * sx + sy * sy), sx / sqrt(sx * sx + sy * sy), 0.0, 3.1 * sx * sy / sqrt(sx * sx + sy * sy))) AS v(a, b, c, off))"""
 
 
-_CENTRE = "centre AS (SELECT mesh_id, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM vertices GROUP BY mesh_id)"
+@query("g8_hull_faces", f"WITH {_SIZES}, {_HULL_PLANES} SELECT mesh_id, {', '.join(f'{o.r6(f'CAST({x} AS DOUBLE)')} AS {x}' for x in ('a', 'b', 'c', 'off'))} FROM planes_of")
+def g8(spark, d):
+    """The planes that a hull's triangles lie in, each once."""
+    v = fx.vertices(spark, d, "cage")
+    faces = agg.corners(solids.convex_hulls(v), v)
+    normal = g.face_normal(A, B, C)
+    rows = faces.select("mesh_id", *normal.columns("n"), *vec("a").columns("a"))
+    return _rounded(rows.select("mesh_id", *[F.col(f"n{x}").alias(p) for x, p in zip("xyz", "abc", strict=True)], vec("n").dot(vec("a")).alias("off"))).distinct()
 
 
-@query("g10_fix_normals", _mesh("box", f"SELECT t.mesh_id, t.triangle_id, t.v0, CASE WHEN f THEN t.v2 ELSE t.v1 END AS v1, CASE WHEN f THEN t.v1 ELSE t.v2 END AS v2 FROM (SELECT s.mesh_id, s.triangle_id, {o.dot(o.NORMAL, o.sub(o.v('m'), o.A))} > 0 AS f FROM corners s JOIN centre USING (mesh_id)) q JOIN triangles t USING (mesh_id, triangle_id)", f", {_CENTRE}"))
+@query("g10_fix_normals", _mesh("box", "SELECT mesh_id, triangle_id, v0, v1, v2 FROM triangles"))
 def g10(spark, d):
+    """A box of which every third triangle is wound the wrong way, put right."""
     t, v = fx.triangles(spark, d, "box"), fx.vertices(spark, d, "box")
-    return rel.outward(agg.corners(t, v), t, v)
+    wrong = F.col("triangle_id") % 3 == 0
+    turned = t.withColumns({"v1": F.when(wrong, F.col("v2")).otherwise(F.col("v1")), "v2": F.when(wrong, F.col("v1")).otherwise(F.col("v2"))})
+    return rel.outward(agg.corners(turned, v), turned, v)
 
 
 @query("g11_merge_meshes", f"{_TWO} SELECT mesh_id, CAST(triangle_id AS INT) AS triangle_id, CAST(v0 AS INT) AS v0, CAST(v1 AS INT) AS v1, CAST(v2 AS INT) AS v2 FROM triangles")
@@ -636,7 +689,7 @@ def g11(spark, d):
     return _two(spark, d)[1].select("mesh_id", "triangle_id", "v0", "v1", "v2")
 
 
-@query("g12_overlap_face")
+@query("g12_overlap_face", "SELECT p_partkey AS mesh_id, CAST(6 AS INT) AS face FROM part")
 def g12(spark, d):
     from meshlake import kernels
 
@@ -652,10 +705,19 @@ def g12(spark, d):
 # --- samples and distances ---------------------------------------------------
 
 
-@query("h1_surface_samples")
+@query("h1_surface_samples", "SELECT p_partkey AS mesh_id, CAST(20 AS BIGINT) AS n_triangles, true AS enough, 0.0::DOUBLE AS off, true AS fair FROM part")
 def h1(spark, d):
-    s = solids.surface_samples(*_normed(spark, d, "lprism"), 10)
-    return s.groupBy("mesh_id").agg(F.count("*").alias("n"), F.count_distinct("triangle_id").alias("n_triangles"), F.round(F.max("x"), 1).alias("max_x"))
+    """Samples of a surface: on all its triangles, as many as its area asks for, in their planes, and shared out by area."""
+    v, t = _normed(spark, d, "lprism")
+    corner_rows = agg.corners(t, v).drop("part_id")
+    s = solids.surface_samples(v, t, 3000).select("mesh_id", "triangle_id", *vec().columns("p"))
+    off = F.abs(g.face_normal(A, B, C).dot(vec("p").minus(A)))
+    each = s.join(corner_rows, ["mesh_id", "triangle_id"]).select("mesh_id", "triangle_id", off.alias("off"), g.triangle_area(A, B, C).alias("area"))
+    each = each.groupBy("mesh_id", "triangle_id").agg(F.count("*").alias("n"), F.max("off").alias("off"), F.first("area").alias("area"))
+    whole = Window.partitionBy("mesh_id")
+    each = each.withColumn("share", F.col("n") / F.sum("n").over(whole) - F.col("area") / F.sum("area").over(whole))
+    found = each.groupBy("mesh_id").agg(F.count("*").alias("n_triangles"), F.sum("n").alias("n"), F.sum("area").alias("area"), r6(F.max("off")).alias("off"), F.max(F.abs("share")).alias("share"))
+    return found.select("mesh_id", "n_triangles", (F.col("n") >= F.greatest(F.lit(1000), F.floor(F.col("area") * 3000) - 1)).alias("enough"), "off", (F.col("share") < 0.08).alias("fair"))
 
 
 def _vertex_samples(spark: SparkSession, d: str, kind: str) -> DataFrame:
@@ -683,9 +745,11 @@ def h4(spark, d):
     return _rounded(rel.hausdorff(one, _corners(spark, d, "lprism").drop("part_id"), two, _corners(spark, d, "box").drop("part_id")))
 
 
-@query("h5_hull_gap")
+@query("h5_hull_gap", f"WITH {_SIZES} SELECT mesh_id, CAST(0 AS INT) AS part_id, {o.r6(_GAP)} AS exact, true AS near FROM sizes")
 def h5(spark, d):
-    return solids.hull_gap(*_normed(spark, d, "lprism"), 3000, seed=1).select("mesh_id", "part_id", "hausdorff")
+    """The sampled distance of a mesh from its hull: near to what it is exactly."""
+    gaps = solids.hull_gap(*_normed(spark, d, "lprism"), 3000, seed=1).join(_sizes(spark, d), "mesh_id")
+    return gaps.select("mesh_id", "part_id", r6(F.col("gap")).alias("exact"), (F.abs(F.col("hausdorff") - F.col("gap")) < 0.05).alias("near"))
 
 
 # --- lattices ----------------------------------------------------------------
@@ -739,9 +803,16 @@ def i5(spark, d):
     return rows.select("mesh_id", "x", "y", "z", r6(F.col("phi")).alias("phi"))
 
 
-@query("i6_level_set")
+#: Lattice points, at 30 units, within 0.55 of a normalised L-prism: the distance to the nearer of two boxes that make it up.
+_INSIDE_30 = f"""WITH {_SIZES}, ends AS (SELECT mesh_id, {', '.join(f'-30 * {e} / half AS o{a}, 30 * {e} / half AS e{a}' for a, e in (('x', 'sx'), ('y', 'sy'), ('z', 'sz / 2')))} FROM sizes),
+points AS (SELECT ends.*, CAST(x.k AS DOUBLE) AS lx, CAST(y.k AS DOUBLE) AS ly, CAST(z.k AS DOUBLE) AS lz FROM ends
+  JOIN range(-32, 33) AS x(k) ON x.k BETWEEN ox - 1 AND ex + 1 JOIN range(-32, 33) AS y(k) ON y.k BETWEEN oy - 1 AND ey + 1 JOIN range(-32, 33) AS z(k) ON z.k BETWEEN oz - 1 AND ez + 1)
+SELECT mesh_id, count(*) AS n_inside FROM points WHERE least({', '.join('sqrt(' + ' + '.join(f'power(greatest(o{a} - l{a}, 0.0, l{a} - {hi}), 2)' for a, hi in zip('xyz', his, strict=True)) + ')' for his in (('ex', '0.0', 'ez'), ('0.0', 'ey', 'ez')))}) < 0.55 GROUP BY mesh_id"""
+
+
+@query("i6_level_set", _INSIDE_30)
 def i6(spark, d):
-    return solids.level_set(*_normed(spark, d, "lprism"), 30.0, 0.55 / 30)
+    return solids.level_set(*_normed(spark, d, "lprism"), 30.0, 0.55 / 30).select("mesh_id", "n_inside")
 
 
 @query("i10_split_quads", "SELECT CAST(o_orderkey AS BIGINT) AS mesh_id, CAST(h AS BIGINT) AS triangle_id, CAST(0 AS INT) AS v0, CAST(3 - h AS INT) + CASE WHEN h = 0 THEN -1 ELSE 1 END AS v1, CAST(1 + h AS INT) AS v2 FROM orders, range(2) AS r(h)")
@@ -750,11 +821,16 @@ def i10(spark, d):
     return rel.split_quads(quads)
 
 
-@query("i11_remesh")
+@query("i11_remesh", "SELECT p_partkey AS mesh_id, true AS even, true AS between FROM part")
 def i11(spark, d):
-    parts = solids.remesh(*_normed(spark, d, "lprism"))
+    """A surface 0.55 lattice units around a mesh: its volume lies between those of the mesh and of its surroundings."""
+    v, t = _normed(spark, d, "lprism")
+    parts = solids.remesh(v, t)
     found = agg.measures(agg.corners(solids.part_triangles(parts), solids.part_vertices(parts)), MESH)
-    return _rounded(found)
+    own = agg.measures(agg.corners(t, v), MESH).select("mesh_id", F.col("volume").alias("v"), F.col("area").alias("a"))
+    rows = found.join(own, "mesh_id")
+    between = (F.col("volume") > F.col("v")) & (F.col("volume") < F.col("v") + F.col("a") * (1.0 / 30) + 0.02)
+    return rows.select("mesh_id", (F.col("n_triangles") % 2 == 0).alias("even"), between.alias("between"))
 
 
 # --- merging, decomposition ----------------------------------------------------
@@ -776,24 +852,33 @@ def _whole(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return fx.vertices(spark, d, "beam"), fx.triangles(spark, d, "beam")
 
 
-def _summary(parts: DataFrame) -> DataFrame:
+def _summary(spark: SparkSession, d: str, parts: DataFrame) -> DataFrame:
+    """By mesh: its parts, whether the concavity is below the threshold, and whether the parts' volume is that of the mesh, remeshed, or a little more."""
     found = agg.measures(agg.corners(solids.part_triangles(parts), solids.part_vertices(parts)))
-    return _rounded(parts.join(found, PART).select("mesh_id", "part_id", "n_parts", "concavity", "volume"))
+    found = found.groupBy("mesh_id").agg(F.sum("volume").alias("volume"), F.count("*").alias("n_parts"))
+    own = agg.measures(_corners(spark, d, "beam"), MESH).select("mesh_id", F.col("volume").alias("v"), F.col("area").alias("a"), F.col("n_triangles").alias("n"))
+    size = agg.bounding_box(fx.vertices(spark, d, "beam"), MESH).select("mesh_id", (F.greatest(*[F.col(f"max_{x}") - F.col(f"min_{x}") for x in "xyz"]) / 2).alias("half"))
+    rows = found.join(own, "mesh_id").join(size, "mesh_id").join(parts.groupBy("mesh_id").agg(F.max("concavity").alias("concavity")), "mesh_id")
+    fits = (F.col("volume") > F.col("v")) & (F.col("volume") < F.col("v") + F.col("a") * F.col("half") / 20)
+    return rows.select("mesh_id", "n_parts", (F.col("concavity") < 0.04).alias("convex"), fits.alias("fits"))
+
+
+_BEAMS = "SELECT s_suppkey AS mesh_id, CAST(2 AS BIGINT) AS n_parts, true AS convex, true AS fits FROM supplier"
 
 
-@query("k1_split_budget")
+@query("k1_split_budget", _BEAMS)
 def k1(spark, d):
-    return _summary(solids.decompose(*_whole(spark, d), 0.04, 3))
+    return _summary(spark, d, solids.decompose(*_whole(spark, d), 0.04, 3))
 
 
-@query("k4_adjacent_merge")
+@query("k4_adjacent_merge", _BEAMS)
 def k4(spark, d):
-    return _summary(solids.decompose(*_whole(spark, d), 0.04, 2, Config(part_limit_policy="adjacent_merge", score_mode="edge")))
+    return _summary(spark, d, solids.decompose(*_whole(spark, d), 0.04, 2, Config(part_limit_policy="adjacent_merge", score_mode="edge")))
 
 
-@query("k7_whole_parts")
+@query("k7_whole_parts", _BEAMS)
 def k7(spark, d):
-    return _summary(solids.decompose(*_whole(spark, d), 0.04, 2, Config(return_parts=True, use_merging=True)))
+    return _summary(spark, d, solids.decompose(*_whole(spark, d), 0.04, 2, Config(return_parts=True, use_merging=True)))
 
 
 # --- reports -------------------------------------------------------------------
@@ -967,12 +1052,12 @@ def i8(spark, d):
     return _rounded(lattice.renormalized(_cells(spark, d).withColumnRenamed("value", "phi"), 0.5, 1.5, 1.5))
 
 
-@query("i9_closed_surface")
+@query("i9_closed_surface", "SELECT p_partkey AS mesh_id, CAST(0 AS BIGINT) AS n_open, true AS enough FROM part")
 def i9(spark, d):
     """Sides of remeshed surfaces, by how many triangles share them: closed ones have no side with an odd number."""
     parts = solids.remesh(*_normed(spark, d, "lprism"))
     sides = rel.half_edges(solids.part_triangles(parts)).groupBy("mesh_id", *rel.undirected("u", "v")).agg(F.count("*").alias("n"))
-    return sides.groupBy("mesh_id").agg(F.count("*").alias("n_sides"), F.count_if(F.col("n") % 2 == 1).alias("n_open"))
+    return sides.groupBy("mesh_id").agg(F.count_if(F.col("n") % 2 == 1).alias("n_open"), (F.count("*") > 300).alias("enough"))
 
 
 # --- further steps of clipping, distances and splitting -------------------------

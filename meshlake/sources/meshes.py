@@ -25,11 +25,25 @@ def triplets(values, dtype) -> np.ndarray:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path below ``spark.checkpoint.dir``, the folder that driver and executors share; a temporary one only if that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='meshlake-')}"
+    """A new path below ``spark.checkpoint.dir``, the folder that driver and executors share.
+
+    Only where they are one process may that be unset, as in tests: then it is a temporary folder.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='meshlake-')}"
     return f"{base.rstrip('/')}/meshlake/{uuid.uuid4().hex}"
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back: its lineage ends there."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def from_arrays(spark: SparkSession, meshes: Iterable[tuple]) -> tuple[DataFrame, DataFrame]:
     """Vertex and triangle tables of (points, faces) pairs, numbered from 0. For what already is in the driver's memory."""
     v, t = [], []
