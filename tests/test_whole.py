@@ -14,7 +14,7 @@ DATA = "/root/testdata/sf0.001"
 
 
 @pytest.mark.parametrize("name", ["k1_split_budget", "k4_adjacent_merge", "k7_whole_parts"])
-def test_every_part_is_decomposed_at_default_settings(spark, monkeypatch, name):
+def test_every_supplier_is_decomposed_at_default_settings(spark, monkeypatch, name):
     seen = {}
 
     def decompose(vertices, triangles, concavity, num_parts, config=None, seed=0):
@@ -23,9 +23,9 @@ def test_every_part_is_decomposed_at_default_settings(spark, monkeypatch, name):
 
     monkeypatch.setattr(solids, "decompose", decompose)
     QUERIES[name](spark, DATA)
-    parts = {r[0] for r in spark.read.parquet(f"{DATA}/part.parquet").select("p_partkey").collect()}
+    keys = {r[0] for r in spark.read.parquet(f"{DATA}/supplier.parquet").select("s_suppkey").collect()}
     for table in ("v", "t"):
-        assert {r[0] for r in seen[table].select("mesh_id").distinct().collect()} == parts
+        assert {r[0] for r in seen[table].select("mesh_id").distinct().collect()} == keys
     own = ("scale", "retry_scale", "retry_points", "cage_scale", "max_planes", "selection_samples", "final_samples")
     assert all(getattr(seen["config"], n) == getattr(Config(), n) for n in own)
 
