@@ -473,8 +473,10 @@ def voxelize(corner_rows: DataFrame, scale: float, keys: list[str] = MESH) -> Da
     cells = cells.select(*keys, "triangle_id", *[F.col(f"n{a}").alias(a) for a in "xyz"])
     # Triangles are a small part of what their cells are: each task holds its own, and cells stream past unsorted.
     found = cells.join(rows.select(*keys, "triangle_id", *corner).hint("shuffle_hash"), [*keys, "triangle_id"])
-    # Distance, in billionths, and triangle in one number (a distance is below 16): its least is a plain hash aggregate.
+    # Distance, in billionths, and triangle in one number: its least is a plain hash aggregate. What doesn't fit is an error.
+    fits = (F.col("d2") < 16) & (F.col("triangle_id") < 1 << 29)
     both = F.shiftleft(F.round(F.col("d2") * 1e9).cast("bigint"), 29).bitwiseOR(F.col("triangle_id").cast("bigint"))
+    both = F.when(fits, both).otherwise(F.raise_error(F.lit("a triangle id of 2^29 or more, or a distance above 4, in a voxelisation")).cast("bigint"))
     best = with_d2(found).groupBy(*keys, "x", "y", "z").agg(F.min(both).alias("best"))
     d2, triangle = F.shiftright("best", 29) / 1e9, F.col("best").bitwiseAND(F.lit((1 << 29) - 1))
     return best.select(*keys, "x", "y", "z", d2.alias("d2"), triangle.cast("int").alias("triangle_id"))
@@ -508,12 +510,39 @@ def merge_costs(hull_volumes: DataFrame, combined: DataFrame, keys: list[str] =
 # --- reports and sampling of rows ----------------------------------------------
 
 
+def with_rank(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Adds ``rank`` (long, from 1) by ``order`` over all rows, and ``total``: dealt by range, ranked in each partition, shifted by the counts of those before.
+
+    ``order`` should tell rows apart; of equal ones the order is arbitrary, but fixed: they are written down first.
+    """
+    dealt_rows = settled(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    counts = dealt_rows.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each partition
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("total"))
+    at = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return dealt_rows.join(F.broadcast(shifts), "_part").withColumn("rank", at + F.col("_before")).drop("_part", "_before")
+
+
+def quantiles(rows: DataFrame, column: str, at: list[float]) -> DataFrame:
+    """``at, value``: exact quantiles with linear interpolation; only the rows next to each quantile are looked at after ranking."""
+    ranked = with_rank(rows.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("value")), ["value"])
+    wanted = F.array(*[F.lit(float(p)) for p in at])
+    place = (F.col("total") - 1) * F.col("at")
+    near = ranked.withColumn("at", F.explode(wanted)).withColumn("off", F.col("rank") - 1 - place).where("off > -1 AND off < 1")
+    return near.groupBy("at").agg(F.sum(F.col("value") * (1 - F.abs("off"))).alias("value"))
+
+
 def choose_rows(rows: DataFrame, strata: int, total: int, order: list[str], pick: Column) -> DataFrame:
     """A stratified choice: rows in near-equal bins by ``order``; each bin gives its share of ``total`` (the first ones one more), by ``pick``."""
-    binned = rows.withColumn("stratum", F.ntile(strata).over(Window.orderBy(*order)))
-    at = F.row_number().over(Window.partitionBy("stratum").orderBy(pick, *order))
+    ranked = with_rank(rows, order)
+    small, longer, at = F.floor(F.col("total") / strata), F.col("total") % strata, F.col("rank") - 1
+    inside = longer * (small + 1)  # rows in the bins that have one more
+    stratum = F.when(at < inside, F.floor(at / (small + 1))).otherwise(longer + F.floor((at - inside) / F.greatest(small, F.lit(1)))) + 1
+    binned = ranked.withColumn("stratum", stratum.cast("int")).drop("rank", "total")
+    nth = F.row_number().over(Window.partitionBy("stratum").orderBy(pick, *order))
     quota = F.lit(total // strata) + F.when(F.col("stratum") <= total % strata, 1).otherwise(0)
-    return binned.withColumn("at", at).where(F.col("at") <= quota).drop("at")
+    # The first test bounds what is sorted of each bin; the second is each bin's own.
+    return binned.withColumn("at", nth).where(F.col("at") <= total // strata + 1).where(F.col("at") <= quota).drop("at")
 
 
 def work_buckets(sizes: DataFrame, size: str = "size") -> DataFrame:
@@ -522,19 +551,29 @@ def work_buckets(sizes: DataFrame, size: str = "size") -> DataFrame:
 
 
 def smooth_variant(vertices: DataFrame, normals: DataFrame, variants: int, amplitude: float = 0.02, seed: int = 42) -> DataFrame:
-    """``mesh_id, variant, vertex_id, x, y, z``: each mesh ``variants`` times, moved along its normals by five sine waves and scaled a little by axis.
+    """``mesh_id, variant, vertex_id, x, y, z``: each mesh ``variants`` times, scaled by axis and moved along its normals by a weighted sum of five sine waves.
 
-    Phases and factors are hashes of (seed, variant), so a run again gives the same meshes.
+    Waves have random directions, frequencies of 7 to 16 to the diagonal of the mesh's box, random phases, and normal weights whose
+    absolute values sum to 1; factors lie within twice the amplitude of 1. All come from hashes of (seed, mesh, variant), so a
+    run again gives the same meshes.
     """
 
-    def unit(*salt: Column | int) -> Column:
-        return F.pmod(F.xxhash64(F.lit(seed), "variant", *[s if isinstance(s, Column) else F.lit(s) for s in salt]), F.lit(1 << 30)) / float(1 << 30)
-
-    box = vertices.groupBy("mesh_id").agg(*[(F.max(a) - F.min(a)).alias(f"d{a}") for a in "xyz"])
-    rows = vertices.join(normals, ["mesh_id", "vertex_id"]).join(box, "mesh_id")
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(variants - 1))).alias("variant"))
-    size = vec("d").length()
-    wave = sum((F.sin(6.283185307179586 * (F.try_divide(vec().dot(Vec(unit(k, 1), unit(k, 2), unit(k, 3))), size) * (k + 1) + unit(k, 4))) for k in range(5)), F.lit(0.0))
-    moved = vec().plus(vec("n").times(wave * size * amplitude / 5))
-    factor = [1 + (unit(9, k) - 0.5) * amplitude for k in range(3)]
-    return rows.select("mesh_id", "variant", "vertex_id", *[(c * f).alias(a) for c, f, a in zip(moved, factor, "xyz", strict=True)])
+    def uniform(*salt: int) -> Column:
+        return (F.pmod(F.xxhash64(F.lit(seed), "mesh_id", "variant", *map(F.lit, salt)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+
+    def normal(*salt: int) -> Column:
+        return F.sqrt(-2 * F.log(uniform(*salt, 0))) * F.cos(6.283185307179586 * uniform(*salt, 1))
+
+    box = vertices.groupBy("mesh_id").agg(*[(F.max(a) - F.min(a)).alias(f"d{a}") for a in "xyz"], *[((F.max(a) + F.min(a)) / 2).alias(f"m{a}") for a in "xyz"])
+    copies = box.select("*", F.explode(F.sequence(F.lit(0), F.lit(variants - 1))).alias("variant")).withColumn("size", vec("d").length())
+    # Drawn once for each copy of a mesh, not for each of its points.
+    for k in range(5):
+        copies = copies.withColumns({f"r{a}": normal(k, n) for n, a in enumerate("xyz")}).withColumns({f"w{k}{a}": c for a, c in zip("xyz", vec("r").unit(), strict=True)})
+        copies = copies.withColumns({f"f{k}": 7 + 9 * uniform(k, 3), f"p{k}": 6.283185307179586 * uniform(k, 4), f"v{k}": normal(k, 5)})
+    total = sum((F.abs(f"v{k}") for k in range(1, 5)), F.abs("v0"))
+    copies = copies.withColumns({"all": total, **{f"s{a}": 1 + (uniform(9, n) - 0.5) * 4 * amplitude for n, a in enumerate("xyz")}}).drop("rx", "ry", "rz")
+    rows = vertices.join(normals, ["mesh_id", "vertex_id"]).join(copies, "mesh_id")
+    off = vec().minus(vec("m"))
+    wave = sum((F.sin(F.try_divide(off.dot(vec(f"w{k}")), F.col("size")) * F.col(f"f{k}") + F.col(f"p{k}")) * F.col(f"v{k}") for k in range(5)), F.lit(0.0)) / F.col("all")
+    moved = vec("m").plus(Vec(*[c * F.col(f"s{a}") for c, a in zip(off, "xyz", strict=True)])).plus(vec("n").times(wave * F.col("size") * amplitude))
+    return rows.select("mesh_id", "variant", "vertex_id", *[c.alias(a) for c, a in zip(moved, "xyz", strict=True)])

@@ -918,19 +918,22 @@ def l2b(spark, d):
 @query("l3_quantiles", "SELECT " + ", ".join(f"{o.r6(f'quantile_cont(l_extendedprice, {q})')} AS q{int(100 * q)}" for q in (0, 0.25, 0.5, 0.75, 1)) + " FROM lineitem")
 def l3(spark, d):
     items = spark.read.parquet(f"{d}/lineitem.parquet")
-    return items.agg(*[r6(F.percentile("l_extendedprice", q)).alias(f"q{int(100 * q)}") for q in (0.0, 0.25, 0.5, 0.75, 1.0)])
+    found = rel.quantiles(items, "l_extendedprice", [0.0, 0.25, 0.5, 0.75, 1.0])
+    return found.agg(*[r6(F.max(F.when(F.col("at") == q, F.col("value")))).alias(f"q{int(100 * q)}") for q in (0.0, 0.25, 0.5, 0.75, 1.0)])
 
 
-@query("l4_smooth_variants")
+@query("l4_smooth_variants", "SELECT p_partkey AS mesh_id, CAST(k AS INT) AS variant, true AS moved, true AS bounded, true AS own FROM part, range(2) AS r(k)")
 def l4(spark, d):
-    v, t = _normed(spark, d, "lprism")
-    n = fx.vertices(spark, d, "lprism").join(agg.bounding_box(v, MESH), "mesh_id")
-    length = g.Vec(*[F.col(a) for a in "xyz"])
-    normals = n.select("mesh_id", "vertex_id", *length.unit().columns("n"))
-    moved = rel.smooth_variant(v, normals, 2)
-    off = vec().minus(Vec(F.col("ox"), F.col("oy"), F.col("oz")))
-    back = moved.join(v.select("mesh_id", "vertex_id", *vec().columns("o")), ["mesh_id", "vertex_id"])
-    return _rounded(back.groupBy("mesh_id", "variant").agg(F.sqrt(F.avg(off.dot(off))).alias("rms"), F.max(off.length()).alias("largest")))
+    """Variants of each mesh: moved, but no farther than amplitude and scaling allow, and each another one."""
+    v, _ = _normed(spark, d, "lprism")
+    normals = fx.vertices(spark, d, "lprism").select("mesh_id", "vertex_id", *vec().unit().columns("n"))
+    made = rel.smooth_variant(v, normals, 2)
+    off = vec().minus(vec("o"))
+    rows = made.join(v.select("mesh_id", "vertex_id", *vec().columns("o")), ["mesh_id", "vertex_id"])
+    found = rows.groupBy("mesh_id", "variant").agg(F.sqrt(F.avg(off.dot(off))).alias("rms"), F.max(off.length()).alias("largest"), F.max(vec("o").length()).alias("size"))
+    bounded = F.col("largest") <= 2 * F.col("size") * 0.02 + 2 * F.col("size") * 0.02 + 1e-9
+    other = F.col("rms") != F.coalesce(F.lag("rms").over(Window.partitionBy("mesh_id").orderBy("variant")), F.lit(-1.0))
+    return found.select("mesh_id", "variant", (F.col("rms") > 1e-5).alias("moved"), bounded.alias("bounded"), other.alias("own"))
 
 
 @query("l5_replicate", _mesh("lprism", "SELECT t.mesh_id, CAST(k AS INT) AS copy, triangle_id FROM triangles t, range(3) AS r(k)"))
@@ -1052,6 +1055,23 @@ def i8(spark, d):
     return _rounded(lattice.renormalized(_cells(spark, d).withColumnRenamed("value", "phi"), 0.5, 1.5, 1.5))
 
 
+@query("i7_expanded", "SELECT p_partkey AS mesh_id, true AS grown, true AS within, true AS sound FROM part")
+def i7(spark, d):
+    """Bands grown from the voxels of each mesh to 3.5 units: no value is above that or below the true distance."""
+    v, t = _normed(spark, d, "lprism")
+    scaled = v.select(*PART, "vertex_id", *[(F.col(a) * 2.0).alias(a) for a in "xyz"])
+    corner_rows = agg.corners(t, scaled).drop("part_id")
+    band = _vox(spark, d).select("mesh_id", "x", "y", "z", F.sqrt(F.abs("d2")).alias("phi"), "triangle_id")
+    found = lattice.expanded(band, corner_rows, 3.5, 3.5)
+    far = found.select("mesh_id", "x", "y", "z", "phi").join(corner_rows.withColumnRenamed("triangle_id", "other"), "mesh_id").withColumns({f"p{a}": F.col(a).cast("double") for a in "xyz"})
+    off = vec("p").minus(vec("q"))
+    exact = g.with_closest(far, "q").groupBy("mesh_id", "x", "y", "z", "phi").agg(F.min(off.length()).alias("exact"))
+    sums = exact.groupBy("mesh_id").agg(F.max("phi").alias("largest"), F.min(F.col("phi") - F.col("exact")).alias("least"), F.count("*").alias("n"))
+    n_before = band.groupBy("mesh_id").agg(F.count("*").alias("before"))
+    rows = sums.join(n_before, "mesh_id")
+    return rows.select("mesh_id", (F.col("n") > F.col("before")).alias("grown"), (F.col("largest") < 3.5).alias("within"), (F.col("least") > -1e-4).alias("sound"))
+
+
 @query("i9_closed_surface", "SELECT p_partkey AS mesh_id, CAST(0 AS BIGINT) AS n_open, true AS enough FROM part")
 def i9(spark, d):
     """Sides of remeshed surfaces, by how many triangles share them: closed ones have no side with an odd number."""

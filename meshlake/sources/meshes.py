@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import colorsys
 import io
+import json
+import struct
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -115,6 +118,48 @@ def write_obj(vertices: DataFrame, triangles: DataFrame, path: str) -> None:
     v.join(t, keys, "left").select(*keys, text.alias("value")).write.partitionBy(*keys).text(path)
 
 
+def glb(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> bytes:
+    """A binary glTF scene: a node ``part_NNN`` with a colour of its own for each (part id, points, faces).
+
+    Its last byte is padding, a zero that the format allows.
+    """
+    scene = {"asset": {"version": "2.0"}, "scene": 0, "scenes": [{"nodes": list(range(len(parts)))}], "nodes": [], "meshes": [], "materials": [], "accessors": [], "bufferViews": [], "buffers": []}
+    data = b""
+    for n, (part_id, points, faces) in enumerate(parts):
+        p, f = np.ascontiguousarray(points, dtype="<f4"), np.ascontiguousarray(faces, dtype="<u4")
+        for view, target in ((p, 34962), (f, 34963)):
+            scene["bufferViews"].append({"buffer": 0, "byteOffset": len(data), "byteLength": view.nbytes, "target": target})
+            data += view.tobytes()
+        scene["accessors"].append({"bufferView": 2 * n, "componentType": 5126, "count": len(p), "type": "VEC3", "min": p.min(axis=0).tolist(), "max": p.max(axis=0).tolist()})
+        scene["accessors"].append({"bufferView": 2 * n + 1, "componentType": 5125, "count": f.size, "type": "SCALAR"})
+        colour = [*colorsys.hsv_to_rgb(part_id * 0.618033988749895 % 1, 0.6, 0.9), 1.0]  # steps of the golden ratio: neighbours differ
+        scene["materials"].append({"pbrMetallicRoughness": {"baseColorFactor": colour, "metallicFactor": 0.0}, "doubleSided": True})
+        scene["meshes"].append({"primitives": [{"attributes": {"POSITION": 2 * n}, "indices": 2 * n + 1, "material": n}]})
+        scene["nodes"].append({"mesh": n, "name": f"part_{part_id:03d}"})
+    scene["buffers"].append({"byteLength": len(data) + 3})
+    head = json.dumps({k: v for k, v in scene.items() if v or k == "asset" or k == "scene"}, separators=(",", ":")).encode()
+    head += b" " * (-len(head) % 4)
+    body = data + bytes(4)
+    return struct.pack("<4sII", b"glTF", 2, 28 + len(head) + len(body)) + struct.pack("<I4s", len(head), b"JSON") + head + struct.pack("<I4s", len(body), b"BIN\0") + body
+
+
+def write_glb(parts: DataFrame, path: str) -> None:
+    """One binary glTF file for each mesh below ``path/mesh_id=...``, of the rows that a decomposition gives (``mesh_id, part_id, xyz, faces``).
+
+    Parts without triangles are left out. A mesh's parts meet in one row.
+    """
+    rows = parts.where("size(faces) > 0").groupBy("mesh_id").agg(F.array_sort(F.collect_list(F.struct("part_id", "xyz", "faces"))).alias("parts"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            files = [glb([(r["part_id"], np.reshape(r["xyz"], (-1, 3)), np.reshape(r["faces"], (-1, 3))) for r in own]) for own in batch["parts"]]
+            yield pd.DataFrame({"mesh_id": batch["mesh_id"], "content": [x[:-1] for x in files]})
+
+    # The text writer puts bytes as they are; the line end that it adds is the last byte.
+    made = rows.mapInPandas(run, "mesh_id bigint, content binary").select("mesh_id", F.col("content").cast("string").alias("value"))
+    made.write.partitionBy("mesh_id").option("lineSep", "\0").text(path)
+
+
 def read_npz(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """NumPy archives with ``vertices`` and ``facets``; the mesh id is the number in the file's name."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
