@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,10 +73,26 @@ def _drop_at_exit(spark: SparkSession) -> None:
         drop_tables(spark)
 
 
-def small_batches(spark: SparkSession, mb: int = 8) -> None:
+def small_batches(spark: SparkSession, mb: int = 2) -> None:
     """Bound what one Arrow batch holds, so that long texts don't add up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{mb}m")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over Arrow batches, after which the worker, which waits for its next task, gives freed memory back to the system."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
 
 
 def text_of(column: str = "text") -> Column:

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshlake.llm.common import small_batches
+from meshlake.llm.common import small_batches, tidy
 
 #: Vector dimensions, centroids per language, and the documents of the training sample; more only if there are more languages.
 DIMS, CENTROIDS, MAX_SAMPLE = 4096, 4, 4096
@@ -135,11 +135,11 @@ def fit(docs: DataFrame, seed: int = 7, max_sample: int = MAX_SAMPLE) -> Model:
 
     small_batches(docs.sparkSession)
     names = "lang string, order bigint, at binary, n binary"
-    sample = drawn.mapInArrow(run, names).collect()
+    sample = drawn.mapInArrow(tidy(run), names).collect()
     if len(found := {r["lang"] for r in sample}) < n_languages:  # none drawn, or none of those has a letter: look at all their rows
         known = docs.sparkSession.createDataFrame([(x,) for x in sorted(found)], "lang string")
         first = Window.partitionBy("lang").orderBy("order", "at", "n")
-        rest = rows.join(F.broadcast(known), "lang", "left_anti").mapInArrow(run, names)
+        rest = rows.join(F.broadcast(known), "lang", "left_anti").mapInArrow(tidy(run), names)
         sample += rest.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= each).drop("nth").collect()
     sample.sort(key=lambda r: (r["lang"], r["order"], bytes(r["at"]), bytes(r["n"])))
     chosen: dict[str, list] = {}
@@ -193,7 +193,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def keep_known(docs: DataFrame, model: Model) -> DataFrame:
@@ -210,4 +210,4 @@ def keep_known(docs: DataFrame, model: Model) -> DataFrame:
             _, _, rejected = shared.value.predict(batch.column(at).to_pylist())
             yield batch.filter(pa.array(~rejected))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meshlake.llm.common import cut, small_batches, text_of
+from meshlake.llm.common import cut, small_batches, text_of, tidy
 from meshlake.llm.components import connected_components
 
 #: XXH64's seed, words in a shingle, and the differing bits up to which documents are linked.
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED, carry: t
     small_batches(docs.sparkSession)
     kept = ["doc_id", *carry]
     rows = docs.select(text_of().alias("text"), *kept)
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[1:], T.StructField("fp", T.LongType())]))
+    return rows.mapInArrow(tidy(run), T.StructType([*rows.schema.fields[1:], T.StructField("fp", T.LongType())]))
 
 
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:

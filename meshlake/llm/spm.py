@@ -21,12 +21,12 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-from meshlake.llm.common import small_batches, text_of
+from meshlake.llm.common import small_batches, text_of, tidy
 
 MARK = "▁"
-_SEGMENT = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n+")
-#: Bounds on what a worker remembers: segments, pairs, and characters of a segment worth remembering.
-MAX_SEGMENTS, MAX_PAIRS, MAX_LENGTH = 300_000, 1_000_000, 64
+_SEGMENT = re.compile(r" +[^ \n]*|[^ \n]+|\n+")
+#: Bounds on what a worker remembers: segments of each of two generations, pairs, and characters of a segment worth remembering.
+MAX_SEGMENTS, MAX_PAIRS, MAX_LENGTH = 80_000, 250_000, 64
 
 
 def default_model() -> str:
@@ -85,16 +85,19 @@ def load_model(path: str) -> Vocabulary:
 
 
 class _Remembered(dict):
-    """Segment to packed ids; computes what is missing."""
+    """Segment to packed ids; computes what is missing. What a full generation held is looked up until the next is full."""
 
     def __init__(self, make):
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, segment: str) -> bytes:
-        if len(self) >= MAX_SEGMENTS:
-            self.clear()
-        out = self.make(segment)
+        out = self.older.get(segment)
+        if out is None:
+            out = self.make(segment.replace(" ", MARK))
         if len(segment) <= MAX_LENGTH:
+            if len(self) >= MAX_SEGMENTS:
+                self.older = dict(self)
+                self.clear()
             self[segment] = out
         return out
 
@@ -189,11 +192,11 @@ class Codec:
         return array("i", ids).tobytes()
 
     def encode(self, text: str) -> bytes:
-        """Ids as packed 32-bit integers, with the end id."""
+        """Ids as packed 32-bit integers, with the end id. A space mark in the text is a space."""
         end = array("i", [self.vocab.eos]).tobytes()
         if not text:
             return end
-        segments = _SEGMENT.findall(MARK + text.replace(" ", MARK))
+        segments = _SEGMENT.findall(" " + text.replace(MARK, " "))
         return b"".join(map(self.remembered.__getitem__, segments)) + end
 
     def decode(self, ids: list[int]) -> str:
@@ -275,4 +278,4 @@ def encode_decode(docs: DataFrame, model: str | None = None) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", text_of().alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, ids array<int>, decoded string")

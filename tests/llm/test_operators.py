@@ -116,6 +116,17 @@ def test_encoding_equals_the_library(codec, library, docs):
         same(codec, library, text)
 
 
+def test_encoding_with_full_generations(codec, library, docs, monkeypatch):
+    from meshlake.llm import spm
+
+    monkeypatch.setattr(spm, "MAX_SEGMENTS", 7)
+    monkeypatch.setattr(spm, "MAX_PAIRS", 5)
+    fresh = spm.Codec(codec.vocab)
+    for _, text in texts_of(docs)[:40]:
+        same(fresh, library, text)
+        assert len(fresh.remembered) <= 7 and len(fresh.remembered.older) <= 7 and len(fresh.pairs) <= 5
+
+
 def test_decoding_any_ids_equals_the_library(codec, library):
     rng = random.Random(3)
     for _ in range(1500):
