@@ -184,6 +184,49 @@ FROM firsts
 """
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshlake.llm.spelling import spelling_variants
+
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshlake.llm.forest import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshlake.llm.fim import fill_in_middle, restored
+
+    made = restored(fill_in_middle(_table(spark, sf_dir, "documents")))
+    sums = [F.sha2("output", 256).alias("output_sha256"), F.sha2("text", 256).alias("restored_sha256")]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *sums)
+
+
+OP13_SQL = r"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || doc_id) AS hex FROM documents),
+units AS (
+  SELECT *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS u,
+    list_transform([1, 9, 17, 25], lambda k: CAST('0x' || substr(hex, CAST(k AS INT), 8) AS BIGINT)) AS h
+  FROM texts
+), places AS (
+  SELECT *, len(u) AS n, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b FROM units
+), pieces AS (
+  SELECT doc_id, text, CAST(n AS BIGINT) AS n, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:n], '') AS suffix,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM places
+)
+SELECT doc_id, n, form,
+  CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM pieces
+"""
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_sentencepiece": op2_sentencepiece,
@@ -195,5 +238,8 @@ QUERIES = {
     "op8_nearest": op8_nearest,
     "op9_warc": op9_warc,
     "op10_language_id": op10_language_id,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_minhash": op12_minhash,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
-ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op9_warc": OP9_SQL}
+ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op9_warc": OP9_SQL, "op13_fill_in_middle": OP13_SQL}
