@@ -14,6 +14,7 @@ adds nothing, so candidates are confirmed in rounds, those that join two compone
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,8 +31,8 @@ MINIMA, TREES, DEPTH, REST = 128, 16, 5, 15
 NEIGHBOURS, CROWD, STEP = 16, 1 << 15, 3
 #: A candidate is dropped if its estimated similarity is lower than asked for by this much, 4 deviations of the estimate.
 MARGIN = 0.15
-#: Bytes of text that are split into words at a time, and words whose hashes a worker remembers.
-_PIECE, _REMEMBERED = 1 << 22, 1 << 18
+#: Bytes of text that are split into words at a time.
+_PIECE = 1 << 22
 SIGNS = ["s0", "s1", "s2", "s3"]
 _SKETCH = T.StructType(
     [T.StructField(c, T.LongType()) for c in ("n", "hi", "lo")]
@@ -40,45 +41,40 @@ _SKETCH = T.StructType(
 )
 
 
-class _WordHashes(dict):
-    """XXH64 of words, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
+@lru_cache
+def _odd(words: int):
+    import numpy as np
 
-        if len(self) >= _REMEMBERED:
-            self.clear()
-        h = self[word] = xxh64_intdigest(word)
-        return h
+    return np.random.default_rng(words).integers(1 << 62, 1 << 63, size=words + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingle_hashes(text: str, words: int, known: _WordHashes):
+def shingle_hashes(text: str, words: int):
     """Sorted distinct 64-bit hashes of a text's shingles: of all its words if it has fewer than ``words``, none if it has none.
 
     Two shingles of different words share a hash by chance only, about 1 in 10**19.
     """
     import numpy as np
+    from xxhash import xxh64_digest
 
     raw, parts, at = text.encode("utf-8", "surrogatepass").lower(), [], 0
     while at < len(raw):
         end = at + _PIECE
         while end < len(raw) and raw[end] not in b" \t\n\r\x0b\x0c":
             end += 1
-        own = raw[at:end].split()
-        parts.append(np.fromiter(map(known.__getitem__, own), np.uint64, len(own)))
+        parts.append(np.frombuffer(b"".join(map(xxh64_digest, raw[at:end].split())), dtype=np.uint64))
         at = end
-    h = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    h = parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, np.uint64), *parts])
     if not len(h):
         return h
-    width = min(words, len(h))
-    odd = np.random.default_rng(words).integers(1 << 62, 1 << 63, size=words + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    width, odd = min(words, len(h)), _odd(words)
     s = np.full(len(h) - width + 1, width, dtype=np.uint64) * odd[words]
     for k in range(width):
         s += h[k : len(h) - width + 1 + k] * odd[k]
     s ^= s >> np.uint64(32)
     s *= np.uint64(0x9E3779B97F4A7C15)
     s ^= s >> np.uint64(29)
-    return np.unique(s)
+    s.sort()
+    return s[np.concatenate([[True], s[1:] != s[:-1]])]
 
 
 class Signer:
@@ -142,10 +138,10 @@ def sketches(docs: DataFrame, words: int = WORDS, carry: tuple[str, ...] = ()) -
     rows = docs.select(text_of().alias("text"), *kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer, known = Signer(), _WordHashes()
+        signer = Signer()
         types = [pa.int64()] * 3 + [pa.list_(pa.int64()), pa.list_(pa.binary())] + [pa.int64()] * 4
         for batch in batches:
-            made = [signer.sketch(shingle_hashes(t, words, known)) for t in batch.column(0).to_pylist()]
+            made = [signer.sketch(shingle_hashes(t, words)) for t in batch.column(0).to_pylist()]
             arrays = [pa.array([m[k] for m in made], t) for k, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *arrays], names=[*kept, "n", "hi", "lo", "regions", "rests", *SIGNS])
 
@@ -161,9 +157,8 @@ def full_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
         import numpy as np
         from xxhash import xxh3_128_digest
 
-        known = _WordHashes()
         for batch in batches:
-            own = [shingle_hashes(t, words, known) for t in batch.column(0).to_pylist()]
+            own = [shingle_hashes(t, words) for t in batch.column(0).to_pylist()]
             name = np.frombuffer(b"".join(xxh3_128_digest(x.tobytes()) for x in own), dtype=np.int64)
             items = pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(name[::2]), pa.array(name[1::2]), items], names=["hi", "lo", "items"])

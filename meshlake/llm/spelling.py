@@ -3,8 +3,9 @@
 Words within one edit are found by a rare-first prefix filter. One edit destroys at most two bigrams of a
 word. Order the bigrams of every word by how rare they are among all words, then by place: of the first three at
 least one survives the edit, and the first survivor is the same in both words, as the order of survivors
-is. So each word is listed under its three rarest bigrams only, with their places; two words
-within one edit meet under one of them, at the same place, or one further on in the longer word.
+is. So each word is listed under its three rarest bigrams only; two words within one edit meet under one of
+them. Its place is limited by the length of what is before it, if the edit is behind, or of what is behind
+it, if the edit is before; and what is on that side is equal.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 
 from meshlake.llm.common import cut, small_batches, text_of, tidy
 
-RUN = r"[A-Za-zÀ-ÿ]+"
+#: What runs are made of, when A-Z are in lower case.
+LETTERS = "[a-zÀ-ÿ]"
 #: A run loses a character if this divides its hash; words have so many code points and occurrences at least.
 DIVISOR, LEAST_CHARS, LEAST_COUNT = 31, 7, 2
 #: A form is so many times as frequent as the word.
@@ -49,7 +51,7 @@ def word_counts(docs: DataFrame, least_chars: int = LEAST_CHARS, least_count: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
 
-        runs, held = re.compile(RUN), Counter()
+        runs, held = re.compile(f"{LETTERS}{{{least_chars},}}"), Counter()  # shorter runs can't become words
 
         def taken() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
@@ -60,7 +62,7 @@ def word_counts(docs: DataFrame, least_chars: int = LEAST_CHARS, least_count: in
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 lowered = text.encode().lower().decode()  # of bytes, only A-Z
                 for word, n in Counter(map(re.Match.group, runs.finditer(lowered))).items():
-                    word = altered(doc_id, word, divisor) if len(word) >= least_chars else ""
+                    word = altered(doc_id, word, divisor)
                     if len(word) >= least_chars:
                         held[word] += n
                 if len(held) > MAX_HELD:
@@ -83,13 +85,22 @@ def near_words(words: DataFrame) -> DataFrame:
     grams = grams.select("word", "g.gram", "g.place")
     often = grams.groupBy("gram").agg(F.count("*").alias("often"))
     listed = grams.join(often, "gram").groupBy("word").agg(F.array_sort(F.collect_list(F.struct("often", "gram", "place"))).alias("order"))
-    listed = listed.select("word", F.char_length("word").alias("chars"), F.inline(F.slice("order", 1, PREFIX))).drop("often")
-    listed = cut(listed, "prefixes")
+    # The third matters only if one edit can destroy the two before it, and bigrams destroyed together are neighbours.
+    order, two = F.col("order"), F.slice("order", 1, PREFIX - 1)
+    side_by_side = F.abs(order[0]["place"] - order[1]["place"]) == 1
+    listed = listed.select("word", F.inline(F.when(side_by_side, F.slice("order", 1, PREFIX)).otherwise(two)))
+    # The edit is before the shared bigram or behind it: what is on the other side is equal in both words.
+    before = F.substring("word", F.lit(1), F.col("place") - 1)
+    behind = F.substring("word", F.col("place") + 2, F.char_length("word"))
+    sides = F.array(F.struct(F.lit("before").alias("side"), before.alias("equal")), F.struct(F.lit("behind").alias("side"), behind.alias("equal")))
+    bits = F.transform(F.split("word", ""), lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c) % 64))
+    letters = F.aggregate(bits, F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y))
+    listed = cut(listed.select("word", F.char_length("word").alias("chars"), letters.alias("letters"), "gram", F.inline(sides)), "prefixes")
     # The shorter word, or the smaller of two of one length, looks for the other.
-    chars, place = F.col("chars"), F.col("place")
-    wanted = F.array(*[F.struct(c.alias("chars"), p.alias("place")) for c, p in ((chars, place), (chars + 1, place), (chars + 1, place + 1))])
-    looking = listed.select(F.col("word").alias("a"), chars.alias("own"), "gram", F.inline(wanted))
-    met = looking.join(listed.withColumnRenamed("word", "b"), ["gram", "chars", "place"]).where("own < chars OR a < b")
+    looking = listed.select(F.col("word").alias("a"), F.col("letters").alias("own"), "gram", "side", "equal", "chars", F.explode(F.array(F.lit(0), F.lit(1))).alias("more"))
+    looking = looking.withColumn("chars", F.col("chars") + F.col("more"))
+    met = looking.join(listed.withColumnRenamed("word", "b"), ["gram", "side", "equal", "chars"]).where("more = 1 OR a < b")
+    met = met.where(F.bit_count(F.col("own").bitwiseXOR(F.col("letters"))) <= 2)  # one edit changes two letters at most
     pairs = met.where(F.levenshtein("a", "b", 1) == 1).select("a", "b").distinct()
     both = F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
     return pairs.select(F.inline(both))
