@@ -55,7 +55,7 @@ hpnd | specific+written+prior+permission | not be used in advertising or publici
 bsd | source+binary+forms | redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
 bsd | redistributions+source+code | redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
 bsd | redistributions+binary | redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution
-bsd-3 | endorse+promote | neither the name of .{1,80}? nor the names of (?:its|their|other) contributors may be used to endorse or promote products derived from this software without specific prior written permission
+bsd-3 | endorse+promote | neither the name of [^\x01-\x03]{1,80}? nor the names of (?:its|their|other) contributors may be used to endorse or promote products derived from this software without specific prior written permission
 bsd-3 | endorse+promote | the name of the author may not be used to endorse or promote products derived from this software without specific prior written permission
 bsd-4 | advertising+materials | all advertising materials mentioning features or use of this software must display the following acknowledge?ment
 bsd-4 | product+includes+software | this product includes software developed by
@@ -385,7 +385,7 @@ dsl | design+science | design science licen[cs]e
 opl | open+publication | open publication licen[cs]e(?: v)?(?: 1 0)?
 oca | open+content | open content licen[cs]e
 gutenberg | project+gutenberg | project gutenberg(?: tm)? licen[cs]e
-gutenberg | project+gutenberg | this e ?book is for the use of anyone anywhere (?:in the united states and most other parts of the world )?at no cost and with almost no restrictions whatsoever .{0,120}? project gutenberg
+gutenberg | project+gutenberg | this e ?book is for the use of anyone anywhere (?:in the united states and most other parts of the world )?at no cost and with almost no restrictions whatsoever [^\x01-\x03]{0,120}? project gutenberg
 bsd-2 | bsd+clause | bsd 2 clause(?: simplified| freebsd)?(?: licen[cs]e)?
 bsd-3 | bsd+clause | bsd 3 clause(?: new or revised| new| revised)?(?: licen[cs]e)?
 bsd-4 | bsd+clause | bsd 4 clause(?: original)?(?: licen[cs]e)?
@@ -414,7 +414,7 @@ apache-2.0 | apache | apache 2 0
 apache | apache | apache (?:software )?licen[cs]e
 cc0 | cc0 | cc0
 eula | user | end user licen[cs]e agreement
-eula | terms | by (?:installing|downloading|using|clicking) .{0,80}? you (?:agree to be bound by|accept|agree to) the terms of this (?:agreement|eula|license)
+eula | terms | by (?:installing|downloading|using|clicking) [^\x01-\x03]{0,80}? you (?:agree to be bound by|accept|agree to) the terms of this (?:agreement|eula|license)
 eula | reverse+engineer | (?:you )?(?:may|shall|will|must) not (?:copy modify )?(?:decompile )?(?:disassemble )?(?:or )?reverse engineer
 eula | licensed+sold | (?:the )?software is licensed not sold
 eula | non+transferable | (?:limited )?non exclusive non transferable (?:revocable )?licen[cs]e
