@@ -100,8 +100,9 @@ def fit(docs: DataFrame, seed: int = 7, max_sample: int = MAX_SAMPLE) -> Model:
     """Learn from text and lang of documents that aren't held out.
 
     Every language is learned that has a text with a letter. The sample is at most ``max_sample`` documents
-    (whole texts), as many of each language but one at least, chosen by a hash of the id; their trigram counts
-    are made on the executors.
+    (whole texts), as many of each language but one at least, chosen by a hash of id and text; their trigram counts
+    are made on the executors. Rows with equal id, text and lang are learned from once, so that repeated and null ids
+    can't swell the sample. An empty table gives a model that knows no language.
     """
     import pyarrow as pa
 
@@ -113,9 +114,10 @@ def fit(docs: DataFrame, seed: int = 7, max_sample: int = MAX_SAMPLE) -> Model:
     each = max(1, max_sample // n_languages)
     wide = 1 << 30
     share = by_size.select("lang", (F.lit(wide) * F.least(F.lit(1.0), F.lit(1.2 * (each + 8)) / F.col("n"))).cast("long").alias("below"))
-    order = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed)), F.lit(wide))
-    rows = rows.select("lang", "text", order.alias("order"))
-    drawn = rows.join(F.broadcast(share), "lang").where(F.col("order") < F.col("below")).select("lang", "text", "order")
+    own = F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit(seed))
+    rows = rows.select("lang", "text", F.pmod(own, F.lit(wide)).alias("order"), own.alias("own"))
+    drawn = rows.join(F.broadcast(share), "lang").where(F.col("order") < F.col("below"))
+    drawn = drawn.groupBy("lang", "own").agg(F.first("text").alias("text"), F.first("order").alias("order")).select("lang", "text", "order")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,7 +176,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     ``und`` with score 0, rejected, if the text is null or has no letter, or nothing was
     learned. Otherwise a learned language with its cosine; ``rejected`` tells that all
-    centroids are too far. Repeated rows and null ids are rows like others; whole texts
+    centroids are too far. Of languages with the same cosine the first in order of code points is taken. Repeated rows and null ids are rows like others; whole texts
     of any length count; an empty table gives no rows; other columns aren't read.
     """
     import pyarrow as pa
@@ -197,7 +199,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs(text, ...)``, with all their columns, that :func:`predict` doesn't reject."""
+    """The rows of ``docs(text, ...)``, with all their columns, that :func:`predict` doesn't reject: null texts go; an empty table stays empty."""
     import pyarrow as pa
 
     spark = docs.sparkSession
