@@ -101,9 +101,9 @@ def _codebook(v: np.ndarray, k: int, seed: int) -> np.ndarray:
     return c[np.argsort(middle @ np.linalg.svd(middle, full_matrices=False)[2][0], kind="stable")]
 
 
-def _usable(column: str, dims: int) -> Column:
+def _usable(column: str) -> Column:
     bad = F.exists(column, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return (F.size(column) == dims) & ~bad & F.exists(column, lambda x: x != 0)
+    return ~bad & F.exists(column, lambda x: x != 0)
 
 
 def _blocks(index: MultiIndex, asks: np.ndarray, block: int, pack: int) -> tuple[list[int], list[int], list[int]]:
@@ -153,7 +153,7 @@ def search(
 
     The score is the Euclidean distance in double precision; ties go to the smaller vec_id.
     Rows with the query's own vec_id aren't candidates. Rows take no part whose vector is null,
-    zero, holds null or non-finite components or hasn't the most frequent length, or whose vec_id
+    zero, holds null or non-finite components or hasn't the most frequent length among the others, or whose vec_id
     is null. Repeated vectors are candidates of their own, and repeated query rows are queries of their own:
     each has its ``k`` rows, also where they share a vec_id. No usable rows give no rows; other columns
     aren't read. Vectors may have a single component; their second half is then empty.
@@ -168,12 +168,12 @@ def search(
     small_batches(spark)
     names = "query_id bigint, rank int, vec_id bigint, score double"
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), queries.alias("asks"))
-    rows = rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
+    rows = rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & _usable("v"))
     lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).where("d > 0").orderBy(F.desc("n"), "d").limit(1).collect()
     if not lengths:
         return spark.createDataFrame([], names)
     dims, total = lengths[0]["d"], lengths[0]["n"]
-    rows = rows.where(_usable("v", dims))
+    rows = rows.where(F.size("v") == dims)
     wide = 1 << 30
     order = F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(wide))
     sample = rows.select(order.alias("order"), "vec_id", "v").where(F.col("order") < int(wide * min(1.0, max_sample / total)))
