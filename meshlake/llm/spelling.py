@@ -26,6 +26,8 @@ DIVISOR, LEAST_CHARS, LEAST_COUNT = 31, 7, 2
 RATIO = 10
 #: Counted words that a worker holds before it passes them on.
 MAX_HELD = 200_000
+#: Bigrams whose frequencies are sent to all executors, about 5 MB.
+MAX_SENT = 100_000
 #: Bigrams under which a word is listed: one more than an edit can destroy.
 PREFIX = 3
 
@@ -76,14 +78,13 @@ def word_counts(docs: DataFrame, least_chars: int = LEAST_CHARS, least_count: in
 
 
 def near_words(words: DataFrame) -> DataFrame:
-    """``a, b``: all ordered pairs of different words of ``words(word)`` that are exactly one edit apart; words have three characters at least.
-
-    Bigrams are few (pairs of letters), so their frequencies are one small table.
-    """
+    """``a, b``: all ordered pairs of different words of ``words(word)`` that are exactly one edit apart; words have three characters at least."""
     at = F.sequence(F.lit(1), F.char_length("word") - 1)
     grams = words.select("word", F.explode(F.transform(at, lambda k: F.struct(F.substring("word", k, F.lit(2)).alias("gram"), k.alias("place")))).alias("g"))
     grams = grams.select("word", "g.gram", "g.place")
-    often = grams.groupBy("gram").agg(F.count("*").alias("often"))
+    often = cut(grams.groupBy("gram").agg(F.count("*").alias("often")), "bigrams")
+    # Of letters, there are 8,100 bigrams at most. Other words may have more: then both sides are dealt by bigram.
+    often = F.broadcast(often) if often.count() <= MAX_SENT else often
     listed = grams.join(often, "gram").groupBy("word").agg(F.array_sort(F.collect_list(F.struct("often", "gram", "place"))).alias("order"))
     # The third matters only if one edit can destroy the two before it, and bigrams destroyed together are neighbours.
     order, two = F.col("order"), F.slice("order", 1, PREFIX - 1)
