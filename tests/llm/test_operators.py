@@ -312,7 +312,7 @@ def plain_scan(text, rules=None):
     base = [(k, k + len(phrase.split()), label) for phrase, label in BASE for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split()]
     free, found = [True] * len(words), []
     for r in rules or RULES:
-        line = "".join(f" {w if f else '!'}" for w, f in zip(words, free, strict=True)) + " "
+        line = "".join(f" {w if f else chr(1)}" for w, f in zip(words, free, strict=True)) + " "  # gaps in rules don't reach across this
         for m in re.finditer(f" (?:{r.pattern})(?= )", line):
             start = line[: m.start()].count(" ")
             stop = start + m[0].count(" ")
@@ -321,6 +321,32 @@ def plain_scan(text, rules=None):
     return len(words), sorted(base), sorted(found)
 
 
+def test_gaps_in_rules_dont_reach_across_better_ones(spark):
+    """Whatever signatures are mixed, intervals don't overlap and cover no more than all words."""
+    from meshlake.llm.license_rules import RULES
+    from meshlake.llm.licenses import license_scan
+
+    rng = random.Random(11)
+    texts = [
+        "By installing the Apache Software License 2.0 you agree to be bound by the terms of this agreement",
+        "neither the name of MIT no attribution nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "this ebook is for the use of anyone anywhere at no cost and with almost no restrictions whatsoever under the mit license project gutenberg",
+    ]
+    simple = [r.pattern for r in RULES if not re.search(r"[][(){}?|\\*+.]", r.pattern)]
+    gaps = [("by installing", "you agree to be bound by the terms of this eula"), ("neither the name of", "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"), ("this ebook is for the use of anyone anywhere at no cost and with almost no restrictions whatsoever", "project gutenberg")]
+    for _ in range(300):
+        parts = [rng.choice([*simple, "some words", "é", "the"]) for _ in range(rng.randint(1, 5))]
+        first, last = rng.choice(gaps)
+        texts.append(" ".join(rng.choice([[first, *parts, last], [first, *parts, first, last], [*parts, first, last]])))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert scanned(df) == Counter((i, str(plain_scan(t))) for i, t in enumerate(texts))
+    rows = {r["doc_id"]: r for r in license_scan(df).collect()}
+    assert [(x["start"], x["stop"], x["label"]) for x in rows[0]["detections"]] == [(3, 8, "apache-2.0")]
+    for r in rows.values():
+        spans = sorted((x["start"], x["stop"]) for x in r["detections"])
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False)) and sum(b - a for a, b in spans) <= r["n_words"]
+
+
 def scanned(df, *rules):
     from meshlake.llm.licenses import license_scan
 
