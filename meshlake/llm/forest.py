@@ -28,7 +28,7 @@ WORDS, SIMILARITY = 5, 85
 #: Minima of a signature, trees, minima that neighbours have in common at least, and those kept to sort by beyond.
 MINIMA, TREES, DEPTH, REST = 128, 16, 5, 15
 #: Neighbours on each side, and the members beyond which a region's prefix grows, by so many minima at a time.
-NEIGHBOURS, CROWD, STEP = 16, 1 << 15, 3
+NEIGHBOURS, CROWD, STEP = 4, 1 << 15, 3
 #: A candidate is dropped if its estimated similarity is lower than asked for by this much, 4 deviations of the estimate.
 MARGIN = 0.15
 #: Bytes of text that are split into words at a time.
