@@ -25,6 +25,7 @@ class Solid:
     edges: Array = field(default_factory=lambda: np.zeros((0, 2), dtype=np.int64))
     hull: Array | None = None
     rank: float | None = None
+    known: bool = False  # whether the edges of new points have been looked for
 
     def face_tokens(self) -> Array:
         return np.zeros(len(self.faces), dtype=np.int64) if self.tokens is None else self.tokens

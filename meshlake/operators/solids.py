@@ -20,11 +20,6 @@ from meshlake.operators.aggregates import MESH, PART, dealt
 PARTS = "mesh_id bigint, part_id int, n_parts int, concavity double, xyz array<double>, faces array<int>, tokens array<bigint>, edges array<int>"
 
 
-def arrays(vertices: pd.DataFrame, triangles: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    v, t = vertices.sort_values("vertex_id"), triangles.sort_values("triangle_id")
-    return v[["x", "y", "z"]].to_numpy(float), t[["v0", "v1", "v2"]].to_numpy(np.int64)
-
-
 def per_mesh(vertices: DataFrame, triangles: DataFrame, f: Callable[..., pd.DataFrame], schema: str, keys: list[str] = PART, more: DataFrame | None = None) -> DataFrame:
     """Apply ``f(key values, points, faces)`` to each mesh. A mesh that lacks points or faces gets empty arrays.
 
@@ -219,37 +214,19 @@ def level_set(vertices: DataFrame, triangles: DataFrame, scale: float, iso: floa
     return per_mesh(vertices, triangles, run, "mesh_id bigint, n_outside bigint, n_inside bigint, n_band bigint")
 
 
-def seen_edges(vertices: DataFrame, triangles: DataFrame, scale: float = 40.0, iso: float = 0.03) -> DataFrame:
-    """``mesh_id, i, j``: visibility edges of each mesh by its own lattice cage; the vectorised form of the join in ``relations``."""
-    from meshlake.splitting import Cage, visible
-
-    def run(key: tuple, p: np.ndarray, f: np.ndarray) -> pd.DataFrame:
-        low, high = p.min(axis=0), p.max(axis=0)
-        q = (p - (low + high) / 2) / (float((high - low).max()) / 2)
-        found = visible(k.Solid(q, f), Cage.around(q, f, scale, iso))
-        return pd.DataFrame({"mesh_id": key[0], "i": found[:, 0].astype(np.int32), "j": found[:, 1].astype(np.int32)})
-
-    return per_mesh(vertices, triangles, run, "mesh_id bigint, i int, j int")
-
-
 def decompose(vertices: DataFrame, triangles: DataFrame, concavity: float, num_parts: int, config: Config | None = None, seed: int = 0) -> DataFrame:
     """Approximate convex decomposition of every mesh: ``PARTS`` rows, hulls or (``return_parts``) the parts themselves.
 
     ``vertices(mesh_id, vertex_id, x, y, z)`` and ``triangles(mesh_id, triangle_id, v0, v1, v2)``. Parameters are
     checked at once; a mesh without triangles or, under "adjacent_merge", with more components than parts fails
-    the job. A mesh's random numbers come from (seed, mesh_id): partitioning, order and cluster size change nothing.
+    the job. Levels (:mod:`meshlake.operators.levels`) run when this is called. Random numbers come from
+    (seed, mesh_id, part): partitioning, order and cluster size change nothing.
     """
     config = config or Config()
     validate(concavity, num_parts, config)
-    from meshlake import splitting
+    from meshlake.operators import levels
 
-    def run(key: tuple, v: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        found = splitting.decompose(*arrays(v, t), concavity, num_parts, config, [seed, int(key[0])])
-        return packed(key, [k.Solid(p, f) for p, f in found.parts], found.concavity)
-
-    v = dealt(vertices.select(*MESH, "vertex_id", "x", "y", "z"), MESH).groupBy(*MESH)
-    t = dealt(triangles.select(*MESH, "triangle_id", "v0", "v1", "v2"), MESH).groupBy(*MESH)
-    return v.cogroup(t).applyInPandas(run, PARTS)
+    return levels.decompose(vertices, triangles, concavity, num_parts, config, seed)
 
 
 def decompose_one(points: np.ndarray, faces: np.ndarray, concavity: float, num_parts: int, config: Config | None = None, seed: int = 0):

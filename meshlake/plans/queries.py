@@ -11,6 +11,7 @@ from meshlake.config import Config
 from meshlake.functions import geometry as g
 from meshlake.functions.geometry import Vec, vec
 from meshlake.operators import aggregates as agg
+from meshlake.operators import graphs
 from meshlake.operators import lattice
 from meshlake.operators import relations as rel
 from meshlake.operators import solids
@@ -451,9 +452,21 @@ def e1(spark, d):
     return _rounded(rel.bisector_planes(_edges(spark, d), fx.vertices(spark, d, "lprism"), MESH))
 
 
-@query("e1_candidate_planes")
+_UNIFORM = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE"
+_CANDIDATES = f"""placed AS (SELECT mesh_id, i, j, px, py, pz, qx, qy, qz, row_number() OVER (PARTITION BY mesh_id ORDER BY i, j) - 1 AS nth, count(*) OVER (PARTITION BY mesh_id) AS n FROM ({_ENDS.format('edges')})),
+firsts AS (SELECT mesh_id, nth, min(draw) AS item FROM (SELECT mesh_id, draw, CAST(floor({_UNIFORM.format("'0:' || mesh_id || ':' || draw")} * n) AS BIGINT) AS nth FROM (SELECT DISTINCT mesh_id, n FROM placed), range(12500) AS r(draw)) GROUP BY 1, 2),
+units AS (SELECT mesh_id, item, {', '.join(f'{x} AS {n}' for n, x in zip('abc', o.div(o.sub(_Q, _P), o.length(o.sub(_Q, _P))), strict=True))}, px + qx AS sx, py + qy AS sy, pz + qz AS sz FROM firsts JOIN placed USING (mesh_id, nth) WHERE {o.length(o.sub(_Q, _P))} >= 1e-6),
+rows AS (SELECT mesh_id, array_agg({{'item': item, 'a': a, 'b': b, 'c': c, 'd': -(a * sx / 2 + b * sy / 2 + c * sz / 2)}} ORDER BY item) AS p FROM units GROUP BY 1),
+walk AS (SELECT mesh_id, p, 1 AS n, [p[1]] AS kept FROM rows UNION ALL
+  SELECT mesh_id, p, n + 1, CASE WHEN len(list_filter(kept, lambda k: abs(k.a * p[n + 1].a + k.b * p[n + 1].b + k.c * p[n + 1].c) > cos(radians(5)) AND abs(k.d - p[n + 1].d) < 1e-3)) = 0 THEN list_append(kept, p[n + 1]) ELSE kept END
+  FROM walk WHERE n < len(p))"""
+
+
+@query("e1_candidate_planes", _mesh("lprism", f"SELECT mesh_id, k - 1 AS plane_id, {', '.join(o.r6(f'kept[k].{x}') + f' AS {x}' for x in 'abcd')} FROM (SELECT mesh_id, kept, unnest(range(1, len(kept) + 1)) AS k FROM walk WHERE n = len(p)) WHERE k <= 2500", f"{_SEEN}, {_CANDIDATES}").replace("WITH ", "WITH RECURSIVE ", 1))
 def e1_candidates(spark, d):
-    return _rounded(solids.split_planes(fx.vertices(spark, d, "lprism"), _edges(spark, d), 50))
+    ends = agg.with_ends(_edges(spark, d), fx.vertices(spark, d, "lprism"), MESH)
+    found = _rounded(graphs.candidate_planes(ends, 2500))
+    return found.withColumn("plane_id", F.col("plane_id").cast("bigint"))
 
 
 @query("e2_best_plane", _mesh("lprism", "SELECT mesh_id, plane_id, score FROM scores QUALIFY row_number() OVER (PARTITION BY mesh_id ORDER BY score DESC, plane_id) = 1", _SEEN + _SCORES))
@@ -521,7 +534,17 @@ SELECT mesh_id, p[k].id AS point_id, target[k] AS target_id FROM (SELECT mesh_id
 @query("e10_weld", _WELD)
 def e10(spark, d):
     points = fx.cloud(spark, d).select(F.col("part_id").cast("bigint").alias("mesh_id"), F.col("vertex_id").alias("point_id"), "x", "y", "z")
-    return solids.welded(points, 0.05)
+    return graphs.welded(points, 0.05)
+
+
+_LEAST = "SELECT l_suppkey AS mesh_id, l_partkey AS part_id, min(l_extendedprice) AS score FROM lineitem GROUP BY 1, 2"
+
+
+@query("e11_least_element", f"SELECT mesh_id, part_id, score FROM ({_LEAST}) QUALIFY row_number() OVER (PARTITION BY mesh_id ORDER BY score, part_id) = 1")
+def e11(spark, d):
+    items = spark.read.parquet(f"{d}/lineitem.parquet")
+    rows = items.groupBy(F.col("l_suppkey").alias("mesh_id"), F.col("l_partkey").alias("part_id")).agg(F.min("l_extendedprice").alias("score"))
+    return agg.first_best(rows, MESH, "part_id", "score", largest=False)
 
 
 # --- connectivity ------------------------------------------------------------
@@ -546,36 +569,35 @@ labels AS (SELECT mesh_id, t AS triangle_id, min(root) AS root FROM reach GROUP
 
 @query("f1_components", f"{_TWO} SELECT mesh_id, CAST(triangle_id AS INT) AS triangle_id, CAST(root AS INT) AS root FROM labels")
 def f1(spark, d):
-    return solids.component_labels(*_two(spark, d)).drop("part_id")
+    return graphs.face_components(_two(spark, d)[1])
 
 
 @query("f2_separate", f"{_TWO}, ranked AS (SELECT DISTINCT mesh_id, root, dense_rank() OVER (PARTITION BY mesh_id ORDER BY root) - 1 AS part FROM labels) SELECT mesh_id, CAST(part AS INT) AS part_id, count(*) AS n_triangles, {o.r6(f'sum({o.VOLUME})')} AS volume FROM (SELECT t.mesh_id, r.part, {', '.join(f'{p}.{a} AS {n}' for p, t in (('a', o.A), ('b', o.B), ('c', o.C)) for a, n in zip('xyz', t, strict=True))} FROM triangles t JOIN labels USING (mesh_id, triangle_id) JOIN ranked r USING (mesh_id, root) JOIN vertices a ON a.mesh_id = t.mesh_id AND a.vertex_id = t.v0 JOIN vertices b ON b.mesh_id = t.mesh_id AND b.vertex_id = t.v1 JOIN vertices c ON c.mesh_id = t.mesh_id AND c.vertex_id = t.v2) GROUP BY 1, 2")
 def f2(spark, d):
-    parts = solids.components(*_two(spark, d))
-    found = agg.measures(agg.corners(solids.part_triangles(parts), solids.part_vertices(parts)))
+    v, t = graphs.separated(*_two(spark, d))
+    found = agg.measures(agg.corners(t, v))
     return found.select("mesh_id", "part_id", "n_triangles", r6(F.col("volume") + 0).alias("volume"))
 
 
-@query("f3_edges_to_components", _mesh("lprism", "SELECT mesh_id, i, j, CAST(0 AS INT) AS part_id FROM edges UNION ALL SELECT DISTINCT mesh_id, CAST(12 + k AS INT), CAST(18 - k AS INT), CAST(1 AS INT) FROM triangles, range(2) AS r(k)", _SEEN))
+_CAGE_SQL = f"""{o.template('cage', 'cage_')}, pairs AS ({_PAIRS.replace(' vertices ', ' l_vertices ')}), past_cage AS ({_HITS.format('cage_corners')}), past_self AS ({_HITS.format('l_corners')}),
+edges AS (SELECT * FROM past_cage EXCEPT SELECT * FROM past_self)"""
+
+
+@query("f3_edges_to_components", f"""{_TWO}, {_CAGE_SQL}, found AS (SELECT mesh_id, i, j FROM edges UNION ALL SELECT mesh_id, CAST(i AS INT), CAST(j AS INT) FROM (SELECT DISTINCT mesh_id FROM triangles), (VALUES (12, 18), (13, 17), (0, 12)) AS m(i, j)),
+held AS (SELECT DISTINCT mesh_id, v, root FROM (SELECT mesh_id, triangle_id, unnest([v0, v1, v2]) AS v FROM triangles) JOIN labels USING (mesh_id, triangle_id)), parts AS (SELECT mesh_id, root, row_number() OVER (PARTITION BY mesh_id ORDER BY root) - 1 AS part_id FROM (SELECT DISTINCT mesh_id, root FROM labels)),
+firsts AS (SELECT f.mesh_id, i, j, min(a.root) AS root FROM found f JOIN held a ON a.mesh_id = f.mesh_id AND a.v = i JOIN held b ON b.mesh_id = f.mesh_id AND b.v = j AND b.root = a.root GROUP BY 1, 2, 3)
+SELECT mesh_id, i, j, CAST(part_id AS INT) AS part_id FROM firsts JOIN parts USING (mesh_id, root)""")
 def f3(spark, d):
     """Edges of both components of a mesh, and one between them, which goes."""
     two = _two(spark, d)
     more = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((12, 18), (13, 17), (0, 12))])
     edges = _edges(spark, d).unionByName(two[0].select("mesh_id").distinct().select("mesh_id", F.inline(more)))
-    label = solids.component_labels(*two)
-    order = Window.partitionBy("mesh_id").orderBy("root")
-    corner = F.array("v0", "v1", "v2")
-    held = two[1].select("mesh_id", "triangle_id", F.explode(corner).alias("vertex_id"))
-    held = held.join(label.drop("part_id"), ["mesh_id", "triangle_id"]).select("mesh_id", "vertex_id", "root").distinct()
-    both = edges.join(held.withColumnRenamed("vertex_id", "i"), ["mesh_id", "i"]).join(held.withColumnRenamed("vertex_id", "j"), ["mesh_id", "j", "root"])
-    first = both.groupBy("mesh_id", "i", "j").agg(F.min("root").alias("root"))
-    ranks = label.select("mesh_id", "root").distinct().withColumn("part_id", F.row_number().over(order) - 1)
-    return first.join(ranks, ["mesh_id", "root"]).select("mesh_id", "i", "j", "part_id")
+    return graphs.edges_to_components(edges, two[1], graphs.face_components(two[1]))
 
 
 @query("f4_component_sizes", f"{_TWO} SELECT mesh_id, CAST(root AS INT) AS root, count(*) AS n FROM labels GROUP BY 1, 2")
 def f4(spark, d):
-    return solids.component_labels(*_two(spark, d)).groupBy("mesh_id", "root").agg(F.count("*").alias("n"))
+    return graphs.face_components(_two(spark, d)[1]).groupBy("mesh_id", "root").agg(F.count("*").alias("n"))
 
 
 @query("f5_flat_regions", f"""WITH {_SIZES} SELECT mesh_id, CAST(n AS INT) AS surface_id, CAST(2 AS INT) AS n_triangles, {o.r6('area * 4 / power(greatest(sx, sy, sz), 2)')} AS area
@@ -705,19 +727,35 @@ def g12(spark, d):
 # --- samples and distances ---------------------------------------------------
 
 
-@query("h1_surface_samples", "SELECT p_partkey AS mesh_id, CAST(20 AS BIGINT) AS n_triangles, true AS enough, 0.0::DOUBLE AS off, true AS fair FROM part")
+def _drawn(corners: str, number: str, skip: str = "false", keys: str = "mesh_id") -> str:
+    """CTEs ``sampled(keys, triangle_id, sample_id, x, y, z)``: points drawn on ``corners``, by the same numbers as ``graphs.surface_samples``."""
+    salt = "'0:' || " + " || ':' || ".join(keys.split(", ")) + " || ':' || sample_id || ':{}'"
+    u, v, w = (_UNIFORM.format(salt.format(x)) for x in "tuv")
+    at = ", ".join(f"(1 - r) * a{x} + r * (1 - s) * {b} + r * s * c{x} AS {x}" for x, b in zip("xyz", o.B, strict=True))
+    return f"""
+weighted AS (SELECT *, CASE WHEN {skip} THEN 0.0 ELSE {o.AREA} END AS weight FROM {corners}),
+summed AS (SELECT *, sum(weight) OVER (PARTITION BY {keys} ORDER BY triangle_id) AS upto, sum(weight) OVER (PARTITION BY {keys}) AS whole FROM weighted),
+shares AS (SELECT *, upto - weight AS low, coalesce(lead(upto - weight) OVER (PARTITION BY {keys} ORDER BY triangle_id), 'inf'::DOUBLE) AS high FROM summed WHERE weight > 0),
+numbers AS (SELECT {keys}, max(upto) AS total, {number} AS n FROM summed GROUP BY ALL),
+draws AS (SELECT {keys}, sample_id, {u} * total AS at_ FROM (SELECT {keys}, total, unnest(range(0, n)) AS sample_id FROM numbers)),
+met AS (SELECT d.sample_id, s.triangle_id, {', '.join('d.' + x for x in keys.split(', '))} FROM draws d JOIN shares s ON {' AND '.join(f'd.{x} = s.{x}' for x in keys.split(', '))} AND at_ >= low AND at_ < high),
+missed AS (SELECT {keys}, triangle_id FROM {corners} EXCEPT SELECT {keys}, triangle_id FROM met),
+placed AS (SELECT sample_id, triangle_id, {keys} FROM met UNION ALL SELECT n + row_number() OVER (PARTITION BY {keys} ORDER BY triangle_id) - 1, triangle_id, {keys} FROM missed JOIN numbers USING ({keys})),
+turned AS (SELECT p.*, sqrt({v}) AS r, {w} AS s FROM placed p),
+sampled AS (SELECT {keys}, triangle_id, sample_id, {at} FROM turned JOIN {corners} USING ({keys}, triangle_id))"""
+
+
+_SAMPLES = f"triangle_id, count(*) AS n, {', '.join(o.r6(f'avg({x})') + f' AS {x}' for x in 'xyz')}"
+
+
+def _centres(samples: DataFrame, *keys: str) -> DataFrame:
+    return _rounded(samples.groupBy(*keys, "triangle_id").agg(F.count("*").alias("n"), *[F.avg(x).alias(x) for x in "xyz"]))
+
+
+@query("h1_surface_samples", _mesh("lprism", f"SELECT mesh_id, {_SAMPLES} FROM sampled GROUP BY mesh_id, triangle_id", ", " + _drawn("corners", "1000")))
 def h1(spark, d):
-    """Samples of a surface: on all its triangles, as many as its area asks for, in their planes, and shared out by area."""
-    v, t = _normed(spark, d, "lprism")
-    corner_rows = agg.corners(t, v).drop("part_id")
-    s = solids.surface_samples(v, t, 3000).select("mesh_id", "triangle_id", *vec().columns("p"))
-    off = F.abs(g.face_normal(A, B, C).dot(vec("p").minus(A)))
-    each = s.join(corner_rows, ["mesh_id", "triangle_id"]).select("mesh_id", "triangle_id", off.alias("off"), g.triangle_area(A, B, C).alias("area"))
-    each = each.groupBy("mesh_id", "triangle_id").agg(F.count("*").alias("n"), F.max("off").alias("off"), F.first("area").alias("area"))
-    whole = Window.partitionBy("mesh_id")
-    each = each.withColumn("share", F.col("n") / F.sum("n").over(whole) - F.col("area") / F.sum("area").over(whole))
-    found = each.groupBy("mesh_id").agg(F.count("*").alias("n_triangles"), F.sum("n").alias("n"), F.sum("area").alias("area"), r6(F.max("off")).alias("off"), F.max(F.abs("share")).alias("share"))
-    return found.select("mesh_id", "n_triangles", (F.col("n") >= F.greatest(F.lit(1000), F.floor(F.col("area") * 3000) - 1)).alias("enough"), "off", (F.col("share") < 0.08).alias("fair"))
+    """Samples of a surface, 1,000 to a mesh (the least that the operator takes): how many each triangle has, and their middle."""
+    return _centres(graphs.surface_samples(_corners(spark, d, "lprism"), 1000, base=0), "mesh_id")
 
 
 def _vertex_samples(spark: SparkSession, d: str, kind: str) -> DataFrame:
@@ -792,6 +830,18 @@ def a14(spark, d):
     return _rounded(rel.compare_by_position(one, two, ["x", "y", "z"], "d2"))
 
 
+@query("a14_stage_ulp", """SELECT mesh_id, 'lattice' AS stage, count(*) FILTER (x IS NOT NULL) AS n_one, count(*) FILTER (y IS NOT NULL) AS n_two, count(*) FILTER (y IS NULL) AS only_one, count(*) FILTER (x IS NULL) AS only_two,
+  count(*) FILTER (x IS NOT NULL AND y IS NOT NULL AND steps <> 0) AS differing, max(CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN steps END) AS max_ulp
+FROM (SELECT l_orderkey AS mesh_id, l_linenumber, CASE WHEN l_linenumber <> 2 THEN true END AS x, CASE WHEN l_linenumber <> 3 THEN true END AS y, max(CAST(l_quantity AS BIGINT)) % 20 AS steps FROM lineitem GROUP BY 1, 2) WHERE x IS NOT NULL OR y IS NOT NULL GROUP BY 1""")
+def a14_ulp(spark, d):
+    """Two tables of values that are so many doubles apart: one from 1 upwards by exact steps, and 1 itself scaled by a power of two."""
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("mesh_id"), "l_linenumber").agg((F.max("l_quantity").cast("bigint") % 20).alias("steps"))
+    power = F.pow(F.lit(2.0), F.col("l_linenumber") * 40 - 160)
+    one = rows.where("l_linenumber <> 2").select("mesh_id", "l_linenumber", (-power).alias("value"))
+    two = rows.where("l_linenumber <> 3").select("mesh_id", "l_linenumber", (-power * (1 + F.col("steps") * 2.0**-52)).alias("value"))
+    return lattice.compared(one, two, "lattice", ["value"], ["l_linenumber"])
+
+
 @query("e12_voxel_order", _mesh("lprism", "SELECT mesh_id, x, y, z, CAST(row_number() OVER (PARTITION BY mesh_id ORDER BY x, y, z) AS INT) AS place FROM voxels", f", {_VOXELS}"))
 def e12(spark, d):
     return _vox(spark, d).select("mesh_id", "x", "y", "z", F.row_number().over(Window.partitionBy("mesh_id").orderBy("x", "y", "z")).alias("place"))
@@ -1009,11 +1059,26 @@ def _cells(spark: SparkSession, d: str) -> DataFrame:
     return rows.where((x * 7 + y * 5 + z * 3 + F.col("mesh_id")) % 4 != 0).select("mesh_id", "x", "y", "z", value.alias("value"))
 
 
-@query("i2_exterior", _mesh("lprism", f"""SELECT mesh_id, count(*) AS n_inside FROM (SELECT mesh_id, least({', '.join("sqrt(" + " + ".join(f"power(greatest({lo}{a} - l{a}, 0.0, l{a} - {hi}{a}), 2)" for a, lo, hi in zip('xyz', ('o', 'o', 'o'), ends, strict=True)) + ")" for ends in (('e', 'm', 'e'), ('m', 'e', 'e')))}) AS far
+_SOLID = f"""solid AS (SELECT mesh_id, x, y, z FROM (SELECT mesh_id, CAST(lx AS INT) AS x, CAST(ly AS INT) AS y, CAST(lz AS INT) AS z, least({', '.join("sqrt(" + " + ".join(f"power(greatest({lo}{a} - l{a}, 0.0, l{a} - {hi}{a}), 2)" for a, lo, hi in zip('xyz', ('o', 'o', 'o'), ends, strict=True)) + ")" for ends in (('e', 'm', 'e'), ('m', 'e', 'e')))}) AS far
   FROM (SELECT mesh_id, {', '.join(f'8 * (min_{a} - (max_{a} + min_{a}) / 2) / {_SIDE} AS o{a}, 8 * (max_{a} - (max_{a} + min_{a}) / 2) / {_SIDE} AS e{a}, 0.0 AS m{a}' for a in 'xyz')} FROM (SELECT mesh_id, {_BOX} FROM vertices GROUP BY mesh_id)),
-  (SELECT CAST(k AS DOUBLE) AS lx FROM range(-6, 7) AS r(k)), (SELECT CAST(k AS DOUBLE) AS ly FROM range(-6, 7) AS r(k)), (SELECT CAST(k AS DOUBLE) AS lz FROM range(-6, 7) AS r(k))) WHERE far < 0.83 GROUP BY mesh_id"""))
+  (SELECT CAST(k AS DOUBLE) AS lx FROM range(-6, 7) AS r(k)), (SELECT CAST(k AS DOUBLE) AS ly FROM range(-6, 7) AS r(k)), (SELECT CAST(k AS DOUBLE) AS lz FROM range(-6, 7) AS r(k))) WHERE far < 0.83)"""
+
+
+def _signed(spark: SparkSession, d: str) -> DataFrame:
+    """``mesh_id, x, y, z, phi``: the lattice of 4 units to one around each mesh, by voxels, the walk from outside and signs; the surface is 0.83 units away."""
+    v, t = _normed(spark, d, "lprism")
+    near = rel.voxelize(agg.corners(t, v).drop("part_id"), 4.0).select("mesh_id", "x", "y", "z", F.sqrt("d2").alias("far"))
+    steps = F.sequence(F.lit(-6), F.lit(6))
+    box = v.select("mesh_id").distinct().select("mesh_id", F.explode(steps).alias("x")).select("*", F.explode(steps).alias("y")).select("*", F.explode(steps).alias("z"))
+    rows = meshes.settled(box.join(near, ["mesh_id", "x", "y", "z"], "left").withColumn("far", F.coalesce("far", F.lit(2.0))))
+    found = lattice.exterior(rows.withColumn("open", F.col("far") >= 0.83))
+    return lattice.signed(rows.join(found, ["mesh_id", "x", "y", "z"]), 0.83)
+
+
+@query("i2_exterior", _mesh("lprism", "SELECT mesh_id, x, y, z FROM solid", f", {_SOLID}"))
 def i2(spark, d):
-    return solids.level_set(*_normed(spark, d, "lprism"), 4.0, 0.2075).select("mesh_id", "n_inside")
+    """The lattice points that a walk from outside doesn't reach: all within 0.83 units of the solid."""
+    return _signed(spark, d).where("phi < 0").select("mesh_id", "x", "y", "z")
 
 
 @query("i3_crossing_signs", f"WITH {_CELLS}, placed AS (SELECT *, 1 + (x - 1) * 0.5::DOUBLE AS qx, 1 + (y - 1) * 0.5::DOUBLE AS qy, 2 + (z - 2) * 0.5::DOUBLE AS qz FROM (SELECT * EXCLUDE value, -value AS value FROM cells)), flips AS (SELECT DISTINCT c.mesh_id, c.x, c.y, c.z FROM placed c JOIN placed m ON {_BESIDE} WHERE m.value < -0.75 AND (m.x - m.qx) * (c.x - m.qx) + (m.y - m.qy) * (c.y - m.qy) + (m.z - m.qz) * (c.z - m.qz) > 0) SELECT c.mesh_id, c.x, c.y, c.z, CASE WHEN f.x IS NOT NULL AND value BETWEEN 0 AND 0.75 THEN -value ELSE value END + 0.0 AS value FROM placed c LEFT JOIN flips f USING (mesh_id, x, y, z)")
@@ -1072,12 +1137,18 @@ def i7(spark, d):
     return rows.select("mesh_id", (F.col("n") > F.col("before")).alias("grown"), (F.col("largest") < 3.5).alias("within"), (F.col("least") > -1e-4).alias("sound"))
 
 
-@query("i9_closed_surface", "SELECT p_partkey AS mesh_id, CAST(0 AS BIGINT) AS n_open, true AS enough FROM part")
+_BESIDE_SOLID = " UNION ALL ".join(f"SELECT mesh_id, x {dx}, y {dy}, z {dz} FROM solid" for dx, dy, dz in (("+ 1", "", ""), ("- 1", "", ""), ("", "+ 1", ""), ("", "- 1", ""), ("", "", "+ 1"), ("", "", "- 1")))
+
+
+@query("i9_closed_surface", _mesh("lprism", "SELECT mesh_id, 2 * count(*) AS n_triangles, CAST(0 AS BIGINT) AS n_bad, CAST(2 AS BIGINT) AS euler FROM (SELECT b.* FROM beside b LEFT JOIN solid s USING (mesh_id, x, y, z) WHERE s.x IS NULL AND abs(b.x) <= 6 AND abs(b.y) <= 6 AND abs(b.z) <= 6) GROUP BY mesh_id", f", {_SOLID}, beside(mesh_id, x, y, z) AS ({_BESIDE_SOLID})"))
 def i9(spark, d):
-    """Sides of remeshed surfaces, by how many triangles share them: closed ones have no side with an odd number."""
-    parts = solids.remesh(*_normed(spark, d, "lprism"))
-    sides = rel.half_edges(solids.part_triangles(parts)).groupBy("mesh_id", *rel.undirected("u", "v")).agg(F.count("*").alias("n"))
-    return sides.groupBy("mesh_id").agg(F.count_if(F.col("n") % 2 == 1).alias("n_open"), (F.count("*") > 300).alias("enough"))
+    """The dual surface of each signed lattice: two triangles for each crossed lattice edge, each side in just two of them, and the surface of one ball."""
+    v, t = lattice.dual_surface(_signed(spark, d))
+    t = meshes.settled(t)
+    sides = rel.half_edges(t).groupBy("mesh_id", *rel.undirected("u", "v")).agg(F.count("*").alias("n"), F.count_if(F.col("u") < F.col("v")).alias("forth"))
+    sums = sides.groupBy("mesh_id").agg(F.count("*").alias("e"), F.count_if((F.col("n") != 2) | (F.col("forth") != 1)).alias("n_bad"))
+    rows = v.groupBy("mesh_id").agg(F.count("*").alias("v")).join(sums, "mesh_id").join(t.groupBy("mesh_id").agg(F.count("*").alias("n_triangles")), "mesh_id")
+    return rows.select("mesh_id", "n_triangles", "n_bad", (F.col("v") - F.col("e") + F.col("n_triangles")).alias("euler"))
 
 
 # --- further steps of clipping, distances and splitting -------------------------
@@ -1107,21 +1178,24 @@ def g3(spark, d):
     return _rounded(rel.cap_frames(border, plane))
 
 
-@query("h2_two_hull_samples")
-def h2(spark, d):
-    """Samples of a box and of the same box beside it: none by area on the side that they share."""
-    from meshlake import kernels
+_PAIR = f"""{o.template('box')}, spans AS (SELECT mesh_id, max(x) AS wide FROM vertices GROUP BY 1),
+hulls AS (SELECT mesh_id, CAST(h AS INT) AS part_id, triangle_id, {', '.join(f'{x} + h * wide AS {x}' if x.startswith(p + 'x') else x for p, t in (('a', o.A), ('b', o.B), ('c', o.C)) for x in t)}, wide FROM corners JOIN spans USING (mesh_id), range(2) AS r(h)),
+sides_area AS (SELECT *, sum({o.AREA}) OVER (PARTITION BY mesh_id, part_id) / sum({o.AREA}) OVER (PARTITION BY mesh_id) AS part FROM hulls)"""
 
-    import numpy as np
-    import pandas as pd
-
-    def run(key, p, f):
-        q = p + np.array([p[:, 0].max() - p[:, 0].min(), 0.0, 0.0])
-        s, t = kernels.two_hull_samples((p, f), (q, f), 200, np.random.default_rng(int(key[0])))
-        shared = np.abs(s[:, 0] - p[:, 0].max()) < 1e-9
-        return pd.DataFrame({"mesh_id": [key[0]], "n_first": [int((t < len(f)).sum())], "n_second": [int((t >= len(f)).sum())], "n_shared": [int(shared.sum())]})
 
-    return solids.per_mesh(fx.vertices(spark, d, "box"), fx.triangles(spark, d, "box"), run, "mesh_id bigint, n_first bigint, n_second bigint, n_shared bigint")
+@query("h2_two_hull_samples", f"WITH {_PAIR}, {_drawn('sides_area', 'CASE WHEN max(part_id) = 0 THEN CAST(floor(2000 * max(part)) AS BIGINT) ELSE 2000 - CAST(floor(2000 * (1 - max(part))) AS BIGINT) END', 'abs(ax - wide) < 1e-3 AND abs(bx - wide) < 1e-3 AND abs(cx - wide) < 1e-3', 'mesh_id, part_id')} SELECT mesh_id, part_id, {_SAMPLES} FROM sampled GROUP BY mesh_id, part_id, triangle_id")
+def h2(spark, d):
+    """2,000 samples of a box and of the same box beside it, by their shares of the area: none by area on the side that they share."""
+    own = _corners(spark, d, "box").drop("part_id").join(fx.vertices(spark, d, "box").groupBy("mesh_id").agg(F.max("x").alias("wide")), "mesh_id")
+    both = own.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("part_id")).withColumns({f"{p}x": F.col(f"{p}x") + F.col("part_id") * F.col("wide") for p in "abc"})
+    area = g.triangle_area(A, B, C)
+    part = F.sum(area).over(Window.partitionBy(*PART)) / F.sum(area).over(Window.partitionBy(*MESH))
+    first = F.floor(2000 * F.when(F.col("part_id") == 0, part).otherwise(1 - part))
+    both = both.withColumn("wanted", F.when(F.col("part_id") == 0, first).otherwise(2000 - first))
+    shared = F.lit(True)
+    for p in "abc":
+        shared = shared & (F.abs(F.col(f"{p}x") - F.col("wide")) < 1e-3)
+    return _centres(graphs.surface_samples(both, "wanted", base=0, skip=shared, keys=PART), *PART)
 
 
 def _nearest_sql(q: str, t: str, way: int) -> str:

@@ -33,7 +33,7 @@ def test_every_supplier_is_decomposed_at_default_settings(spark, monkeypatch, na
 def test_concavity_is_measured_again_after_merging(monkeypatch):
     """Both halves of an L are convex; merged back they are as far from their hull as the L is."""
     points, faces = np.array(fx.LPRISM_POINTS), np.array(fx.LPRISM_FACES)
-    monkeypatch.setattr(splitting, "split", lambda mesh, *_: k.clip(mesh, np.array([1.0, 0.0, 0.0, 0.0]), 1))
+    monkeypatch.setattr(splitting, "split", lambda begun, *_: k.clip(begun.parts[0], np.array([1.0, 0.0, 0.0, 0.0]), 1))
     apart = splitting.decompose(points, faces, 0.04, 1, Config(remesh=False, final_samples=500), [0])
     merged = splitting.decompose(points, faces, 0.04, 1, Config(remesh=False, final_samples=500, part_limit_policy="adjacent_merge"), [0])
     assert len(apart.parts) == 2 and apart.concavity < 0.05
