@@ -276,9 +276,9 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, carry: tuple[str, ...] = (), crowd: int = CROWD) -> DataFrame:
-    """One row per row of ``docs(doc_id, text, ...)``: ``doc_id``, the columns in ``carry``, ``n_shingles, component_id, kept``.
+    """One row per row of ``docs(doc_id, text, ...)``: ``doc_id``, the columns in ``carry``, ``n_shingles, component_id, kept, root``.
 
-    Documents are linked whose sets of ``words``-word shingles have ``similarity`` hundredths of their union in common at
+    ``root`` tells components apart; it is null where the set is empty. Documents are linked whose sets of ``words``-word shingles have ``similarity`` hundredths of their union in common at
     least; fewer words make one shingle. component_id is the smallest doc_id that links reach. Null and
     empty texts, and texts of white space, have an empty set and are linked with nothing. Equal sets are handled once, however many
     documents have them. Null ids are values like others (component_id is null if no id of the component is known);
@@ -291,7 +291,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     placed = sets.select("id", "hi", "lo", "first").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     placed = cut(placed, "placed")
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = placed.join(least, "root").select("hi", "lo", "component_id", F.lit(True).alias("in_class"))
+    classes = placed.join(least, "root").select("hi", "lo", "root", "component_id")
     out = made.select("doc_id", *carry, "hi", "lo", F.col("n").alias("n_shingles")).join(classes, ["hi", "lo"], "left")
-    root = F.when(F.col("in_class"), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", *carry, "n_shingles", root.alias("component_id"), root.eqNullSafe(F.col("doc_id")).alias("kept"))
+    first = F.when(F.col("root").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", *carry, "n_shingles", first.alias("component_id"), first.eqNullSafe(F.col("doc_id")).alias("kept"), "root")

@@ -193,7 +193,7 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meshlake.llm.forest import near_duplicates
 
-    return near_duplicates(_table(spark, sf_dir, "documents"))
+    return near_duplicates(_table(spark, sf_dir, "documents")).drop("root")
 
 
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
