@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshlake.llm.common import cut
+from meshlake.llm.components import connected_components
 from meshlake.llm.exact import exact_dedup
+from meshlake.llm.forest import near_duplicates as similar_sets
 from meshlake.llm.langid import fit, keep_known
 from meshlake.llm.mixing import mix
 from meshlake.llm.simhash import near_duplicates
@@ -25,6 +27,8 @@ from meshlake.llm.spm import encode_decode
 ORACLE_SQL = None
 #: Decisions of two numbers each are sent to all executors up to this many rows, about 10 MB; beyond, both sides are dealt by place.
 MAX_SENT = 100_000
+#: Hundredths of their five-word shingles that near copies share at least.
+SIMILARITY = 80
 _PLACE = ("place_file", "place_row")
 
 
@@ -70,13 +74,22 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near-duplicates: the one with the smallest doc_id, null last, then the first by place.
 
-    Texts without words are one component.
+    Two kinds of links make components: fingerprints at most two bits apart, and, since these miss most near copies, sets of five-word shingles
+    that have at least ``SIMILARITY`` hundredths in common, confirmed on the full sets. Texts without words are one component.
     """
     rows = _placed(docs)
-    found = cut(near_duplicates(_narrow(rows, "doc_id", "text"), carry=_PLACE).select("doc_id", "root", *_PLACE), "components")
+    texts = _narrow(rows, "doc_id", "text")
+    by_bits = near_duplicates(texts, carry=_PLACE).select("doc_id", F.concat(F.lit("f"), "root").alias("f"), *_PLACE)
+    by_sets = similar_sets(texts, similarity=SIMILARITY, carry=_PLACE).select(F.concat(F.lit("s"), F.col("root").cast("string")).alias("s"), *_PLACE)
+    found = cut(by_bits.join(by_sets, [*_PLACE]), "components")
+    # Only groups of several rows can be part of one another.
+    many = [cut(found.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n")).where("n > 1").select(c), f"many-{c}") for c in "fs"]
+    shared = cut(found.join(many[0], "f", "left_semi").unionByName(found.join(many[1], "s", "left_semi")).distinct(), "shared")
+    roots = connected_components(shared.where("s IS NOT NULL").select(F.col("f").alias("a"), F.col("s").alias("b")))
+    grouped = shared.join(roots.withColumnRenamed("node", "f"), "f", "left").withColumn("root", F.coalesce("root", "f"))
     place = F.struct(F.col("doc_id").isNull(), "doc_id", *_PLACE)
-    kept = found.groupBy("root").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1").select("root", "kept")
-    return _without(rows, found.join(kept, "root").where(place != F.col("kept")))
+    kept = grouped.groupBy("root").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1").select("root", "kept")
+    return _without(rows, grouped.join(kept, "root").where(place != F.col("kept")))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
