@@ -20,6 +20,23 @@ def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.repartition(n, *keys)
 
 
+def dealt_by_work(df: DataFrame, sizes: DataFrame, n_tasks: int, size: str = "size", keys: list[str] = MESH) -> DataFrame:
+    """``df`` dealt by mesh so that tasks have about equal work; ``sizes(keys, size)`` tells a mesh's.
+
+    The longest first: meshes in order of size are dealt forth and back over the tasks, so that each gets one of every
+    size. The order comes from ranks by range (:func:`meshlake.operators.relations.with_rank`): no task sees all meshes. One that
+    is larger than a task's share still is one task's. Of equal sizes the smaller id comes first; meshes without a size go to task 0.
+    """
+    from meshlake.operators.relations import with_rank
+
+    less = sizes.select(*keys, (-F.col(size)).alias("_less"))
+    nth = (F.col("rank") - 1) % (2 * n_tasks)
+    task = F.when(nth < n_tasks, nth).otherwise(2 * n_tasks - 1 - nth).cast("int")
+    placed = with_rank(less, ["_less", *keys]).select(*keys, task.alias("_task"))
+    rows = df.join(placed, keys, "left").withColumn("_task", F.coalesce("_task", F.lit(0)))
+    return rows.repartitionById(n_tasks, "_task").drop("_task")
+
+
 def corners(triangles: DataFrame, vertices: DataFrame, keys: list[str] = PART) -> DataFrame:
     """``keys, triangle_id, ax .. cz``.
 

@@ -17,7 +17,7 @@ from meshlake.operators import relations as rel
 from meshlake.operators import solids
 from meshlake.plans import oracle as o
 from meshlake.sources import fixtures as fx
-from meshlake.sources import meshes
+from meshlake.sources import meshes, obj
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -1011,6 +1011,21 @@ def l14(spark, d):
     return rel.work_buckets(_counts(spark, d).select("l_orderkey", (F.col("num_parts") * 1000).alias("size")))
 
 
+_DEALT = "SELECT o_orderkey AS mesh_id, CAST(floor(power(o_totalprice / 1000, 1.5)) AS BIGINT) + 1 AS size FROM orders"
+
+
+@query("l14_dealt_by_work", f"""WITH sized AS ({_DEALT}), ranked AS (SELECT *, (row_number() OVER (ORDER BY size DESC, mesh_id) - 1) % 32 AS nth FROM sized), placed AS (SELECT size, CASE WHEN nth < 16 THEN nth ELSE 31 - nth END AS task FROM ranked)
+SELECT CAST(task AS INT) AS task, count(*) AS n_meshes, CAST(sum(size) AS BIGINT) AS work, sum(size) < 1.3 * (SELECT sum(size) / 16 FROM sized) AS even FROM placed GROUP BY task""")
+def l14_dealt(spark, d):
+    """Orders as meshes of very different sizes, dealt to 16 tasks by work; counted in the tasks where they are."""
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    sized = orders.select(F.col("o_orderkey").alias("mesh_id"), (F.floor(F.pow(F.col("o_totalprice") / 1000, F.lit(1.5))).cast("bigint") + 1).alias("size"))
+    rows = agg.dealt_by_work(sized, sized, 16).select("size", F.spark_partition_id().alias("task"))
+    found = rows.groupBy("task").agg(F.count("*").alias("n_meshes"), F.sum("size").alias("work"))
+    total = sized.agg(F.sum("size").alias("total"))  # one row
+    return found.join(F.broadcast(total)).select("task", "n_meshes", "work", (F.col("work") < 1.3 * F.col("total") / 16).alias("even"))
+
+
 @query("l15_lattice_order", _mesh("lprism", "SELECT mesh_id, x, y, z, CAST(row_number() OVER (PARTITION BY mesh_id ORDER BY x // 8, y // 8, z // 8, x, y, z) AS INT) AS place FROM (SELECT mesh_id, x + 8 AS x, y + 8 AS y, z + 8 AS z FROM voxels)", f", {_VOXELS}"))
 def l15(spark, d):
     rows = _vox(spark, d).select("mesh_id", *[(F.col(a) + 8).alias(a) for a in "xyz"])
@@ -1041,6 +1056,17 @@ def a4(spark, d):
     return _rounded(v.groupBy("mesh_id").agg(F.count("*").alias("n_vertices")).join(found, "mesh_id"))
 
 
+@query("a7_obj_source", f"WITH {_SIZES} SELECT row_number() OVER (ORDER BY mesh_id) - 1 AS mesh_id, CAST(12 AS BIGINT) AS n_vertices, CAST(20 AS BIGINT) AS n_triangles, {o.r6('3 * sx * sy * sz')} AS volume FROM sizes")
+def a7(spark, d):
+    """The L-prism of every part written as a file by the data source and read back."""
+    obj.register(spark)
+    path = meshes.scratch(spark)
+    obj.gathered(fx.vertices(spark, d, "lprism"), fx.triangles(spark, d, "lprism")).write.format("obj").mode("append").save(path)
+    v, t = (spark.read.format("obj").option("table", name).load(path) for name in ("vertices", "triangles"))
+    found = agg.measures(agg.corners(t, v), MESH).select("mesh_id", "volume", F.col("n_triangles").cast("bigint").alias("n_triangles"))
+    return _rounded(v.groupBy("mesh_id").agg(F.count("*").alias("n_vertices")).join(found, "mesh_id"))
+
+
 # --- steps on lattices ---------------------------------------------------------
 
 _CELLS = """cells AS (SELECT p_partkey AS mesh_id, CAST(i AS INT) AS x, CAST(j AS INT) AS y, CAST(k AS INT) AS z,
