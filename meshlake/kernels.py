@@ -272,7 +272,7 @@ def flat_surfaces(points: Array, faces: Array, min_area: float = 0.1, most: int
 # --- visibility --------------------------------------------------------------
 
 
-def crosses(points: Array, pairs: Array, corners: Array, margin: float = 1e-3, chunk: int = 1 << 22) -> Array:
+def crosses(points: Array, pairs: Array, corners: Array, margin: float = 1e-3, chunk: int = 1 << 18) -> Array:
     """Which pairs' segments, less ``margin`` at both ends, cross one of the triangles ``corners`` (m, 3, 3).
 
     A line passes through a triangle if its Pluecker products with the three sides agree in
@@ -295,27 +295,48 @@ def crosses(points: Array, pairs: Array, corners: Array, margin: float = 1e-3, c
     for at in range(0, len(points), step):
         height = points[at : at + step] @ normal.T - offset
         above[at : at + step], below[at : at + step] = height > -1e-9, height < 1e-9
+    # First in single precision, with a margin for its errors; what passes is tested again.
+    single = [x.astype(np.float32) for x in sides]
+    reach = float(np.abs(points).max())
+    slack = np.float32(1e-5 * max(float(np.abs(x).max()) for x in sides) * max(2 * reach, 2 * reach * reach))
     for at in range(0, len(pairs), step):
         i, j = pairs[at : at + step, 0], pairs[at : at + step, 1]
         p, q = points[i], points[j]
-        line = np.concatenate([q - p, np.cross(p, q)], axis=1)
-        w0 = line @ sides[0]
-        pos, neg = w0 >= -1e-12, w0 <= 1e-12
-        for s in sides[1:]:
+        line = np.concatenate([q - p, np.cross(p, q)], axis=1).astype(np.float32)
+        w = line @ single[0]
+        low, high = w.copy(), w
+        for s in single[1:]:
             w = line @ s
-            pos &= w >= -1e-12
-            neg &= w <= 1e-12
-        hit = (pos | neg) & good
+            np.minimum(low, w, out=low)
+            np.maximum(high, w, out=high)
+        hit = (low >= -slack) | (high <= slack)
+        hit &= good
         hit &= (above[i] & below[j]) | (below[i] & above[j])
         r, t = np.nonzero(hit)
-        if not len(r):
-            continue
-        h0, h1 = (np.einsum("ij,ij->i", end[r], normal[t]) - offset[t] for end in (p, q))
-        with np.errstate(invalid="ignore", divide="ignore"):
-            place = np.linalg.norm(q[r] - p[r], axis=1) * h0 / (h0 - h1)
-        far = np.linalg.norm(q[r] - p[r], axis=1) - margin
-        ok = (place > margin) & (place < far)
-        out[at + np.unique(r[ok])] = True
+        if len(r):
+            out[at + np.unique(r[cross_each(p[r], q[r], corners[t], margin)])] = True
+    return out
+
+
+def cross_each(p: Array, q: Array, corners: Array, margin: float = 1e-3) -> Array:
+    """Which segments p-q, less ``margin`` at both ends, cross the triangle of the same row; the same test as :func:`crosses`, row by row."""
+    a, b, c = corners[:, 0], corners[:, 1], corners[:, 2]
+    normal = np.cross(b - a, c - a)
+    size = np.linalg.norm(normal, axis=1)
+    hit = size > 1e-14
+    normal[hit] /= size[hit, None]
+    h0, h1 = (((end - a) * normal).sum(axis=1) for end in (p, q))
+    hit &= ((h0 > -1e-9) & (h1 < 1e-9)) | ((h0 < 1e-9) & (h1 > -1e-9))
+    rows = np.flatnonzero(hit)
+    p, q, a, b, c, h0, h1 = (x[rows] for x in (p, q, a, b, c, h0, h1))
+    along, moment = q - p, np.cross(p, q)
+    w = np.stack([(along * np.cross(u, v)).sum(axis=1) + (moment * (v - u)).sum(axis=1) for u, v in ((a, b), (b, c), (c, a))])
+    length = np.linalg.norm(along, axis=1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        place = length * h0 / (h0 - h1)
+    ok = ((w >= -1e-12).all(axis=0) | (w <= 1e-12).all(axis=0)) & (place > margin) & (place < length - margin)
+    out = np.zeros(len(hit), dtype=bool)
+    out[rows[ok]] = True
     return out
 
 
