@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshlake.functions.geometry import (
-    Vec, bisector, distance, fields, plane, triangle_area, vec, with_closest, with_hits, with_point_triangle,
+    Vec, bisector, distance, fields, plane, vec, with_closest, with_hits, with_point_triangle,
 )
 from meshlake.operators.aggregates import MESH, PART, dealt, with_ends
 from meshlake.sources.meshes import settled
@@ -114,29 +114,41 @@ def _in_cells(points: DataFrame, per_cell: int, keys: list[str], most: int = 1 <
 def nearest_points(points: DataFrame, k: int, keys: list[str] = PART, per_cell: int = 8) -> DataFrame:
     """``keys, sample_id, rank, target_id, d2``: the ``k`` nearest other points of each point of its group; ties to the smaller id.
 
-    ``points(keys, vertex_id, x, y, z)``, ids unique in a group. Points are looked for in the cells around one's own, in rings of cells: a round
-    looks at the rings up to one cell farther than the last. What lies outside of these is at least so many
-    cells away; a point whose k-th neighbour is nearer than that is done and sits the next rounds out.
+    ``points(keys, vertex_id, x, y, z)``, ids unique in a group; see :func:`nearest_targets`.
     """
-    rows = _in_cells(points.select(*keys, "vertex_id", "x", "y", "z"), per_cell, keys)
-    targets = rows.select(*keys, F.col("vertex_id").alias("target_id"), *vec().columns("q"), "cx", "cy", "cz")
+    own = points.select(*keys, F.col("vertex_id").alias("id"), "x", "y", "z")
+    return nearest_targets(own, own, k, keys, per_cell, others=True)
+
+
+def nearest_targets(queries: DataFrame, targets: DataFrame, k: int, keys: list[str] = MESH, per_cell: int = 8, others: bool = False) -> DataFrame:
+    """``keys, sample_id, rank, target_id, d2``: the ``k`` nearest targets of each query of its group; ties to the smaller id.
+
+    Both tables are ``keys, id, x, y, z``; ``others``: a target with the query's id doesn't count. Targets are looked for in the cells around a query's, in
+    rings of cells: a round looks at the rings up to one cell farther than the last. What lies outside of these is at least so many
+    cells away; a query whose k-th neighbour is nearer than that is done and sits the next rounds out.
+    """
+    asked = queries.select(*keys, "id", "x", "y", "z", F.lit(True).alias("asks"))
+    rows = _in_cells(asked.unionByName(targets.select(*keys, "id", "x", "y", "z", F.lit(False).alias("asks"))), per_cell * 2 if others else per_cell, keys)
+    held = rows.where("NOT asks").select(*keys, F.col("id").alias("target_id"), *vec().columns("q"), "cx", "cy", "cz")
     most = rows.groupBy(*keys).agg(F.greatest(*[F.max(f"c{a}") - F.min(f"c{a}") for a in "xyz"]).alias("most"))
-    waiting = rows.join(most, keys).select(*keys, F.col("vertex_id").alias("sample_id"), *vec().columns("p"), "cx", "cy", "cz", "cell", "most")
+    waiting = rows.where("asks").join(most, keys).select(*keys, F.col("id").alias("sample_id"), *vec().columns("p"), "cx", "cy", "cz", "cell", "most")
     rounds, far = [], int(most.agg(F.coalesce(F.max("most"), F.lit(0))).first()[0])
-    reach = 1
+    reach = min(1, far)
     while True:
         ring = F.array(*[F.struct(*[F.lit(v).alias(f"d{a}") for a, v in zip("xyz", d, strict=True)]) for d in product(range(-reach, reach + 1), repeat=3)])
         asked = waiting.select("*", F.inline(ring)).withColumns({f"c{a}": F.col(f"c{a}") + F.col(f"d{a}") for a in "xyz"}).drop("dx", "dy", "dz")
         off = vec("p").minus(vec("q"))
-        found = asked.join(targets, [*keys, "cx", "cy", "cz"]).where("sample_id <> target_id").withColumn("d2", F.round(off.dot(off), 9))
+        met = asked.join(held, [*keys, "cx", "cy", "cz"])
+        met = met.where("sample_id <> target_id") if others else met
+        found = met.withColumn("d2", F.round(off.dot(off), 9))
         order = Window.partitionBy(*keys, "sample_id").orderBy("d2", "target_id")
         found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*keys, "sample_id", "rank", "target_id", "d2")
+        if reach >= far:
+            return _union([*rounds, found])
         whole = F.col("most") <= reach  # there are no cells beyond
         near = F.pow(F.col("cell") * reach, F.lit(2.0)) - 1e-8
         done = found.groupBy(*keys, "sample_id").agg(F.max("rank").alias("got"), F.max("d2").alias("last"))
         state = waiting.join(done, [*keys, "sample_id"], "left").withColumn("done", whole | F.coalesce((F.col("got") >= k) & (F.col("last") < near), F.lit(False)))
-        if reach >= far:
-            return _union([*rounds, found])
         # Tables, so that rounds don't repeat each other's work.
         found, state = settled(found), settled(state)
         rounds.append(found.join(state.where("done").select(*keys, "sample_id"), [*keys, "sample_id"], "left_semi"))
@@ -203,15 +215,26 @@ def close_parts(points: DataFrame, threshold: float, keys: list[str] = MESH) ->
     return near.select(*keys, "p1", "p2").distinct()
 
 
-def boxes_overlap(boxes: DataFrame, threshold: float, keys: list[str] = MESH) -> DataFrame:
-    """``keys, p1, p2``: parts whose boxes are nearer than ``threshold`` on every axis."""
+def boxes_overlap(boxes: DataFrame, threshold: float, keys: list[str] = MESH, side: int = 8) -> DataFrame:
+    """``keys, p1, p2``: parts whose boxes are nearer than ``threshold`` on every axis.
+
+    A join by cells, as large as a group's boxes are on average, but not smaller than a ``side``-th of the group: boxes, widened by
+    half the threshold, are put in all cells that they meet, and only those that share one are compared.
+    """
     names = [f"{m}_{a}" for m in ("min", "max") for a in "xyz"]
-    one = boxes.select(*keys, F.col("part_id").alias("p1"), *[F.col(c).alias(f"{c}_1") for c in names])
-    two = boxes.select(*keys, F.col("part_id").alias("p2"), *[F.col(c).alias(f"{c}_2") for c in names])
-    rows = one.join(two, keys).where("p1 < p2")
+    extent = F.greatest(*[F.col(f"max_{a}") - F.col(f"min_{a}") for a in "xyz"])
+    span = F.greatest(*[F.max(f"max_{a}") - F.min(f"min_{a}") for a in "xyz"])
+    sizes = boxes.groupBy(*keys).agg(F.greatest(F.avg(extent) + threshold, (span + threshold) / side, F.lit(1e-9)).alias("cell"))
+    rows = boxes.join(sizes, keys).select(*keys, "part_id", *names, "cell")
+    for a in "xyz":
+        low, high = (F.floor((F.col(f"{m}_{a}") + s * threshold / 2) / F.col("cell") + s * 1e-9) for m, s in (("min", -1), ("max", 1)))
+        rows = rows.withColumn(f"k{a}", F.explode(F.sequence(low, high)))
+    one = rows.select(*keys, F.col("part_id").alias("p1"), *[F.col(c).alias(f"{c}_1") for c in names], "kx", "ky", "kz")
+    two = rows.select(*keys, F.col("part_id").alias("p2"), *[F.col(c).alias(f"{c}_2") for c in names], "kx", "ky", "kz")
+    met = one.join(two, [*keys, "kx", "ky", "kz"]).where("p1 < p2")
     for a in "xyz":
-        rows = rows.where((F.col(f"min_{a}_1") - F.col(f"max_{a}_2") < threshold) & (F.col(f"min_{a}_2") - F.col(f"max_{a}_1") < threshold))
-    return rows.select(*keys, "p1", "p2")
+        met = met.where((F.col(f"min_{a}_1") - F.col(f"max_{a}_2") < threshold) & (F.col(f"min_{a}_2") - F.col(f"max_{a}_1") < threshold))
+    return met.select(*keys, "p1", "p2").distinct()
 
 
 def adjacent_by_cut(triangles: DataFrame, keys: list[str] = MESH) -> DataFrame:
@@ -396,24 +419,15 @@ def merge_meshes(vertices: DataFrame, triangles: DataFrame, keys: list[str] = ME
 # --- distances, voxels -------------------------------------------------------
 
 
-def triangle_features(corner_rows: DataFrame, keys: list[str] = MESH) -> DataFrame:
-    """``keys, triangle_id, area, nx, ny, nz``; the normal is null where the area is zero."""
-    a, b, c = vec("a"), vec("b"), vec("c")
-    return corner_rows.select(*keys, "triangle_id", triangle_area(a, b, c).alias("area"), *face_normal(a, b, c).columns("n"))
-
-
 def nearest_samples(queries: DataFrame, targets: DataFrame, k: int = 10, keys: list[str] = MESH) -> DataFrame:
-    """``keys, sample_id, rank, target_id, triangle_id, d2``: the ``k`` nearest target samples of each query, ties to the smaller id.
+    """``keys, sample_id, qx, qy, qz, rank, target_id, triangle_id, d2``: the ``k`` nearest target samples of each query, ties to the smaller id.
 
-    For samples of one mesh, whose number is bounded by the sampling resolution; see
-    ``kernels.nearest`` for the vectorised form.
+    Both tables are ``keys, sample_id, x, y, z``, targets with a ``triangle_id``. By cells (:func:`nearest_targets`), so that not all meet all.
     """
-    t = targets.select(*keys, F.col("sample_id").alias("target_id"), "triangle_id", *vec().columns("t"))
-    q = queries.select(*keys, "sample_id", *vec().columns("q"))
-    d = vec("q").minus(vec("t"))
-    rows = q.join(t, keys).withColumn("d2", F.round(d.dot(d), 9))
-    order = Window.partitionBy(*keys, "sample_id").orderBy("d2", "target_id")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    q, t = (df.select(*keys, F.col("sample_id").alias("id"), "x", "y", "z") for df in (queries, targets))
+    found = nearest_targets(q, t, k, keys)
+    named = found.join(targets.select(*keys, F.col("sample_id").alias("target_id"), "triangle_id"), [*keys, "target_id"])
+    return named.join(queries.select(*keys, "sample_id", *vec().columns("q")), [*keys, "sample_id"])
 
 
 def one_sided_hausdorff(queries: DataFrame, targets: DataFrame, target_corners: DataFrame, k: int = 10, keys: list[str] = MESH) -> DataFrame:

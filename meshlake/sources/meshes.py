@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import colorsys
+import contextlib
 import io
 import json
 import struct
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 VERTICES = "mesh_id bigint, part_id int, vertex_id int, x double, y double, z double"
 TRIANGLES = "mesh_id bigint, part_id int, triangle_id int, v0 int, v1 int, v2 int"
+_settled: list[str] = []
 
 
 def triplets(values, dtype) -> np.ndarray:
@@ -43,10 +46,27 @@ def scratch(spark: SparkSession) -> str:
 def settled(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: its lineage ends there."""
     path = scratch(df.sparkSession)
+    if not _settled:
+        atexit.register(_drop_at_exit, df.sparkSession)
+    _settled.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_settled(spark: SparkSession) -> int:
+    """Delete the tables that :func:`settled` has left; call it when all results that read them have been written. The driver does when it ends."""
+    n, jvm = len(_settled), spark._jvm
+    while _settled:
+        path = jvm.org.apache.hadoop.fs.Path(_settled.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
+def _drop_at_exit(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone
+        drop_settled(spark)
+
+
 def from_arrays(spark: SparkSession, meshes: Iterable[tuple]) -> tuple[DataFrame, DataFrame]:
     """Vertex and triangle tables of (points, faces) pairs, numbered from 0. For what already is in the driver's memory."""
     v, t = [], []
