@@ -752,10 +752,10 @@ def _centres(samples: DataFrame, *keys: str) -> DataFrame:
     return _rounded(samples.groupBy(*keys, "triangle_id").agg(F.count("*").alias("n"), *[F.avg(x).alias(x) for x in "xyz"]))
 
 
-@query("h1_surface_samples", _mesh("lprism", f"SELECT mesh_id, {_SAMPLES} FROM sampled GROUP BY mesh_id, triangle_id", ", " + _drawn("corners", "1000")))
+@query("h1_surface_samples", _mesh("lprism", f"SELECT mesh_id, {_SAMPLES} FROM sampled GROUP BY mesh_id, triangle_id", ", " + _drawn("corners", "3000")))
 def h1(spark, d):
-    """Samples of a surface, 1,000 to a mesh (the least that the operator takes): how many each triangle has, and their middle."""
-    return _centres(graphs.surface_samples(_corners(spark, d, "lprism"), 1000, base=0), "mesh_id")
+    """3,000 samples of each surface: how many each triangle has, and their middle."""
+    return _centres(graphs.surface_samples(_corners(spark, d, "lprism"), 3000, base=0), "mesh_id")
 
 
 def _vertex_samples(spark: SparkSession, d: str, kind: str) -> DataFrame:
@@ -831,7 +831,7 @@ def a14(spark, d):
 
 
 @query("a14_stage_ulp", """SELECT mesh_id, 'lattice' AS stage, count(*) FILTER (x IS NOT NULL) AS n_one, count(*) FILTER (y IS NOT NULL) AS n_two, count(*) FILTER (y IS NULL) AS only_one, count(*) FILTER (x IS NULL) AS only_two,
-  count(*) FILTER (x IS NOT NULL AND y IS NOT NULL AND steps <> 0) AS differing, max(CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN steps END) AS max_ulp
+  count(*) FILTER (x IS NOT NULL AND y IS NOT NULL AND steps <> 0) AS differing, coalesce(max(CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN steps END), -1) AS max_ulp
 FROM (SELECT l_orderkey AS mesh_id, l_linenumber, CASE WHEN l_linenumber <> 2 THEN true END AS x, CASE WHEN l_linenumber <> 3 THEN true END AS y, max(CAST(l_quantity AS BIGINT)) % 20 AS steps FROM lineitem GROUP BY 1, 2) WHERE x IS NOT NULL OR y IS NOT NULL GROUP BY 1""")
 def a14_ulp(spark, d):
     """Two tables of values that are so many doubles apart: one from 1 upwards by exact steps, and 1 itself scaled by a power of two."""
@@ -839,7 +839,7 @@ def a14_ulp(spark, d):
     power = F.pow(F.lit(2.0), F.col("l_linenumber") * 40 - 160)
     one = rows.where("l_linenumber <> 2").select("mesh_id", "l_linenumber", (-power).alias("value"))
     two = rows.where("l_linenumber <> 3").select("mesh_id", "l_linenumber", (-power * (1 + F.col("steps") * 2.0**-52)).alias("value"))
-    return lattice.compared(one, two, "lattice", ["value"], ["l_linenumber"])
+    return lattice.compared(one, two, "lattice", ["value"], ["l_linenumber"]).withColumn("max_ulp", F.coalesce("max_ulp", F.lit(-1)))
 
 
 @query("e12_voxel_order", _mesh("lprism", "SELECT mesh_id, x, y, z, CAST(row_number() OVER (PARTITION BY mesh_id ORDER BY x, y, z) AS INT) AS place FROM voxels", f", {_VOXELS}"))
@@ -1163,11 +1163,19 @@ def i7(spark, d):
     return rows.select("mesh_id", (F.col("n") > F.col("before")).alias("grown"), (F.col("largest") < 3.5).alias("within"), (F.col("least") > -1e-4).alias("sound"))
 
 
+@query("i9_closed_surface", "SELECT p_partkey AS mesh_id, CAST(0 AS BIGINT) AS n_open, true AS enough FROM part")
+def i9(spark, d):
+    """Sides of remeshed surfaces, by how many triangles share them: closed ones have no side with an odd number."""
+    parts = solids.remesh(*_normed(spark, d, "lprism"))
+    sides = rel.half_edges(solids.part_triangles(parts)).groupBy("mesh_id", *rel.undirected("u", "v")).agg(F.count("*").alias("n"))
+    return sides.groupBy("mesh_id").agg(F.count_if(F.col("n") % 2 == 1).alias("n_open"), (F.count("*") > 300).alias("enough"))
+
+
 _BESIDE_SOLID = " UNION ALL ".join(f"SELECT mesh_id, x {dx}, y {dy}, z {dz} FROM solid" for dx, dy, dz in (("+ 1", "", ""), ("- 1", "", ""), ("", "+ 1", ""), ("", "- 1", ""), ("", "", "+ 1"), ("", "", "- 1")))
 
 
-@query("i9_closed_surface", _mesh("lprism", "SELECT mesh_id, 2 * count(*) AS n_triangles, CAST(0 AS BIGINT) AS n_bad, CAST(2 AS BIGINT) AS euler FROM (SELECT b.* FROM beside b LEFT JOIN solid s USING (mesh_id, x, y, z) WHERE s.x IS NULL AND abs(b.x) <= 6 AND abs(b.y) <= 6 AND abs(b.z) <= 6) GROUP BY mesh_id", f", {_SOLID}, beside(mesh_id, x, y, z) AS ({_BESIDE_SOLID})"))
-def i9(spark, d):
+@query("i9_dual_surface", _mesh("lprism", "SELECT mesh_id, 2 * count(*) AS n_triangles, CAST(0 AS BIGINT) AS n_bad, CAST(2 AS BIGINT) AS euler FROM (SELECT b.* FROM beside b LEFT JOIN solid s USING (mesh_id, x, y, z) WHERE s.x IS NULL AND abs(b.x) <= 6 AND abs(b.y) <= 6 AND abs(b.z) <= 6) GROUP BY mesh_id", f", {_SOLID}, beside(mesh_id, x, y, z) AS ({_BESIDE_SOLID})"))
+def i9_dual(spark, d):
     """The dual surface of each signed lattice: two triangles for each crossed lattice edge, each side in just two of them, and the surface of one ball."""
     v, t = lattice.dual_surface(_signed(spark, d))
     t = meshes.settled(t)
