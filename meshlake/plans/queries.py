@@ -1107,6 +1107,15 @@ def i2(spark, d):
     return _signed(spark, d).where("phi < 0").select("mesh_id", "x", "y", "z")
 
 
+@query("i6_tile_lookup", _mesh("lprism", "SELECT mesh_id, x, y, z FROM solid", f", {_SOLID}"))
+def i6_tiles(spark, d):
+    """The signed lattices kept as tiles near the surface and signs of the others; all points looked up, those inside returned."""
+    phi = meshes.settled(_signed(spark, d))
+    values, signs = lattice.tile_tree(phi, 0.5)
+    found = lattice.looked_up(phi.select("mesh_id", "x", "y", "z"), meshes.settled(values), meshes.settled(signs), 0.5)
+    return found.where("phi < 0").select("mesh_id", "x", "y", "z")
+
+
 @query("i3_crossing_signs", f"WITH {_CELLS}, placed AS (SELECT *, 1 + (x - 1) * 0.5::DOUBLE AS qx, 1 + (y - 1) * 0.5::DOUBLE AS qy, 2 + (z - 2) * 0.5::DOUBLE AS qz FROM (SELECT * EXCLUDE value, -value AS value FROM cells)), flips AS (SELECT DISTINCT c.mesh_id, c.x, c.y, c.z FROM placed c JOIN placed m ON {_BESIDE} WHERE m.value < -0.75 AND (m.x - m.qx) * (c.x - m.qx) + (m.y - m.qy) * (c.y - m.qy) + (m.z - m.qz) * (c.z - m.qz) > 0) SELECT c.mesh_id, c.x, c.y, c.z, CASE WHEN f.x IS NOT NULL AND value BETWEEN 0 AND 0.75 THEN -value ELSE value END + 0.0 AS value FROM placed c LEFT JOIN flips f USING (mesh_id, x, y, z)")
 def i3(spark, d):
     closest = {f"q{a}": c + (F.col(a) - c) * 0.5 for a, c in zip("xyz", (1, 1, 2), strict=True)}
