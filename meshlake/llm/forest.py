@@ -253,17 +253,24 @@ def links(docs: DataFrame, sets: DataFrame, words: int = WORDS, similarity: int
     best = _turned(pairs).groupBy("a").agg(F.max(F.struct("estimate", "b")).alias("best"))
     best = best.select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b")).distinct()
     tested = cut(_confirmed(best, items, similarity), "tested")
+    roots = connected_components(tested.where("linked").select("a", "b"))
     turn = 0
     while True:
-        linked = tested.where("linked").select("a", "b")
-        roots = connected_components(linked)
         # Then all others, then second looks until there is nothing left to look at.
         more = pairs.select("a", "b") if turn == 0 else _by_hubs(tested, roots)
-        todo = cut(_apart(more.join(tested, ["a", "b"], "left_anti"), roots).select("a", "b"), "todo")
+        todo = cut(_apart(more.join(tested, ["a", "b"], "left_anti"), roots).select("a", "b", "ra", "rb"), "todo")
         if todo.limit(1).count():
-            tested = cut(tested.unionByName(_confirmed(todo, items, similarity)), "tested")
+            found = cut(_confirmed(todo.select("a", "b"), items, similarity), "found")
+            fresh = todo.join(found.where("linked"), ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+            if found.where("linked").limit(1).count():
+                # Only components that new links join get other roots.
+                moved = connected_components(fresh)
+                other = moved.select(F.col("node").alias("root"), F.col("root").alias("further"))
+                kept = roots.join(other, "root", "left").select("node", F.coalesce("further", "root").alias("root"))
+                roots = cut(kept.unionByName(moved), "roots")
+            tested = cut(tested.unionByName(found), "tested")
         elif turn:
-            return linked, roots
+            return tested.where("linked").select("a", "b"), roots
         turn += 1
 
 
