@@ -42,3 +42,8 @@ def test_near_lattice_is_the_same_in_slabs():
         near = {tuple(p) for p in box if np.min(((w @ np.array([a, b, c]) - p) ** 2).sum(axis=1)) <= 0.7} | {tuple(np.floor(a).astype(int))}
         around = {(p[0] + i, p[1] + j, p[2] + k) for p in near for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)}
         assert around <= {r[1:4] for r in whole if r[0] == t}
+
+
+@pytest.mark.parametrize("name", ["i3_crossing_signs", "i4_validated", "i4_cleaned", "i8_renormalized"])
+def test_messages_are_hashed_not_sorted(spark, name):
+    assert "SortAggregate" not in plan(QUERIES[name](spark, DATA))
