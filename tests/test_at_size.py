@@ -47,3 +47,22 @@ def test_near_lattice_is_the_same_in_slabs():
 @pytest.mark.parametrize("name", ["i3_crossing_signs", "i4_validated", "i4_cleaned", "i8_renormalized"])
 def test_messages_are_hashed_not_sorted(spark, name):
     assert "SortAggregate" not in plan(QUERIES[name](spark, DATA))
+
+
+def test_triangle_distances_make_no_sums_over_a_last_axis_of_three(monkeypatch):
+    """Such sums were most of the time of remeshing and of samples' distances."""
+    rng, seen = np.random.default_rng(0), []
+    p, a, b, c = rng.normal(size=(4, 200, 3))
+    want = np.min([np.linalg.norm(p - (w[:, :1] * a + w[:, 1:2] * b + w[:, 2:] * c), axis=1) for w in np.repeat(rng.dirichlet(np.ones(3), 2000)[:, None], 200, axis=1)], axis=0)
+    for name in ("norm", "cross"):
+        monkeypatch.setattr(np.linalg if name == "norm" else np, name, lambda *x, name=name, **y: seen.append(name))
+    found = kernels.to_triangles(p, a, b, c)
+    assert not seen and (found <= want + 1e-9).all() and (want - found).max() < 0.2
+
+
+def test_draws_are_not_sorted(spark):
+    """3,000 draws a mesh are dealt out once, and meet their triangles by hash."""
+    text = plan(QUERIES["h1_surface_samples"](spark, DATA))
+    made = text[text.index("ShuffledHashJoin") :]
+    made = made[: made.index("Generate explode")]
+    assert made.count("Exchange") <= 1 and "Sort " not in made and "Window" not in made
