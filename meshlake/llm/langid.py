@@ -148,25 +148,27 @@ def fit(docs: DataFrame, seed: int = 7, max_sample: int = MAX_SAMPLE) -> Model:
     for r in sample:
         if len(own := chosen.setdefault(r["lang"], [])) < each:
             own.append(r)
-    languages, table = sorted(chosen), []
-    for lang in languages:
-        for r in chosen[lang]:
-            row = np.zeros(DIMS, dtype=np.float32)
-            row[np.frombuffer(bytes(r["at"]), np.uint16)] = np.frombuffer(bytes(r["n"]), np.uint32)
-            table.append(row)
-    if not table:
+    del sample
+    languages = sorted(chosen)
+    if not languages:
         return Model([], np.ones(DIMS, np.float32), np.zeros((0, DIMS), np.float32), np.zeros(0, int), 0.0)
-    rows_ = np.stack(table)
-    idf = np.log((1 + len(rows_)) / (1 + (rows_ > 0).sum(axis=0))).astype(np.float32) + np.float32(0.1)
-    plain = Model(languages, idf, np.zeros((0, DIMS), np.float32), np.zeros(0, int), 0.0)
-    v, owner, centroids, near, at = plain.vectors(rows_), [], [], [], 0
+    # The driver holds the sample as it came, by trigrams that occur; whole vectors of one language at a time.
+    n_rows, df = sum(map(len, chosen.values())), np.zeros(DIMS, dtype=np.int64)
+    for r in (r for own in chosen.values() for r in own):
+        df[np.frombuffer(bytes(r["at"]), np.uint16)] += 1
+    idf = np.log((1 + n_rows) / (1 + df)).astype(np.float32) + np.float32(0.1)
+    owner, centroids, near = [], [], []
     for k, lang in enumerate(languages):
-        own = v[at : at + len(chosen[lang])]
-        at += len(own)
+        own = np.zeros((len(chosen[lang]), DIMS), dtype=np.float32)
+        for v, r in zip(own, chosen[lang], strict=True):
+            at = np.frombuffer(bytes(r["at"]), np.uint16)
+            v[at] = np.log1p(np.frombuffer(bytes(r["n"]), np.uint32).astype(np.float32)) * idf[at]
+            v /= max(np.linalg.norm(v), 1e-12)
         c = _cluster(own, CENTROIDS)
         centroids.append(c)
         owner += [k] * len(c)
         near.append((own @ c.T).max(axis=1))
+        del own
     least = REJECT * float(np.quantile(np.concatenate(near), 1 / 200))
     return Model(languages, idf, np.concatenate(centroids), np.array(owner), least)
 

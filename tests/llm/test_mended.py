@@ -65,3 +65,21 @@ def test_zero_vectors_of_another_length_change_nothing(spark):
         sorted(tuple(r) for r in search(spark.createDataFrame(own, "vec_id long, embedding array<double>"), F.col("vec_id") < 5, share=1.0).collect()) for own in (rows, rows + bad)
     )
     assert one == two and len(one) == 50
+
+
+def test_driver_holds_no_whole_vectors_of_the_sample(spark):
+    """Language id made several tables of the sample by all dimensions at once; now one language's vectors at a time."""
+    import tracemalloc
+
+    from meshlake.llm import langid
+
+    words = {"aa": "alpha beta gamma", "bb": "delta epsilon zeta", "cc": "eta theta iota", "dd": "kappa lambda mu"}
+    docs = spark.createDataFrame([(n, f"{words[lang]} {n} {lang}", lang) for n in range(4000) for lang in [sorted(words)[n % 4]]], "doc_id long, text string, lang string")
+    tracemalloc.start()
+    try:
+        model = langid.fit(docs)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert model.languages == sorted(words)
+    assert peak < 2400 * langid.DIMS * 4 * 0.75  # about 2,670 documents are learned from
