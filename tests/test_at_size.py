@@ -66,3 +66,14 @@ def test_draws_are_not_sorted(spark):
     made = text[text.index("ShuffledHashJoin") :]
     made = made[: made.index("Generate explode")]
     assert made.count("Exchange") <= 1 and "Sort " not in made and "Window" not in made
+
+
+def test_tasks_grow_with_the_rows(spark, monkeypatch):
+    """Of a fixed number of tasks, each one's memory grew with the table."""
+    from meshlake.operators import aggregates
+
+    monkeypatch.setattr(aggregates, "ROWS", 100)
+    n = -(-spark.read.parquet(f"{DATA}/lineitem.parquet").count() // 100)
+    text = plan(QUERIES["a14_stage_ulp"](spark, DATA))
+    dealt = [line for line in text.splitlines() if "Exchange hashpartitioning" in line]
+    assert n > 50 and dealt and all(f", {n}), REPARTITION_BY_NUM" in line for line in dealt)
