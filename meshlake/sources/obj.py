@@ -2,6 +2,7 @@
 
     register(spark)
     spark.read.format("obj").option("table", "vertices").load("shared/objs")
+    spark.read.format("obj").option("table", "meshes").load("shared/objs")      # a row for each file
     rows.write.format("obj").mode("append").save("shared/objs")     # mesh_id, points, faces
 
 Files are reached through pyarrow's file systems, so a path may be local to all machines (a shared folder) or a
@@ -15,6 +16,8 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import Row, StructType
@@ -22,11 +25,14 @@ from pyspark.sql.types import Row, StructType
 TABLES = {
     "vertices": "mesh_id bigint, part_id int, vertex_id int, x double, y double, z double",
     "triangles": "mesh_id bigint, part_id int, triangle_id int, v0 int, v1 int, v2 int",
+    "meshes": "mesh_id bigint, part_id int, points array<double>, faces array<int>",
 }
 #: What is written: flat arrays of coordinates and of corners, numbered from 0.
 MESHES = "mesh_id bigint, points array<double>, faces array<int>"
 #: Bytes of files in a partition, each file counting for so many at least.
-PARTITION_BYTES, FILE_BYTES = 32 << 20, 1 << 16
+PARTITION_BYTES, FILE_BYTES = 32 << 20, 1 << 14
+#: Files whose rows a task passes on together.
+AT_ONCE = 256
 
 
 def _opened(path: str):
@@ -62,7 +68,7 @@ def render(points, faces) -> str:
 
 
 class ObjDataSource(DataSource):
-    """``table``: "vertices" or "triangles", what is read."""
+    """``table``: "vertices", "triangles" or "meshes", what is read."""
 
     @classmethod
     def name(cls) -> str:
@@ -110,13 +116,31 @@ class ObjReader(DataSourceReader):
             held += size
         return out
 
-    def read(self, partition: Files) -> Iterator[tuple]:
+    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         files, _ = _opened(self.path)
-        for mesh_id, name in partition.names:
-            with files.open_input_stream(name) as stream:
-                points, faces = parse(stream.read().decode())
-            for n, row in enumerate(points if self.table == "vertices" else faces):
-                yield (mesh_id, 0, n, *row)
+        for at in range(0, len(partition.names), AT_ONCE):
+            own = partition.names[at : at + AT_ONCE]
+            found = []
+            for _, name in own:
+                with files.open_input_stream(name) as stream:
+                    found.append(parse(stream.read().decode()))
+            yield self._batch(np.array([n for n, _ in own], dtype=np.int64), [p for p, _ in found], [f for _, f in found])
+
+    def _batch(self, mesh_id: np.ndarray, points: list[list], faces: list[list]) -> pa.RecordBatch:
+        xyz = np.array([x for own in points for p in own for x in p], dtype=float)
+        if len(xyz) != 3 * sum(map(len, points)):
+            raise ValueError("a point needs three numbers")
+        xyz = xyz.reshape(-1, 3)
+        ids = np.array([x for own in faces for f in own for x in f], dtype=np.int32).reshape(-1, 3)
+        ends = [np.cumsum([0, *map(len, own)]) for own in (points, faces)]
+        if self.table == "meshes":
+            lists = [pa.ListArray.from_arrays(pa.array(e * 3, pa.int32()), pa.array(v.ravel())) for e, v in zip(ends, (xyz, ids), strict=True)]
+            columns = [mesh_id, np.zeros(len(mesh_id), np.int32), *lists]
+        else:
+            rows, end = (xyz, ends[0]) if self.table == "vertices" else (ids, ends[1])
+            n = np.diff(end)
+            columns = [np.repeat(mesh_id, n), np.zeros(len(rows), np.int32), (np.arange(len(rows)) - np.repeat(end[:-1], n)).astype(np.int32), *[np.ascontiguousarray(c) for c in rows.T]]
+        return pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=[c.split()[0] for c in TABLES[self.table].split(", ")])
 
 
 @dataclass

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from meshlake.plans.queries import QUERIES
 from meshlake.sources import fixtures as fx
 from meshlake.sources import meshes, obj
 
@@ -66,3 +67,14 @@ def test_forms_of_lines(spark, tmp_path):
         read(spark, tmp_path, "other").count()
     with pytest.raises(Exception, match="rows to write"):
         spark.range(1).write.format("obj").mode("append").save(str(tmp_path))
+
+
+def test_meshes_are_read_once(spark, tmp_path):
+    """A row for each file, as they are written; a7 read every file three times."""
+    one = [(np.eye(3) * k / 3, [[0, 1, 2]] * k) for k in range(1, 4)] + [(np.eye(3), np.zeros((0, 3)))]
+    rows = obj.gathered(*meshes.from_arrays(spark, one))
+    rows.write.format("obj").mode("append").save(str(tmp_path))
+    found = [tuple(r) for r in read(spark, tmp_path, "meshes").orderBy("mesh_id").collect()]
+    assert found == [(r["mesh_id"], 0, r["points"], r["faces"]) for r in rows.orderBy("mesh_id").collect()]
+    plan = QUERIES["a7_obj_source"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchScan") == 1
