@@ -149,3 +149,19 @@ def test_validation(args, word):
 def test_empty_mesh_is_an_error():
     with pytest.raises(ValueError, match="triangles"):
         decompose_one(np.zeros((0, 3)), np.zeros((0, 3), int), 0.1, 1)
+
+
+def test_few_samples_are_measured_in_full(monkeypatch):
+    """A mesh and its hull share most of their surface: samples there need no search, and the distance is the one of all samples."""
+    points = L * [6.0, 1.0, 2.0] / 6
+    hull, rows = k.convex_hull(points), []
+    s, t = k.sample_surface(points, LF, 3000, np.random.default_rng(0))
+    u, v = k.sample_surface(points, hull, 3000, np.random.default_rng(1))
+    for a, b, faces, of in ((s, u, hull, v), (u, s, LF, t)):
+        some = np.random.default_rng(2).choice(len(a), 300, replace=False)
+        each = [float(np.min(k.to_triangles(np.repeat(a[n : n + 1], 10, 0), *(points[faces[of[k.nearest(a[n : n + 1], b)[0][0]], c]] for c in range(3))))) for n in some]
+        known = k.Balls.nearest
+        monkeypatch.setattr(k.Balls, "nearest", lambda self, q, *x: (rows.append(len(q)), known(self, q, *x))[1])
+        assert k.one_sided(a, b, of, points, faces) >= max(each)
+        monkeypatch.undo()
+    assert sum(rows) < 0.01 * (len(s) + len(u)), (rows, len(s), len(u))
