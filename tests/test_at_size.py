@@ -77,3 +77,25 @@ def test_tasks_grow_with_the_rows(spark, monkeypatch):
     text = plan(QUERIES["a14_stage_ulp"](spark, DATA))
     dealt = [line for line in text.splitlines() if "Exchange hashpartitioning" in line]
     assert n > 50 and dealt and all(f", {n}), REPARTITION_BY_NUM" in line for line in dealt)
+
+
+def test_pairs_of_small_meshes_are_not_dealt_out(spark, monkeypatch):
+    """Visibility of meshes of few points is tested where they lie; large ones beside them meet triangles by cells, and both give the same rows."""
+    from meshlake.operators import aggregates as agg
+    from meshlake.operators import relations as rel
+    from meshlake.plans import queries as q
+    from meshlake.sources import fixtures as fx
+
+    d = "/root/testdata/sf0.001"
+    v, own, cage = fx.vertices(spark, d, "lprism"), q._corners(spark, d, "lprism"), q._corners(spark, d, "cage")
+    found = rel.visibility_edges(v, own, cage)
+    assert "kx" not in found._jdf.queryExecution().optimizedPlan().toString()
+    fresh = v.withColumn("is_new", (agg.F.col("vertex_id") % 5 == 0) | (agg.F.col("mesh_id") % 3 == 0))
+    small = found.collect(), rel.visibility_edges(fresh, own, cage, only_new=True).collect()
+    # Points that no other triangle has make one mesh a large one.
+    more = v.where("mesh_id = 7 AND vertex_id = 0").select("mesh_id", "part_id", agg.F.explode(agg.F.sequence(agg.F.lit(100), agg.F.lit(170))).alias("vertex_id"), *[agg.F.lit(1e6).alias(a) for a in "xyz"])
+    mixed = [r for r in rel.visibility_edges(v.unionByName(more), own, cage).collect() if r["j"] < 100]
+    monkeypatch.setattr(rel, "FEW", 0)
+    by_cells = rel.visibility_edges(v, own, cage).collect(), rel.visibility_edges(fresh, own, cage, only_new=True).collect()
+    assert len(small[0]) > 500 and 0 < len(small[1]) < len(small[0])
+    assert [sorted(x) for x in small] == [sorted(x) for x in by_cells] and sorted(mixed) == sorted(small[0])
