@@ -99,3 +99,10 @@ def test_pairs_of_small_meshes_are_not_dealt_out(spark, monkeypatch):
     by_cells = rel.visibility_edges(v, own, cage).collect(), rel.visibility_edges(fresh, own, cage, only_new=True).collect()
     assert len(small[0]) > 500 and 0 < len(small[1]) < len(small[0])
     assert [sorted(x) for x in small] == [sorted(x) for x in by_cells] and sorted(mixed) == sorted(small[0])
+
+
+@pytest.mark.parametrize("name", ["i9_closed_surface", "i11_remesh"])
+def test_remeshed_triangles_are_not_dealt_out(spark, name):
+    """What is asked of remeshed surfaces is found in a part's own row: no row for each triangle or side is dealt out, joined or gathered again."""
+    tree = QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString().split("MapInPandas")[0]
+    assert "collect_list(struct(triangle_id" not in tree and tree.count("Generate") == (name == "i11_remesh")

@@ -165,3 +165,17 @@ def test_few_samples_are_measured_in_full(monkeypatch):
         assert k.one_sided(a, b, of, points, faces) >= max(each)
         monkeypatch.undo()
     assert sum(rows) < 0.01 * (len(s) + len(u)), (rows, len(s), len(u))
+
+
+def test_large_triangles_are_measured_by_planes(monkeypatch):
+    """On the lattice around a mesh of large triangles no point is measured on its own, and distances are the same."""
+    points, rows = L * [15.0, 25.0, 17.0] + [0.137, 0.271, 0.419], []
+    known = k.to_triangles
+    monkeypatch.setattr(k, "to_triangles", lambda p, *x: (rows.append(len(p)), known(p, *x))[1])
+    grid, low = k.distance_grid(points, LF, 1.6)
+    assert sum(rows) < 2000
+    monkeypatch.setattr(k, "BOX", 1 << 40)
+    one, at = k.distance_grid(points, LF, 1.6)
+    assert (at == low).all() and (np.isfinite(one) == np.isfinite(grid)).all() and np.isfinite(one).sum() > 10_000
+    near = np.isfinite(one)
+    assert np.abs(one[near] - grid[near]).max() < 1e-9
